@@ -12,6 +12,12 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op2_language_id": "langid",
     "op3_secret_scans": "secrets",
+    "op4_url_filters": "urls",
+    "op5_sentencepiece": "pieces",
+    "op6_sharding": "shards",
+    "op7_warc": "warc",
+    "op9_best_fit_packing": "packing",
+    "op10_media_columns": "mpegts",
 }
 
 

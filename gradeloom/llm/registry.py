@@ -16,6 +16,7 @@ MODULES = {
     "op5_sentencepiece": "pieces",
     "op6_sharding": "shards",
     "op7_warc": "warc",
+    "op8_ngram_jaccard_join": "cpsjoin",
     "op9_best_fit_packing": "packing",
     "op10_media_columns": "mpegts",
 }

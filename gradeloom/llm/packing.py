@@ -11,55 +11,95 @@ their place.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import saved, table, text_or_empty
 
 CAPACITY = 2048
-#: Words that a tokenizing worker remembers.
-MEMORY = 1_000_000
+#: Words that a tokenizing worker remembers; texts and words that it encodes at once.
+MEMORY, TEXTS, WORDS = 700_000, 500, 4_000
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 
 
+#: Letters and numbers among the characters that the fast split takes: those that
+#: normalisation leaves alone but for case, and whose case doesn't depend on neighbours.
+LETTERS = r"a-zA-Z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u012F\u0131-\u024F"
+NUMBERS = r"0-9\xB2\xB3\xB9\xBC-\xBE"
+PLAIN = re.compile(r"[\x21-\x3B\x3D-\x7E\xA1-\u012F\u0131-\u024F]*")
+#: The tokenizer file's own split, over those characters without blanks and ``<``.
+OWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    Blanks and newlines always separate tokens here, so words are encoded by the
-    tokenizers library once each and remembered.
+    Blanks and newlines always separate tokens here, so a text is encoded word by word;
+    words are remembered. A new word of plain characters falls into the parts of the
+    tokenizer's own split, which the library encodes once each; other words go to the
+    library whole.
     """
 
     def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        steps = kind["pre_tokenizer"]["pretokenizers"] if kind["pre_tokenizer"] and kind["pre_tokenizer"]["type"] == "Sequence" else []
+        own = steps[0]["pattern"].get("Regex", "") if steps and steps[0]["type"] == "Split" else ""
+        names = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
+        self.split = own == OWN_SPLIT and names == ["NFC", "Replace", "Lowercase"]
+        # a special token inside a word comes first
+        self.split = self.split and all("<" in t["content"] for t in kind.get("added_tokens", []))
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: words, and the parts of words, with the generation before each
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.known: list[dict[str, bytes]] = [{}, {}]
+
+    def parts(self, word: str) -> list[str]:
+        if self.split and PLAIN.fullmatch(word):
+            return SPLIT.findall(word.lower())
+        return [word]
+
+    def _missing(self, asked: Iterable[list[str]], memory: list[dict[str, bytes]]) -> list[str]:
+        """What isn't remembered; what only the older generation has moves to the newer one."""
+        new, old = memory
+        unknown = set(chain.from_iterable(asked)).difference(new)
+        kept = {x: old[x] for x in unknown if x in old}
+        new.update(kept)
+        return [x for x in unknown if x not in kept]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        missing: dict[str, None] = {}
-        for ws in words:
-            for w in ws:
-                if w not in self.new:
-                    if w in self.old:
-                        self.new[w] = self.old[w]
-                    else:
-                        missing[w] = None
-        todo = list(missing)
-        for w, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.new[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = self.new.__getitem__
-        out = [b"".join(map(get, ws)) for ws in words]
-        if len(self.new) > MEMORY // 2:
-            self.old, self.new = self.new, {}
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        unknown = self._missing(words, self.words)
+        parts = [self.parts(w) for w in unknown]
+        todo = self._missing(parts, self.known)
+        known = self.known[0]
+        for at in range(0, len(todo), WORDS):
+            some = todo[at : at + WORDS]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        new = self.words[0]
+        for w, p in zip(unknown, parts, strict=True):
+            new[w] = b"".join(map(known.__getitem__, p))
+        out = [b"".join(map(new.__getitem__, ws)) for ws in words]
+        for memory in (self.words, self.known):
+            if len(memory[0]) > MEMORY // 2:
+                memory[:] = [{}, memory[0]]
         return out
 
 
@@ -69,25 +109,29 @@ PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, as bytes): a document's tokens and
     the end id, cut at multiples of the capacity if longer."""
-    out = PIECE + (", ids binary" if with_ids else "")
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
-    @F.pandas_udf("array<struct<" + out.replace(" int", ": int").replace(" bigint", ": bigint").replace(" binary", ": binary") + ">>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(tokenizer)
         end = int(end_id).to_bytes(4, "little")
-        for texts in parts:
-            rows = []
-            for ids in coder.encode(texts.tolist()):
-                ids += end
-                row = []
-                for i, p in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[p : p + 4 * capacity]
-                    row.append({"piece": i, "start": p // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} | ({"ids": part} if with_ids else {}))
-                rows.append(row)
-            yield pd.Series(rows)
-
-    got = docs.select("doc_id", cut(text_or_empty()).alias("_cut"))
-    return got.select("doc_id", F.explode("_cut").alias("_cut")).select("doc_id", "_cut.*")
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                row, cols = [], [[] for _ in kinds]
+                for i, ids in enumerate(coder.encode(batch.column(1).to_pylist())):
+                    ids += end
+                    for k, p in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[p : p + 4 * capacity]
+                        row.append(i)
+                        for c, v in zip(cols, (k, p // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)]],
+                    names=["doc_id", *kinds],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, f"doc_id {kind}, {PIECE}" + (", ids binary" if with_ids else ""))
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -205,13 +249,12 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most one row per length
     runs = places(patterns(counts, capacity))
     rows = numbered(pieces, ["doc_id", "piece", "ids_crc32", "length"])
-    names = rows.columns
+    names = [c for c in rows.columns if c != "number"]
 
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            seq = np.zeros(len(df), dtype=np.int64)
-            off = np.zeros(len(df), dtype=np.int64)
-            number, length = df["number"].to_numpy(), df["length"].to_numpy()
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, length = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("number", "length"))
+            seq, off = np.zeros((2, batch.num_rows), dtype=np.int64)
             for x in np.unique(length):
                 here = np.flatnonzero(length == x)
                 first, per, sequence, at = runs[int(x)]
@@ -219,11 +262,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 k = number[here] - first[i]
                 seq[here] = sequence[i] + k // per[i]
                 off[here] = at[i] + (k % per[i]) * x
-            yield df.drop(columns="number").assign(sequence_id=seq, offset=off)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "number") + ", sequence_id bigint, offset bigint"
-    assert "number" in names
-    return rows.mapInPandas(put, schema)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id bigint, offset bigint"
+    return rows.mapInArrow(put, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -23,8 +23,8 @@ from gradeloom.llm.common import table, text_or_empty
 SPACE = "▁"
 #: Piece kinds of the model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks that a worker remembers; the older half goes when there are more.
-MEMORY = 1_000_000
+#: Chunks that a worker remembers (the older half goes when there are more); texts that it encodes at once.
+MEMORY, TEXTS = 600_000, 250
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -223,16 +223,16 @@ def _run(docs: DataFrame, model: str, check: bool, full: bool) -> DataFrame:
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = Encoder(model, check)
         for texts in parts:
-            ids = e.encode(texts.tolist())
-            decoded = [e.decode(x) for x in ids]
+            # a few texts at a time: their chunks take several times the texts' memory
+            rows = [x for at in range(0, len(texts), TEXTS) for x in some(e, texts.iloc[at : at + TEXTS].tolist())]
+            yield pd.DataFrame(rows, columns=["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def some(e: Encoder, texts: list[str]) -> Iterator[tuple]:
+        for x in e.encode(texts):
             if full:
-                yield pd.DataFrame({"ids": [[int(i) for i in x.split(",")] if x else [] for x in ids], "decoded": decoded})
+                yield [int(i) for i in x.split(",")] if x else [], e.decode(x)
             else:
-                yield pd.DataFrame({
-                    "n_tokens": [x.count(",") + 1 if x else 0 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
-                })
+                yield x.count(",") + 1 if x else 0, hashlib.sha256(x.encode()).hexdigest(), hashlib.sha256(e.decode(x).encode()).hexdigest()
 
     return docs.select("doc_id", code(text_or_empty()).alias("_coded")).select("doc_id", "_coded.*")
 

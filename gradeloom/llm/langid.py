@@ -93,15 +93,16 @@ def train(samples: dict[str, str]) -> Model:
     tables, start, at = [], [], 0
     for text in texts:
         edges = suffix_automaton(text)
-        t = np.full((len(edges), width), -1, dtype=np.int64)
+        dead = len(edges)  # before a block and behind an unseen letter: whatever comes opens a phrase
+        t = np.full((dead + 1, width), -1, dtype=np.int64)
         for s, out in enumerate(edges):
             for c, to in out.items():
                 t[s, column[c]] = to
-        first = np.where(t[0] >= 0, t[0], 0) | NEW_PHRASE  # an unseen letter is a phrase of its own
+        first = np.where(t[0] >= 0, t[0], dead) | NEW_PHRASE
         t = np.where(t >= 0, t, first[None, :])
         tables.append((t + at).astype(np.int32))
-        start.append(at)
-        at += len(edges)
+        start.append(at + dead)
+        at += dead + 1
     if at >= NEW_PHRASE:
         raise ValueError("the sample is too long")
     scale = np.array([np.log2(max(len(t), 2)) for t in texts])
@@ -130,13 +131,10 @@ def phrases(blocks: list[np.ndarray], model: Model) -> np.ndarray:
     alive = np.searchsorted(-size[order], -np.arange(1, longest + 1), side="right")
     state = np.repeat(model.start[None, :], n, axis=0)
     count = np.zeros((n, k), dtype=np.int32)
-    # the first step of a block goes on from the start state; it opens a phrase in any case
-    count[: alive[0] if longest else 0] = 1
     for t in range(longest):
         m = alive[t]
         step = model.steps[state[:m] * model.width + grid[t, :m, None]]
-        if t:
-            count[:m] += step >> 30
+        count[:m] += step >> 30
         state[:m] = step & (NEW_PHRASE - 1)
     out = np.empty_like(count)
     out[order] = count

@@ -177,11 +177,12 @@ def filter_quality(docs: DataFrame, fence: int = 3, min_docs: int = 200) -> Data
     shuffled unless the fences outgrow a broadcast.
     """
     names = docs.columns
-    own = text_measures(docs.select("text", "lang", "source")).drop("text")
-    own = own.withColumn("base_failed", base_failed()).where(~F.col("base_failed")).drop("base_failed")
+    own = saved(text_measures(docs.select("text", "lang", "source")).drop("text"), "measures").where(~base_failed())
     limits = saved(source_fences(own, fence, min_docs), "fences")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_q_row"), "text", "lang", "source")
-    m = text_measures(packed).where(~base_failed())
+    # a predicate pushed below the measures would repeat them within their own lambdas; it
+    # isn't pushed below a column that counts rows
+    m = text_measures(packed).withColumn("_q_bar", F.monotonically_increasing_id()).where((F.col("_q_bar") >= 0) & ~base_failed())
     ok = F.lit(True)
     for x in MEASURES:
         ok = ok & (F.expr(x.expr) <= F.col(f"f_{x.name}_hi"))

@@ -10,13 +10,16 @@ from gradeloom.plans import roles
 from gradeloom.plans.registry import query, r3, with_parts
 from gradeloom.plans.roles import ITEMS
 
-RULES = [
-    quality.Rule("mc-one-credit", F.col("credits") != 1, applies=F.col("type") == "mc"),
-    quality.Rule("cr-has-average", F.col("avg_points").isNull(), "warn", applies=F.col("type") == "cr"),
-    quality.Rule("p-in-range", ~F.col("p_value").between(0.01, 0.95)),
-    quality.Rule("year-known", ~F.col("year").between(1995, 2001)),
-    quality.Rule("essay", F.col("key").isNull(), applies=F.col("type") == "essay"),
-]
+def _rules() -> list[quality.Rule]:
+    return [
+        quality.Rule("mc-one-credit", F.col("credits") != 1, applies=F.col("type") == "mc"),
+        quality.Rule("cr-has-average", F.col("avg_points").isNull(), "warn", applies=F.col("type") == "cr"),
+        quality.Rule("p-in-range", ~F.col("p_value").between(0.01, 0.95)),
+        quality.Rule("year-known", ~F.col("year").between(1995, 2001)),
+        quality.Rule("essay", F.col("key").isNull(), applies=F.col("type") == "essay"),
+    ]
+
+
 VIOLATIONS = """violations AS (
   SELECT item, 'mc-one-credit' AS rule, 'fail' AS level FROM items WHERE type = 'mc' AND credits <> 1 UNION ALL
   SELECT item, 'cr-has-average', 'warn' FROM items WHERE type = 'cr' AND avg_points IS NULL UNION ALL
@@ -25,7 +28,7 @@ VIOLATIONS = """violations AS (
 
 @query(with_parts(ITEMS, VIOLATIONS) + "SELECT * FROM violations")
 def quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    return quality.violations(roles.items(spark, d), RULES, "item")
+    return quality.violations(roles.items(spark, d), _rules(), "item")
 
 
 @query(
@@ -33,7 +36,7 @@ def quality_rules(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT rule, checked, coalesce(n, 0) AS broken, CASE WHEN checked = 0 THEN 'skip' WHEN coalesce(n, 0) = 0 THEN 'ok' ELSE level END AS status FROM rules LEFT JOIN (SELECT rule, count(*) AS n FROM violations GROUP BY rule) USING (rule)"
 )
 def quality_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return quality.outcomes(roles.items(spark, d), RULES)
+    return quality.outcomes(roles.items(spark, d), _rules())
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")

@@ -396,11 +396,12 @@ def text_classes(docs: DataFrame, join: Join) -> DataFrame:
     texts = saved(ids.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "texts")
     sigs = saved(signatures(docs), "signatures")
     comps = components(candidate_edges(sigs, join))
-    # the texts of the components' members, each from the row with its least doc_id
+    # the texts of the components' members, each from the row with its least doc_id; the
+    # members grow with the corpus, so they are never broadcast
     wanted = comps.select(F.col("id").alias("text_id"), F.col("root").alias("comp")).join(texts, "text_id").join(sigs.select("text_id", "n"), "text_id")
     wanted = saved(wanted.select(F.col("text_id").alias("_id"), "comp", "first", "copies", "n"), "wanted")
     whole = docs.select("doc_id", "text", _text_id().alias("text_id"))
-    members = whole.join(wanted, (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    members = whole.join(wanted.hint("shuffle_hash"), (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first")))
     # repeated rows (equal id and text) would bring a text twice
     members = members.select("comp", "text_id", "copies", "n", "text")
     checked = saved(verified(members, join.threshold), "verified")

@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ from gradeloom.llm.common import saved, table, text_or_empty
 
 CAPACITY = 2048
 #: Words that a tokenizing worker remembers; texts and words that it encodes at once.
-MEMORY, TEXTS, WORDS = 700_000, 500, 4_000
+MEMORY, TEXTS, WORDS = 1_200_000, 500, 4_000
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 
@@ -103,6 +104,12 @@ class WordIds:
         return out
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks that a Python worker runs, so that its memory lasts."""
+    return WordIds(path)
+
+
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -112,7 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(tokenizer)
+        coder = word_ids(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):

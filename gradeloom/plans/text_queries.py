@@ -29,6 +29,13 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
 
 
+@query(with_parts(TERMS) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM counts GROUP BY term")
+def term_statistics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every term; term_statistics is the report of the common ones."""
+    c = retrieve.term_counts(roles.table(spark, d, "documents"), "doc_id")
+    return c.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 SCORES = """size AS (SELECT count(*) AS n_docs, (SELECT count(*) FROM terms) / count(*) AS mean_terms FROM documents),
 lengths AS (SELECT doc_id, count(*) AS doc_terms FROM terms GROUP BY doc_id),
 freq AS (SELECT term, count(*) AS df FROM counts GROUP BY term),

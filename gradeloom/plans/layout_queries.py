@@ -167,6 +167,13 @@ def joined_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.joined_lines(e, ["user_id"], "event_id")
 
 
+@query("SELECT user_id, md5(string_agg(event_type, ' ' ORDER BY event_id)) AS digest FROM events GROUP BY user_id")
+def joined_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of a user; joined_lines has those of every fifth event."""
+    e = roles.table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("text"))
+    return layout.joined_lines(e, ["user_id"], "event_id").select("user_id", F.md5("text").alias("digest"))
+
+
 @query(
     with_parts(TURNS, "m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entry FROM turns)")
     + "SELECT conv_id, CAST(entry AS BIGINT) AS entry, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM m GROUP BY ALL"

@@ -1,5 +1,7 @@
 """Queries over whole inputs leave nothing out."""
 
+import hashlib
+
 import pytest
 
 from gradeloom.plans import registry
@@ -20,3 +22,9 @@ def test_terms_of_one_document_are_counted(spark, folder):
     stored(spark, folder, "documents", [(1, "circle square circle"), (2, "square"), (3, None)], "doc_id long, text string")
     got = {(r["term"], r["df"], r["tf"]) for r in QUERIES["term_statistics_all"](spark, folder).collect()}
     assert got == {("circle", 1, 2), ("square", 2, 2)}
+
+
+def test_lines_of_all_events_are_joined(spark, folder):
+    stored(spark, folder, "events", [(3, 7, "c"), (1, 7, "a"), (2, 7, "b"), (4, 8, "d")], "event_id long, user_id long, event_type string")
+    got = {r["user_id"]: r["digest"] for r in QUERIES["joined_lines_all"](spark, folder).collect()}
+    assert got == {7: hashlib.md5(b"a b c").hexdigest(), 8: hashlib.md5(b"d").hexdigest()}

@@ -50,6 +50,13 @@ def contradictory_names(spark: SparkSession, d: str) -> DataFrame:
     return quality.contradictory(p, "k", "p_type").select("k", F.array_join("values", "|").alias("names"))
 
 
+@query("SELECT p_brand AS k, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
+def contradictory_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """The names in all of part; contradictory_names looks at every 29th."""
+    p = roles.table(spark, d, "part").select(F.col("p_brand").alias("k"), "p_type")
+    return quality.contradictory(p, "k", "p_type").select("k", F.array_join("values", "|").alias("names"))
+
+
 @query(
     """WITH c AS (SELECT l_partkey AS k, l_returnflag AS letter, count(*) AS n FROM lineitem GROUP BY ALL),
 t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY k) AS BIGINT) AS total FROM c)

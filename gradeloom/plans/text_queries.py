@@ -89,6 +89,15 @@ def second_tier_size(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.second_tier(pool, tier1, "query_id", "doc_id").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query(with_parts(TERMS, ASKED, SCORES) + "SELECT query_id, count(*) AS n FROM ranked WHERE rank > 12 GROUP BY query_id")
+def second_tier_size_all(spark: SparkSession, d: str) -> DataFrame:
+    """The second tier of all ranked documents; second_tier_size draws on every third.
+
+    With the ranked documents as the pool, those outside of the first tier are those below it.
+    """
+    return _ranked(spark, d).where("rank > 12").groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "pages").select("page_id", F.md5(scalars.without_tags(F.col("html"))).alias("digest"))

@@ -28,3 +28,14 @@ def test_lines_of_all_events_are_joined(spark, folder):
     stored(spark, folder, "events", [(3, 7, "c"), (1, 7, "a"), (2, 7, "b"), (4, 8, "d")], "event_id long, user_id long, event_type string")
     got = {r["user_id"]: r["digest"] for r in QUERIES["joined_lines_all"](spark, folder).collect()}
     assert got == {7: hashlib.md5(b"a b c").hexdigest(), 8: hashlib.md5(b"d").hexdigest()}
+
+
+def test_names_of_all_parts_are_compared(spark, folder):
+    stored(spark, folder, "part", [(29, "a", "x"), (30, "a", "y"), (58, "b", "z"), (59, "b", "z")], "p_partkey long, p_brand string, p_type string")
+    assert [tuple(r) for r in QUERIES["contradictory_names_all"](spark, folder).collect()] == [("a", "x|y")]
+
+
+def test_second_tier_has_every_ranked_document(spark, folder):
+    stored(spark, folder, "documents", [(i, "circle" if i < 20 else "square") for i in range(25)], "doc_id long, text string")
+    stored(spark, folder, "benchmark", [(1, "circle")], "item_id long, text string")
+    assert [tuple(r) for r in QUERIES["second_tier_size_all"](spark, folder).collect()] == [(1, 8)]

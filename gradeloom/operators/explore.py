@@ -40,7 +40,27 @@ def ordered(df: DataFrame, *keys: tuple[str, bool]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in keys])
 
 
-def question_order(df: DataFrame, mode: str) -> DataFrame:
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Adds the place of every row, from 1, in an order without ties.
+
+    Rows are dealt by ranges of the order and sorted there; a place is that within the range
+    after the counts of the ranges before. The dealt rows are stored, since another run of the
+    plan may sample other ranges.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    before, n = [], 0
+    for r in sorted(dealt.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()):
+        before.append((r["_range"], n + 1 - r["first"]))
+        n += r["n"]
+    starts = F.broadcast(spark.createDataFrame(before, "_range long, _start long"))  # one row a range
+    return dealt.join(starts, "_range").withColumn(name, F.col("_at") + F.col("_start")).drop("_range", "_at", "_start")
+
+
+def question_keys(mode: str) -> list[Column]:
     """year, curriculum (no unit is 99), standard or hardest; ties by year and item."""
     first: dict[str, list[Column]] = {
         "year": [F.col("year").desc()],
@@ -48,7 +68,12 @@ def question_order(df: DataFrame, mode: str) -> DataFrame:
         "standard": [F.col("standard").asc()],
         "hardest": [F.coalesce("p_value", F.lit(1.0)).asc()],
     }
-    return df.orderBy(*first[mode], F.col("year").asc(), F.col("item").asc())
+    return [*first[mode], F.col("year").asc(), F.col("item").asc()]
+
+
+def question_order(df: DataFrame, mode: str) -> DataFrame:
+    """Rows in the order of question_keys."""
+    return df.orderBy(*question_keys(mode))
 
 
 def standard_rollup(registry: DataFrame, items: DataFrame, key: str = "standard") -> DataFrame:

@@ -35,6 +35,12 @@ def multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(w))  # a page of 200 rows
 
 
+@query(I + "SELECT item, avg_points, year, row_number() OVER (ORDER BY avg_points DESC NULLS LAST, year, item) AS place FROM items")
+def multi_key_sort_all(spark: SparkSession, d: str) -> DataFrame:
+    it = roles.items(spark, d).select("item", "avg_points", "year")
+    return explore.placed(it, F.col("avg_points").desc_nulls_last(), F.col("year").asc(), F.col("item").asc())
+
+
 def _order_sql(first: str) -> str:
     return I + f"SELECT item, year, p_value, unit, standard FROM items ORDER BY {first}, year, item LIMIT 50"
 
@@ -49,6 +55,20 @@ def curriculum_order(spark: SparkSession, d: str) -> DataFrame:
     return explore.question_order(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), "curriculum").limit(50)
 
 
+def _whole_order_sql(first: str) -> str:
+    return I + f"SELECT item, year, p_value, unit, standard, row_number() OVER (ORDER BY {first}, year, item) AS place FROM items"
+
+
+@query(_whole_order_sql("p_value"))
+def hardest_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return explore.placed(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), *explore.question_keys("hardest"))
+
+
+@query(_whole_order_sql("unit"))
+def curriculum_order_all(spark: SparkSession, d: str) -> DataFrame:
+    return explore.placed(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), *explore.question_keys("curriculum"))
+
+
 ROLLUP = f"""registry AS (SELECT DISTINCT standard FROM items UNION ALL SELECT 'Brand#none'),
 standard_rollup AS (
   SELECT standard, count(item) AS n_items, CAST(coalesce(sum(credits), 0) AS BIGINT) AS credits, count(*) FILTER (WHERE type = 'cr') AS n_cr, count(DISTINCT year) AS n_years,

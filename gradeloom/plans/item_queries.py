@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import analysis, itemstats
+from gradeloom.operators import analysis, explore, itemstats
 from gradeloom.plans import roles
 from gradeloom.plans.registry import query, r3, with_parts
 from gradeloom.plans.roles import CURVE, ITEMS, RESPONSES, STATS, STUDENTS
@@ -62,6 +62,12 @@ def class_vs_state_gap(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy("order_gap", "item")))  # a report of 25 rows
 
 
+@query(FULL + "SELECT item, gap, coalesce(gap, 1.0) AS order_gap, row_number() OVER (ORDER BY coalesce(gap, 1.0), item) AS place FROM item_stats")
+def class_vs_state_gap_all(spark: SparkSession, d: str) -> DataFrame:
+    stats = _stats(spark, d).select("item", "gap", F.coalesce("gap", F.lit(1.0)).alias("order_gap"))
+    return explore.placed(stats, F.col("order_gap").asc(), F.col("item").asc())
+
+
 def _rollup_sql(key: str) -> str:
     cls = r3("sum(earned) / sum(credits * n)")
     st = r3("sum(CAST(floor(coalesce(state_p, 0) * 1000 + 0.5) AS BIGINT) * credits * n) / 1000 / sum(credits * n)")

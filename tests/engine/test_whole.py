@@ -3,7 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
+from gradeloom.operators import explore
 from gradeloom.plans import registry
 
 QUERIES = registry.queries()
@@ -39,3 +41,17 @@ def test_second_tier_has_every_ranked_document(spark, folder):
     stored(spark, folder, "documents", [(i, "circle" if i < 20 else "square") for i in range(25)], "doc_id long, text string")
     stored(spark, folder, "benchmark", [(1, "circle")], "item_id long, text string")
     assert [tuple(r) for r in QUERIES["second_tier_size_all"](spark, folder).collect()] == [(1, 8)]
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_every_row_has_its_place(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = [(i, None if i % 5 == 0 else i % 3 / 2) for i in range(1000)]
+        got = explore.placed(spark.createDataFrame(rows, "item int, x double"), F.col("x").desc_nulls_last(), F.col("item").asc()).collect()
+        want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+        assert [tuple(r) for r in sorted(got, key=lambda r: r["place"])] == [(*r, k + 1) for k, r in enumerate(want)]
+        assert explore.placed(spark.createDataFrame([], "item int"), F.col("item").asc()).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

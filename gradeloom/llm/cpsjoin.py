@@ -33,6 +33,8 @@ TOKENS = 64
 LEAF, LOCAL = 128, 4096
 #: Levels that are split over the cluster, and within a task; deeper buckets are compared in blocks.
 LEVELS, DEPTH = 6, 10
+#: Levels that the first runs reckon with; texts on deeper paths get further runs.
+SHALLOW = 3
 #: Texts and shingles in a block of pairwise verification.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 #: Words whose hashes a worker remembers.
@@ -55,11 +57,27 @@ class Join:
     @property
     def runs(self) -> int:
         """Runs such that a pair at the threshold is in a common leaf of one of them with
-        the target recall, were it to pass three levels of splits in each."""
+        the target recall, were it to pass SHALLOW levels of splits in each."""
+        return int(np.ceil(np.log(1 - self.recall) / np.log(self._missed(SHALLOW))))
+
+    def _missed(self, levels: int) -> float:
+        """Probability that a pair at the threshold has no common leaf in a run of so many levels."""
         once = 1.0
-        for _ in range(3):
+        for _ in range(levels):
             once = 1 - (1 - self.threshold * once) * (1 - 0.25 * self.threshold * once)
-        return int(np.ceil(np.log(1 - self.recall) / np.log(1 - once)))
+        return 1 - once
+
+    def runs_at(self, levels: int) -> int:
+        """Runs that texts need whose paths go through so many levels of splits.
+
+        A pair is missed if it is parted within SHALLOW levels in all first runs, so that its
+        texts may not get further ones, or if it is parted in all runs of all levels.
+        """
+        if levels <= SHALLOW:
+            return self.runs
+        left = (1 - self.recall) - self._missed(SHALLOW) ** self.runs
+        left = left if left > 0 else (1 - self.recall) / 2
+        return max(self.runs, int(np.ceil(np.log(left) / np.log(self._missed(levels)))))
 
 
 class Hasher:
@@ -138,9 +156,13 @@ def forest(sig: np.ndarray, least: int) -> list[tuple[int, int]]:
     return edges
 
 
-def split(path: int, sig: np.ndarray, least: int, depth: int = 0) -> Iterator[tuple[int, int]]:
-    """Candidate edges below a node that fits into one task."""
+def split(path: int, sig: np.ndarray, least: int, depth: int, reached: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Candidate edges below a node that fits into one task.
+
+    reached gets the depth of the deepest leaf of each of ``rows``.
+    """
     if len(sig) <= LEAF or depth >= DEPTH:
+        reached[rows] = np.maximum(reached[rows], depth)
         yield from forest(sig, least)
         return
     for position in chosen(path):
@@ -149,7 +171,7 @@ def split(path: int, sig: np.ndarray, least: int, depth: int = 0) -> Iterator[tu
         bounds = np.flatnonzero(np.diff(keys[order])) + 1
         for part in np.split(order, bounds):
             if len(part) > 1:
-                for a, b in split(int(keys[part[0]]), sig[part], least, depth + 1):
+                for a, b in split(int(keys[part[0]]), sig[part], least, depth + 1, reached, rows[part]):
                     yield int(part[a]), int(part[b])
 
 
@@ -183,24 +205,33 @@ def _grouped(rows: DataFrame, by: list[str], f: Callable, schema: str) -> DataFr
     return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(f, schema)
 
 
-EDGES = "a binary, b binary"
+#: An edge, or with b null the levels of splits that a text went through, if more than SHALLOW.
+EDGES = "a binary, b binary, levels int"
 
 
-def bucket_edges(buckets: DataFrame, least: int) -> DataFrame:
-    """Candidate edges of buckets (path, text_id, sig) of at most LOCAL texts."""
+def _edges(a: list, b: list, levels: list | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "levels": pd.Series(levels or [0] * len(a), dtype="int32")})
+
+
+def bucket_edges(buckets: DataFrame, least: int, levels: int) -> DataFrame:
+    """Candidate edges of buckets (path, text_id, sig) of at most LOCAL texts, after ``levels`` splits."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for group in _runs(parts, ["path"]):
             sig = _sigs(group["sig"])
             ids = group["text_id"].tolist()
-            for i, j in split(int(group["path"].iloc[0]) & (1 << 64) - 1, sig, least):
+            reached = np.zeros(len(ids), dtype=np.int32)
+            for i, j in split(int(group["path"].iloc[0]) & (1 << 64) - 1, sig, least, 0, reached, np.arange(len(ids))):
                 a.append(ids[i])
                 b.append(ids[j])
+            deep = np.flatnonzero(reached + levels > SHALLOW) if len(ids) > 1 else []
+            if len(deep):
+                yield _edges([ids[i] for i in deep], [None] * len(deep), (reached[deep] + levels).tolist())
             if len(a) > 50_000:
-                yield pd.DataFrame({"a": a, "b": b})
+                yield _edges(a, b)
                 a, b = [], []
-        yield pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+        yield _edges(a, b)
 
     return _grouped(buckets, ["path"], work, EDGES)
 
@@ -216,7 +247,7 @@ def block_edges(buckets: DataFrame, least: int) -> DataFrame:
         for group in _runs(parts, ["path", "x", "y"]):
             ids = group["text_id"].tolist()
             edges = forest(_sigs(group["sig"]), least)
-            yield pd.DataFrame({"a": pd.Series([ids[i] for i, _ in edges], dtype=object), "b": pd.Series([ids[j] for _, j in edges], dtype=object)})
+            yield _edges([ids[i] for i, _ in edges], [ids[j] for _, j in edges])
 
     return _grouped(pairs, ["path", "x", "y"], work, EDGES)
 
@@ -224,10 +255,34 @@ def block_edges(buckets: DataFrame, least: int) -> DataFrame:
 def candidate_edges(sigs: DataFrame, join: Join) -> DataFrame:
     """(a, b): edges that connect every text to those it may be linked with.
 
-    sigs: (text_id, sig), stored and distinct.
+    sigs: (text_id, sig), stored and distinct. Texts that went through more than SHALLOW levels
+    of splits get further runs among themselves, until the runs suffice for the levels reached.
     """
+    found, done, runs, levels, texts = [], 0, join.runs, SHALLOW, sigs
+    while runs > done:
+        new = run_edges(texts, join, done, runs)
+        found += new
+        deep = new[0]
+        for x in new[1:]:
+            deep = deep.unionByName(x)
+        deep = deep.where(F.col("b").isNull())
+        most = deep.agg(F.max("levels")).head()[0]
+        if most is None and done == 0:
+            break
+        levels = max(levels, most or 0)
+        if done == 0:
+            texts = saved(deep.select(F.col("a").alias("text_id")).distinct().join(sigs, "text_id"), "deep")
+        done, runs = runs, join.runs_at(levels)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.where(F.col("b").isNotNull()).select("a", "b")
+
+
+def run_edges(sigs: DataFrame, join: Join, done: int, runs: int) -> list[DataFrame]:
+    """Stored rows of EDGES of the runs after the first ``done``."""
     least = join.least
-    roots = [int(x) for x in _mixed(np.arange(1, join.runs + 1, dtype=np.uint64))]
+    roots = [int(x) for x in _mixed(np.arange(done + 1, runs + 1, dtype=np.uint64))]
 
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -255,18 +310,17 @@ def candidate_edges(sigs: DataFrame, join: Join) -> DataFrame:
         sizes = saved(paths.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "buckets")
         alive = paths.join(sizes, F.col("path") == F.col("_p")).select("path", "text_id", "_n")
         with_sig = lambda rows: rows.join(sigs, "text_id").select("path", "text_id", "sig")
-        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL)), least).distinct(), "candidates"))
+        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL)), least, level + 1).distinct(), "candidates"))
         large = alive.where(F.col("_n") > LOCAL)
         if sizes.where(F.col("_n") > LOCAL).isEmpty():
             break
         if level == LEVELS - 1:
             found.append(saved(block_edges(with_sig(large), least).distinct(), "candidates"))
+            if LEVELS > SHALLOW:
+                found.append(saved(large.select(F.col("text_id").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(LEVELS).alias("levels")).distinct(), "candidates"))
         else:
             paths = saved(with_sig(large).mapInPandas(deeper, "path long, text_id binary"), "paths")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return found
 
 
 # --- verification ------------------------------------------------------------------

@@ -70,6 +70,26 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_texts_on_deep_paths_get_further_runs(spark, monkeypatch):
+    """Texts that share 60 % of their tokens don't fall apart within three levels."""
+    asked, run_edges = [], J.run_edges
+    monkeypatch.setattr(J, "run_edges", lambda sigs, join, done, runs: asked.append((done, runs)) or run_edges(sigs, join, done, runs))
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 32, (1500, J.TOKENS), dtype=np.uint32)
+    sigs[rng.random(sigs.shape) < 0.6] = 7
+    rows = [(b"%d" % i, x.tobytes()) for i, x in enumerate(sigs)]
+    J.candidate_edges(spark.createDataFrame(rows, "text_id binary, sig binary").cache(), J.Join())
+    assert asked[0] == (0, 7) and asked[1][0] == 7 and asked[-1][1] >= J.Join().runs_at(4) > 7
+
+
+def test_runs_follow_the_levels():
+    j = J.Join()
+    assert j.runs == j.runs_at(3) == 7
+    first = j._missed(3) ** j.runs
+    for levels in range(4, J.LEVELS + J.DEPTH + 1):
+        assert first + j._missed(levels) ** j.runs_at(levels) <= 1 - j.recall
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, clashing, no_docs):
     got = J.jaccard_join(odd_docs)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(odd_rows)

@@ -129,7 +129,7 @@ def decoded_expressions(glyphs: DataFrame, *keys: str) -> DataFrame:
 
     A bar with glyphs above and below is a fraction; one with glyphs only below is an
     overbar, or a radical if a radical glyph touches its left end; a glyph raised by a
-    third of the line is an exponent.
+    third of the line is an exponent. A bar with nothing below is a minus.
     """
     schema = ", ".join(f"`{k}` {glyphs.schema[k].dataType.simpleString()}" for k in keys) + ", text string"
 
@@ -147,10 +147,10 @@ def decoded_expressions(glyphs: DataFrame, *keys: str) -> DataFrame:
                 made = f"({decode(above)})/({decode(below)})"
             elif below:
                 made = f"sqrt({decode(below)})" if root else f"overbar({decode(below)})"
-            else:
-                made = ""
+            else:  # a bare bar; what is above it stays
+                made, taken, above, root = "\u2212", set(), [], None
             token = {"kind": "done", "label": made, "x0": (root or b)["x0"], "x1": b["x1"], "y0": min([r["y0"] for r in above + below] or [b["y0"]]), "y1": max([r["y1"] for r in above + below] or [b["y1"]])}
-            return decode([r for r in rest if id(r) not in taken] + ([token] if made else []))
+            return decode([r for r in rest if id(r) not in taken] + [token])
         rows = sorted(rows, key=lambda r: r["x0"])
         plain = [r for r in rows if r["kind"] != "done"]
         height = sorted(r["y1"] - r["y0"] for r in plain)[len(plain) // 2] if plain else 0

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import explore
+from gradeloom.operators import explore, expressions
 from gradeloom.plans import registry
 
 QUERIES = registry.queries()
@@ -55,3 +55,11 @@ def test_every_row_has_its_place(spark, parts):
         assert explore.placed(spark.createDataFrame([], "item int"), F.col("item").asc()).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_bare_bars_are_minuses(spark):
+    glyph = lambda e, x, t: (e, "glyph", t, x, x + 5.0, 0.0, 10.0)
+    bar = lambda e, x: (e, "bar", None, x, x + 5.0, 5.0, 5.5)
+    rows = [bar(1, 0.0), glyph(1, 6.0, "3"), glyph(2, 6.0, "3"), glyph(3, 0.0, "x"), bar(3, 7.0), glyph(3, 14.0, "1")]
+    df = spark.createDataFrame(rows, "id int, kind string, label string, x0 double, x1 double, y0 double, y1 double")
+    assert {r["id"]: r["text"] for r in expressions.decoded_expressions(df, "id").collect()} == {1: "\u22123", 2: "3", 3: "x\u22121"}

@@ -5,7 +5,13 @@ source) as a log-linear histogram: a value keeps its leading ``PRECISION`` bits,
 a bucket is at most 1/32 of its value wide. Such sketches merge by adding counts,
 whatever the order, and so the language's and the corpus's sketches are sums of the
 sources' ones. The quartiles of a sketch give fences (quartile plus or minus
-``fence`` interquartile ranges); documents outside are rejected.
+``fence`` interquartile ranges). A source's fences are drawn towards those of its
+language, and these towards the corpus's, as if ``WEIGHT`` documents of the coarser
+sketch had been added: few documents hardly move the coarser fences, many decide alone,
+and no count switches from one to the other. Documents outside are rejected.
+
+A measure's spread is at least ``least_spread``, its resolution: where most documents have
+the same value, the quartiles say nothing of how far a good document may lie from it.
 
 Only DataFrame functions are used.
 """
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm.common import WORD, saved, table, text_or_empty
 
 PRECISION = 6
+#: Documents of the coarser sketch that a finer one's fences are mixed with.
+WEIGHT = 50
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -44,8 +52,8 @@ MEASURES = (
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to ``docs``.
 
-    A null or empty text has 0 everywhere. Columns of those names in ``docs`` are
-    replaced; columns starting with ``_q_`` are used inside.
+    A null or empty text has 0 everywhere; a long one is measured whole. Columns of those
+    names in ``docs`` are replaced; columns starting with ``_q_`` are used inside.
     """
     t = text_or_empty(text)
     n = F.size("_q_words")
@@ -111,16 +119,16 @@ def fences(sketch: DataFrame, keys: list[str], fence: int) -> DataFrame:
     for m in MEASURES:
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(m.least_spread))
         mine = F.col("measure") == m.name
-        cols.append(F.max(F.when(mine, F.col("q1") - spread * fence)).alias(f"{m.name}_lo"))
+        cols.append(F.max(F.when(mine, F.greatest(F.col("q1") - spread * fence, F.lit(0)))).alias(f"{m.name}_lo"))
         cols.append(F.max(F.when(mine, F.col("q3") + spread * fence)).alias(f"{m.name}_hi"))
     return quart.groupBy(*keys).agg(*cols)
 
 
-def source_fences(measured: DataFrame, fence: int, min_docs: int) -> DataFrame:
-    """(lang, source, <measure>_lo, <measure>_hi).
+def source_fences(measured: DataFrame, fence: int, weight: int) -> DataFrame:
+    """(f_lang, f_source, f_<measure>_lo, f_<measure>_hi): one row per (language, source).
 
-    A (language, source) with fewer than ``min_docs`` documents takes the merged
-    fences of its language, one with fewer still those of the corpus.
+    Each fence is (n * own + weight * coarser) / (n + weight), in whole numbers, over the
+    sketch's n documents; the coarser one is the language's, mixed likewise with the corpus's.
     """
     fine = saved(sketches(measured, ["lang", "source"]), "sketches")
     by_lang = merged(fine, ["lang"])
@@ -131,11 +139,22 @@ def source_fences(measured: DataFrame, fence: int, min_docs: int) -> DataFrame:
     one = whole.withColumn("one", F.lit(1))
     c = fences(one, ["one"], fence).select("one", *[F.col(x).alias(f"c_{x}") for x in names])
     joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")), "left").withColumn("one", F.lit(1)).join(c, "one", "left")
-    pick = lambda x: F.when(F.col("total") >= min_docs, F.col(x)).when(F.col("b_total") >= min_docs, F.col(f"b_{x}")).otherwise(F.col(f"c_{x}"))
-    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[pick(x).alias(f"f_{x}") for x in names])
+    own = lambda x: F.expr(f"(total * {x} + {weight} * ((b_total * b_{x} + {weight} * c_{x}) div (b_total + {weight}))) div (total + {weight})")
+    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[own(x).alias(f"f_{x}") for x in names])
+
+
+def inside() -> Column:
+    """Whether a row's measures lie within its fences."""
+    ok = F.lit(True)
+    for x in MEASURES:
+        v = F.expr(x.expr)
+        ok = ok & (v <= F.col(f"f_{x.name}_hi"))
+        if x.low_side:
+            ok = ok & (v >= F.col(f"f_{x.name}_lo"))
+    return ok
 
 
-def judged(measured: DataFrame, fence: int = 3, min_docs: int = 200) -> DataFrame:
+def judged(measured: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
     """Adds base_failed and kept to a table with the text measures, lang and source.
 
     Sketches are taken over the documents that pass the base rules. A (language,
@@ -143,53 +162,42 @@ def judged(measured: DataFrame, fence: int = 3, min_docs: int = 200) -> DataFram
     anyway. Null languages and sources form groups of their own.
     """
     m = measured.withColumn("base_failed", base_failed())
-    limits = source_fences(m.where(~F.col("base_failed")), fence, min_docs)
+    limits = source_fences(m.where(~F.col("base_failed")), fence, weight)
     joined = m.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    inside = F.lit(True)
-    for x in MEASURES:
-        v = F.expr(x.expr)
-        inside = inside & (v <= F.col(f"f_{x.name}_hi"))
-        if x.low_side:
-            inside = inside & (v >= F.col(f"f_{x.name}_lo"))
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside(), F.lit(False)))
     return joined.withColumn("kept", kept).drop(*[c for c in limits.columns])
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality(docs: DataFrame, fence: int = 3, min_docs: int = 200) -> DataFrame:
+def quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
     """doc_id, the five counts, base_failed, kept: one row per row of ``docs``.
 
-    Defined results: null or empty text: zero counts, base_failed; repeated rows are
-    judged each; an empty table gives an empty result; other columns of ``docs`` are
-    not used, whatever their names.
+    Defined results: null or empty text: zero counts, base_failed; very long texts are
+    measured whole; a value that ties with a fence is inside; repeated rows are judged each
+    and count each; an empty table gives an empty result; other columns of ``docs`` are not
+    used, whatever their names.
     """
     own = text_measures(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    return judged(saved(own, "measures"), fence, min_docs).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(saved(own, "measures"), fence, weight).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def filter_quality(docs: DataFrame, fence: int = 3, min_docs: int = 200) -> DataFrame:
+def filter_quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
     """The rows of ``docs`` that quality() keeps, with their own columns.
 
-    Measures and fences come from a first pass that stores numbers only; the second
-    pass measures again beside the text and joins the fences, so texts are never
-    shuffled unless the fences outgrow a broadcast.
+    Every text is measured once: the rows are stored beside their measures, the fences come
+    from the measures alone, and the stored rows are joined with them, so texts are never
+    shuffled unless the fences outgrow a broadcast. Nulls, empty and very long texts, ties
+    and repeated rows are judged as by quality(); an empty table stays empty; columns may
+    have any names.
     """
-    names = docs.columns
-    own = saved(text_measures(docs.select("text", "lang", "source")).drop("text"), "measures").where(~base_failed())
-    limits = saved(source_fences(own, fence, min_docs), "fences")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_q_row"), "text", "lang", "source")
-    # a predicate pushed below the measures would repeat them within their own lambdas; it
-    # isn't pushed below a column that counts rows
-    m = text_measures(packed).withColumn("_q_bar", F.monotonically_increasing_id()).where((F.col("_q_bar") >= 0) & ~base_failed())
-    ok = F.lit(True)
-    for x in MEASURES:
-        ok = ok & (F.expr(x.expr) <= F.col(f"f_{x.name}_hi"))
-        if x.low_side:
-            ok = ok & (F.expr(x.expr) >= F.col(f"f_{x.name}_lo"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"))
+    measured = saved(text_measures(packed, "_q_row.text"), "measured").where(~base_failed())
+    m = measured.select("*", F.col("_q_row.lang").alias("lang"), F.col("_q_row.source").alias("source"))
+    limits = saved(source_fences(m.select("lang", "source", *COUNTS), fence, weight), "fences")
     joined = m.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
-    return joined.where(ok).select("_q_row.*")
+    return joined.where(inside()).select("_q_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,21 +247,23 @@ quart AS (
 fence AS (
   SELECT l, s, max(total) AS total,
          max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 1) AS hi1,
-         max(q1 - 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 2) AS lo2,
+         max(greatest(q1 - 3 * greatest(q3 - q1, least), 0)) FILTER (WHERE m = 2) AS lo2,
          max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 2) AS hi2,
          max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 3) AS hi3,
          max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 4) AS hi4
   FROM quart GROUP BY l, s),
+mixed AS (
+  SELECT f1.l, f1.s, {mixed}
+  FROM fence f1 JOIN fence f2 ON f2.l = f1.l AND f2.s IS NULL JOIN fence f3 ON f3.l IS NULL AND f3.s IS NULL
+  WHERE f1.s IS NOT NULL),
 chosen AS (
-  SELECT j.*, CASE WHEN f1.total >= 200 THEN f1 WHEN f2.total >= 200 THEN f2 ELSE f3 END AS f
-  FROM judged j
-  LEFT JOIN fence f1 ON f1.l = coalesce(j.lang, '?') AND f1.s = coalesce(j.source, '?')
-  LEFT JOIN fence f2 ON f2.l = coalesce(j.lang, '?') AND f2.s IS NULL
-  LEFT JOIN fence f3 ON f3.l IS NULL AND f3.s IS NULL)"""
+  SELECT j.*, f FROM judged j LEFT JOIN mixed f ON f.l = coalesce(j.lang, '?') AND f.s = coalesce(j.source, '?'))"""
+
+_MIXED = ", ".join(f"CAST((f1.total * f1.{x} + {WEIGHT} * ((f2.total * f2.{x} + {WEIGHT} * f3.{x}) // (f2.total + {WEIGHT}))) // (f1.total + {WEIGHT}) AS BIGINT) AS {x}" for x in ("hi1", "lo2", "hi2", "hi3", "hi4"))
 
 ORACLE = (
     "WITH "
-    + MEASURE_SQL.format(docs="documents")
+    + MEASURE_SQL.format(docs="documents", mixed=_MIXED)
     + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(v1 <= f.hi1 AND v2 BETWEEN f.lo2 AND f.hi2 AND v3 <= f.hi3 AND v4 <= f.hi4, false) AS kept

@@ -31,10 +31,46 @@ def test_sketch_is_merged_and_fences_reject_outliers(spark):
     clean = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", f"s{i % 3}") for i in range(60)]
     junk = [(900 + i, " ".join(f"w{i}y{j}***" for j in range(60)), "en", "s0") for i in range(5)]
     df = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
-    kept = {r["doc_id"]: r["kept"] for r in Q.quality(df, min_docs=10).collect()}
-    assert all(kept[i] for i in range(60)) and not any(kept[900 + i] for i in range(5))
-    few = {r["doc_id"]: r["kept"] for r in Q.quality(df, min_docs=10**6).collect()}  # all fall back to the corpus
-    assert few == kept
+    for weight in (0, 50, 10**6):  # own fences, mixed ones, in effect the corpus's
+        kept = {r["doc_id"]: r["kept"] for r in Q.quality(df, weight=weight).collect()}
+        assert all(kept[i] for i in range(60)) and not any(kept[900 + i] for i in range(5))
+
+
+def test_a_source_with_many_documents_has_its_own_fences(spark):
+    def text(i, n):
+        return " ".join(f"w{i}x{j}" + "#" * n for j in range(60))
+
+    # symbols per 1,000 words: none in one source, 1,000 in the other
+    rows = [(i, text(i, 0), "en", "plain") for i in range(300)] + [(1000 + i, text(i, 1), "en", "marked") for i in range(300)]
+    rows += [(5000, text(1, 1), "en", "plain"), (5001, text(2, 1), "en", "marked"), (5002, text(3, 1), "en", "new"), (5003, text(4, 0), "fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in Q.quality(df).collect()}
+    assert not kept[5000] and kept[5001] and kept[5002] and kept[5003]
+    assert all(v for k, v in kept.items() if k != 5000)
+    fences = {(r["f_lang"], r["f_source"]): r["f_symbols_hi"] for r in Q.source_fences(Q.text_measures(df), 3, Q.WEIGHT).collect()}
+    language = 4 * 992  # as the corpus; quartiles 0 and 992, the bucket of 1,000
+    assert fences["en", "plain"] == (301 * 300 + 50 * language) // 351 < 1000 <= fences["en", "marked"]
+
+
+def test_fences_meet_the_sql_on_larger_groups(spark, tmp_path):
+    """Per-source fences decide here: groups of several hundred documents."""
+    import duckdb
+
+    rng = __import__("random").Random(4)
+    rows = []
+    for i in range(2400):
+        source = rng.choice(["a", "b", None])
+        marks = rng.choice([0, 0, 1, 2]) if source == "a" else rng.choice([0, 0, 0, 0, 0, 1])
+        rows.append((i, " ".join(f"w{rng.randrange(10**6)}" + "#" * marks * (rng.random() < 0.7) for _ in range(rng.randint(40, 70))), rng.choice(["en", "de"]), source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = Counter(con.execute(Q.ORACLE).fetchall())
+    got = Q.quality(df)
+    assert Counter(map(tuple, got.collect())) == want
+    kept = {(s, k): n for s, k, n in con.execute(f"SELECT source, kept, count(*) FROM ({Q.ORACLE}) JOIN documents USING (doc_id) WHERE NOT base_failed GROUP BY ALL").fetchall()}
+    assert kept["b", False] > 50 and kept["a", True] > 300
 
 
 def test_bucket_keeps_leading_bits(spark):

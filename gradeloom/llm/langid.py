@@ -6,8 +6,14 @@ has a transition, so every phrase is a longest match with the labelled text. The
 phrases, times the logarithm of the sample's length and over the text's length,
 estimate the cross entropy; the language with the least estimate wins.
 
-The parse runs in lock step over many blocks of text at once: one gather in a dense
-transition table steps every block in every language.
+The parse runs in lock step over many blocks of text at once. A block is first parsed as
+if it opened a phrase; then those that continue a text are parsed again from the state
+in which the block before them ended, until both parses are in the same state, from
+where they are one. So phrases run over the blocks' borders, as in one parse of the
+whole text.
+
+The automata's transitions are sparse: rows of a table displaced into each other, so
+that memory grows with the samples, not with the alphabets.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.common import table, text_or_empty
 
-#: A text is parsed in blocks of so many characters; a phrase ends with its block.
+#: Characters that are stepped through at once in a text.
 BLOCK = 1024
 #: Characters that are stepped at once in a worker.
 BATCH_CHARS = 2_000_000
-NEW_PHRASE = 1 << 30
+LOW = (1 << 32) - 1
 
 
 def folded(text: str) -> str:
@@ -66,19 +72,52 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 @dataclass
 class Model:
-    """langs; codes: code point -> column of steps; steps[state, code] over all languages.
+    """langs; codes: code point -> column of an alphabet of all languages; the transitions.
 
-    A step holds the next state and, in bit 30, whether it starts a new phrase.
+    cells[base[state] + column] holds the state that owns the cell and, below, the next
+    state; if another state owns it, there is no transition, and a phrase opens with
+    first[column, language]. start: the state of each language before a text.
     """
 
     langs: list[str]
     codes: np.ndarray
-    steps: np.ndarray
-    width: int
+    base: np.ndarray
+    cells: np.ndarray
+    first: np.ndarray
     start: np.ndarray
     scale: np.ndarray
 
 
+def displaced(owner: np.ndarray, column: np.ndarray, states: int, width: int) -> tuple[np.ndarray, int]:
+    """(base per state, number of cells): base + column is another cell for every transition.
+
+    States with many transitions come first; those with one fill what is left. Places are
+    tried at random, all states with equally many transitions at once.
+    """
+    rng = np.random.default_rng(7)
+    base = np.zeros(states, dtype=np.int64)
+    size = len(owner) * 3 // 2 + 2 * width
+    free = np.ones(size, dtype=bool)
+    claim = np.zeros(size, dtype=np.int64)
+    order = np.argsort(owner, kind="stable")
+    owner, column = owner[order], column[order]
+    degree = np.bincount(owner, minlength=states)
+    at = np.cumsum(degree) - degree
+    for d in sorted(set(degree[degree > 1].tolist()), reverse=True):
+        rest = np.flatnonzero(degree == d)
+        while len(rest):
+            try_ = rng.integers(0, size - width, len(rest))
+            slots = try_[:, None] + column[at[rest][:, None] + np.arange(d)]
+            claim[slots] = rest[:, None]
+            won = free[slots].all(axis=1) & (claim[slots] == rest[:, None]).all(axis=1)
+            free[slots[won]] = False
+            base[rest[won]] = try_[won]
+            rest = rest[~won]
+    one = np.flatnonzero(degree == 1)
+    base[one] = np.flatnonzero(free[width:])[: len(one)] + width - column[at[one]]
+    return base, size + width
+
+
 def train(samples: dict[str, str]) -> Model:
     """A model from labelled text per language (see ``folded``)."""
     langs = sorted(samples)
@@ -87,26 +126,30 @@ def train(samples: dict[str, str]) -> Model:
     width = len(alphabet) + 2  # blank, letters, letters never seen
     column = {" ": 0} | {c: i + 1 for i, c in enumerate(alphabet)}
     letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-    codes = np.where(letter, width - 1, 0).astype(np.uint16)
+    codes = np.where(letter, width - 1, 0).astype(np.int32)
     for c, i in column.items():
         codes[ord(c)] = i
-    tables, start, at = [], [], 0
+    rows: list[tuple[int, int, int]] = []
+    start, offsets, roots, at = [], [], [], 0
     for text in texts:
         edges = suffix_automaton(text)
-        dead = len(edges)  # before a block and behind an unseen letter: whatever comes opens a phrase
-        t = np.full((dead + 1, width), -1, dtype=np.int64)
-        for s, out in enumerate(edges):
-            for c, to in out.items():
-                t[s, column[c]] = to
-        first = np.where(t[0] >= 0, t[0], dead) | NEW_PHRASE
-        t = np.where(t >= 0, t, first[None, :])
-        tables.append((t + at).astype(np.int32))
-        start.append(at + dead)
-        at += dead + 1
-    if at >= NEW_PHRASE:
-        raise ValueError("the sample is too long")
+        rows += [(s + at, column[c], to + at) for s, out in enumerate(edges) for c, to in out.items()]
+        roots.append(edges[0])
+        offsets.append(at)
+        start.append(at + len(edges))  # before a text and behind an unseen letter: whatever comes opens a phrase
+        at += len(edges) + 1
+    if at > LOW >> 1:
+        raise ValueError("the samples are too long")
+    first = np.tile(np.array(start, dtype=np.int64), (width, 1))
+    for k, root in enumerate(roots):
+        for c, to in root.items():
+            first[column[c], k] = to + offsets[k]
+    owner, cols, to = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else np.zeros((3, 0), dtype=np.int64)
+    base, size = displaced(owner, cols, at, width)
+    cells = np.full(size, -1, dtype=np.int64)
+    cells[base[owner] + cols] = owner << 32 | to
     scale = np.array([np.log2(max(len(t), 2)) for t in texts])
-    return Model(langs, codes, np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32), width, np.array(start, dtype=np.int64), scale)
+    return Model(langs, codes, base, cells, first, np.array(start, dtype=np.int64), scale)
 
 
 def coded(text: str, model: Model) -> np.ndarray:
@@ -119,28 +162,72 @@ def _letters(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def phrases(blocks: list[np.ndarray], model: Model) -> np.ndarray:
-    """Phrase counts (blocks x languages); the blocks are at most BLOCK long."""
-    n, k = len(blocks), len(model.langs)
-    size = np.array([len(b) for b in blocks])
+def _step(model: Model, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next states, whether they open a phrase) of rows of states, one column each."""
+    cell = model.cells[model.base[state] + column[:, None]]
+    opens = cell >> 32 != state
+    return np.where(opens, model.first[column], cell & LOW), opens
+
+
+def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
+    """Phrase counts (texts x languages) of coded texts."""
+    cut = [(i, c[p : p + BLOCK], p > 0) for i, c in enumerate(texts) for p in range(0, len(c), BLOCK)]
+    n, k = len(cut), len(model.langs)
+    size = np.array([len(b) for _, b, _ in cut], dtype=np.int64)
     order = np.argsort(-size, kind="stable")
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    size = size[order]
     longest = int(size.max(initial=0))
     grid = np.zeros((longest, n), dtype=np.int32)
-    for j, b in enumerate(order):
-        grid[: size[b], j] = blocks[b]
-    alive = np.searchsorted(-size[order], -np.arange(1, longest + 1), side="right")
-    state = np.repeat(model.start[None, :], n, axis=0)
-    count = np.zeros((n, k), dtype=np.int32)
+    for j, (_, b, _) in zip(place, cut, strict=True):
+        grid[: len(b), j] = b
+    # every block as if it opened a phrase
+    alive = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
+    end = np.repeat(model.start[None, :], n, axis=0)
+    count = np.zeros((n, k), dtype=np.int64)
     for t in range(longest):
         m = alive[t]
-        step = model.steps[state[:m] * model.width + grid[t, :m, None]]
-        count[:m] += step >> 30
-        state[:m] = step & (NEW_PHRASE - 1)
-    out = np.empty_like(count)
-    out[order] = count
+        end[:m], opens = _step(model, end[:m], grid[t, :m])
+        count[:m] += opens
+    # those that continue a text from the state before them; again where that state changes
+    before = np.full(n, -1, dtype=np.int64)
+    after = np.full(n, -1, dtype=np.int64)
+    for i, (_, _, more) in enumerate(cut):
+        if more:
+            before[place[i]], after[place[i - 1]] = place[i - 1], place[i]
+    fresh, fresh_end = count.copy(), end.copy()
+    todo = np.flatnonzero(before >= 0)
+    while len(todo):
+        diff, last = _resumed(grid, size, todo, end[before[todo]], fresh_end[todo], model)
+        count[todo] = fresh[todo] + diff
+        changed = todo[(last != end[todo]).any(axis=1)]
+        end[todo] = last
+        todo = after[changed]
+        todo = todo[todo >= 0]
+    out = np.zeros((len(texts), k), dtype=np.int64)
+    np.add.at(out, np.array([i for i, _, _ in cut], dtype=np.int64), count[place])
     return out
 
 
+def _resumed(grid: np.ndarray, size: np.ndarray, rows: np.ndarray, begin: np.ndarray, fresh_end: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(difference of the counts, end states) of blocks that begin in given states, against
+    those that open a phrase; a row ends where both parses are in the same states."""
+    mine, fresh = begin.copy(), np.repeat(model.start[None, :], len(rows), axis=0)
+    diff, last = np.zeros(begin.shape, dtype=np.int64), fresh_end.copy()
+    live, t = np.flatnonzero((mine != fresh).any(axis=1)), 0
+    while len(live):
+        column = grid[t, rows[live]]
+        mine[live], a = _step(model, mine[live], column)
+        fresh[live], b = _step(model, fresh[live], column)
+        diff[live] += a.astype(np.int64) - b
+        t += 1
+        over = size[rows[live]] == t
+        last[live[over]] = mine[live[over]]
+        live = live[~over & (mine[live] != fresh[live]).any(axis=1)]
+    return diff, last
+
+
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """The winning language and the margin (0 to 1) over the runner-up.
 
@@ -151,14 +238,8 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
     todo: list[tuple[int, np.ndarray]] = []
 
     def flush() -> None:
-        blocks = [b for _, b in todo]
-        of = np.array([i for i, _ in todo])
-        got = phrases(blocks, model)
-        ids, at = np.unique(of, return_inverse=True)
-        sums = np.zeros((len(ids), len(model.langs)))
-        np.add.at(sums, at, got)
-        bits = sums * model.scale
-        for i, row in zip(ids, bits, strict=True):
+        bits = phrases([c for _, c in todo], model) * model.scale
+        for (i, _), row in zip(todo, bits, strict=True):
             best = int(row.argmin())
             langs[i] = model.langs[best]
             rest = np.delete(row, best)
@@ -170,7 +251,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
         if not model.langs or text is None or not _letters(text):
             continue
         c = coded(text, model)
-        todo += [(i, c[p : p + BLOCK]) for p in range(0, len(c), BLOCK)]
+        todo.append((i, c))
         held += len(c)
         if held >= BATCH_CHARS:
             flush()
@@ -210,7 +291,7 @@ def labelled_sample(docs: DataFrame, sample_chars: int = 40_000, sample_docs: in
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score to the rows of ``docs`` (columns of those names are replaced)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bound
+    shared = spark.sparkContext.broadcast(model)  # some 40 bytes a character of the bounded samples, and the alphabet's columns
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -227,9 +308,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def language_id(docs: DataFrame, sample_chars: int = 40_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of ``docs``.
 
-    lang and doc_id only choose the training sample; a prediction sees the text alone.
-    Null and letterless texts give und with score 0; so does everything if no row is
-    labelled. An empty table gives an empty result.
+    lang and doc_id only choose the training sample; a prediction sees the text alone, the
+    whole of it however long. Null and letterless texts give und with score 0; so does
+    everything if no row is labelled. Languages that tie give the first by name, with score
+    0. Repeated rows are judged each; an empty table gives an empty result; other columns
+    are not used, whatever their names.
     """
     own = docs.select("doc_id", "text", "lang")
     model = train(labelled_sample(own, sample_chars))
@@ -241,6 +324,8 @@ def filter_language(docs: DataFrame, sample_chars: int = 40_000, least_score: fl
     """The rows whose language is identified with a margin of ``least_score`` or more.
 
     If nothing is labelled, no language can be learned and every row with a letter stays.
+    Null and letterless texts go; long ones are judged whole; repeated rows are judged each;
+    an empty table stays empty; columns may have any names.
     """
     model = train(labelled_sample(docs.select("doc_id", "text", "lang"), sample_chars))
     if not model.langs:

@@ -3,7 +3,7 @@
 write_stream() multiplexes 8-bit samples into 188-byte packets: program tables, then
 elementary packets with time stamps, cut into packets with continuity counters.
 read_stream() parses the tables, checks the counters, reassembles the elementary
-packets and lists time stamps and random-access points.
+packets, checks their lengths and lists time stamps and random-access points.
 """
 
 from __future__ import annotations
@@ -121,7 +121,8 @@ def _packet(start: int, count: int, extra: bytes, adapted: bool, body: bytes) ->
 
 @dataclass
 class Stream:
-    """stamps: (time stamp, packet number, random access) of every elementary packet."""
+    """stamps: (time stamp, packet number, random access) of every elementary packet.
+    length_errors: elementary packets with other than the bytes that their header states."""
 
     payload: bytes = b""
     packets: int = 0
@@ -129,6 +130,7 @@ class Stream:
     counter_errors: int = 0
     sync_errors: int = 0
     table_errors: int = 0
+    length_errors: int = 0
 
 
 def _read_section(body: bytes) -> tuple[bytes, bool]:
@@ -142,13 +144,16 @@ def read_stream(media: bytes) -> Stream:
     """Reads a stream with one program and one elementary stream.
 
     Damage is counted, not raised: packets without sync are skipped, a counter that
-    doesn't follow is an error, a repeated counter is a duplicate and is skipped, and a
-    table with a wrong check sum isn't used.
+    doesn't follow is an error, a repeated counter is a duplicate and is skipped, a
+    table with a wrong check sum isn't used, and so is an elementary packet that isn't as
+    long as its header states (0: any length).
     """
     got = Stream()
     pmt_pid = stream_pid = -1
     last: dict[int, int] = {}
     parts: list[bytes] = []
+    # bytes that the elementary packet still lacks; None where its header states none
+    lacking: int | None = None
     for number, p in enumerate(range(0, len(media) - PACKET + 1, PACKET)):
         got.packets += 1
         if media[p] != SYNC:
@@ -174,11 +179,17 @@ def read_stream(media: bytes) -> Stream:
         if pid == stream_pid:
             if not start:
                 parts.append(media[at : p + PACKET])
+                if lacking is not None:
+                    lacking -= p + PACKET - at
                 continue
+            got.length_errors += bool(lacking)
+            lacking = None
             if media[at : at + 3] != b"\x00\x00\x01":
                 got.table_errors += 1
                 continue
             skip = at + 9 + media[at + 8]
+            if stated := int.from_bytes(media[at + 4 : at + 6], "big"):
+                lacking = stated - 3 - media[at + 8] - (p + PACKET - skip)
             s = media[at + 9 : at + 14]
             pts = (s[0] & 0x0E) << 29 | s[1] << 22 | (s[2] & 0xFE) << 14 | s[3] << 7 | s[4] >> 1 if media[at + 7] & 0x80 else -1
             got.stamps.append((pts, number, access))
@@ -194,6 +205,7 @@ def read_stream(media: bytes) -> Stream:
             if good:
                 info = int.from_bytes(section[10:12], "big") & 0x0FFF
                 stream_pid = int.from_bytes(section[13 + info : 15 + info], "big") & 0x1FFF
+    got.length_errors += bool(lacking)
     got.payload = b"".join(parts)
     return got
 
@@ -208,7 +220,12 @@ def stored(texts: pd.Series) -> pd.Series:
     return pd.Series([write_stream(padded(t.encode())) for t in texts], dtype=object)
 
 
-READ = "payload: binary, packets: bigint, counter_errors: bigint, sync_errors: bigint, table_errors: bigint, stamps: array<struct<pts: bigint, packet: bigint, random_access: boolean>>"
+STAMPS = "array<struct<pts: bigint, packet: bigint, random_access: boolean>>"
+READ = f"payload: binary, packets: bigint, counter_errors: bigint, sync_errors: bigint, table_errors: bigint, length_errors: bigint, stamps: {STAMPS}"
+
+
+def stamp_rows(x: Stream) -> list[dict]:
+    return [{"pts": a, "packet": b, "random_access": c} for a, b, c in x.stamps]
 
 
 def opened(media: pd.Series) -> pd.DataFrame:
@@ -220,7 +237,8 @@ def opened(media: pd.Series) -> pd.DataFrame:
         "counter_errors": [x.counter_errors for x in got],
         "sync_errors": [x.sync_errors for x in got],
         "table_errors": [x.table_errors for x in got],
-        "stamps": [[{"pts": a, "packet": b, "random_access": c} for a, b, c in x.stamps] for x in got],
+        "length_errors": [x.length_errors for x in got],
+        "stamps": [stamp_rows(x) for x in got],
     })
 
 
@@ -232,10 +250,10 @@ def feature(x: Stream) -> str:
     steps = int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64)) * 1000 // n
     access = sum(a for _, _, a in x.stamps)
     span = f"{x.stamps[0][0]}-{x.stamps[-1][0]}" if x.stamps else "-"
-    return f"packets={x.packets};units={len(x.stamps)};access={access};pts={span};errors={x.counter_errors + x.sync_errors + x.table_errors};mean={mean};steps={steps}"
+    return f"packets={x.packets};units={len(x.stamps)};access={access};pts={span};errors={x.counter_errors + x.sync_errors + x.table_errors + x.length_errors};mean={mean};steps={steps}"
 
 
-DIGESTS = "payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string"
+DIGESTS = f"payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string, stamps: {STAMPS}"
 
 
 def digested(media: pd.Series) -> pd.DataFrame:
@@ -243,26 +261,39 @@ def digested(media: pd.Series) -> pd.DataFrame:
     for m in media:
         m = bytes(m)
         x = read_stream(m)
-        rows.append((len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x)))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        rows.append((len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(x), stamp_rows(x)))
+    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stamps"])
 
 
 def media_column(docs: DataFrame, name: str = "media") -> DataFrame:
-    """``docs`` plus a binary column with the transport stream of text (null: empty)."""
+    """``docs`` plus a binary column with the transport stream of text (null: empty).
+
+    A column of that name is replaced. Very long texts are stored whole; repeated rows get
+    equal streams; an empty table stays empty.
+    """
     return docs.withColumn(name, F.pandas_udf(stored, "binary")(text_or_empty()))
 
 
 def media_opened(media: DataFrame, name: str = "media") -> DataFrame:
-    """``media`` plus payload, counts of damage and the time stamps of a stream column."""
-    return media.withColumn("_opened", F.pandas_udf(opened, f"struct<{READ}>")(F.col(name))).select("*", "_opened.*").drop("_opened")
+    """``media`` plus payload, counts of damage and the time stamps of a stream column.
+
+    Columns of those names are replaced. A null stream has an empty payload and no packets;
+    an empty table stays empty.
+    """
+    found = [x.split(":")[0] for x in READ.replace(STAMPS, "").split(", ")]
+    kept = [F.col(f"`{c}`") for c in media.columns if c not in found and c != "_opened"]
+    read = F.pandas_udf(opened, f"struct<{READ}>")(F.coalesce(F.col(f"`{name}`"), F.lit(b"")))
+    return media.select(*kept, read.alias("_opened")).select(*kept, *[F.col(f"_opened.{c}").alias(c) for c in found])
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature: one row per row of ``docs``.
+    feature, stamps: one row per row of ``docs``.
 
-    Null texts count as empty: one frame of padding. Equal texts give equal values; an
-    empty table gives an empty result; other columns are not used.
+    stamps holds the time stamp, packet number and random-access flag of every elementary
+    packet. Null texts count as empty: one frame of padding. Very long texts are stored
+    whole. Equal texts and repeated rows give equal values; an empty table gives an empty
+    result; other columns are not used, whatever their names.
     """
     kept = media_column(docs.select("doc_id", "text").withColumn("n_bytes", F.octet_length(text_or_empty()).cast("long"))).drop("text")
     return kept.withColumn("_d", F.pandas_udf(digested, f"struct<{DIGESTS}>")("media")).select("doc_id", "n_bytes", "_d.*")

@@ -4,7 +4,6 @@ import zlib
 import pytest
 
 from gradeloom.llm import mpegts as M
-from tests.llm.conftest import same
 
 
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 4608, 4609, 100_000])
@@ -40,6 +39,24 @@ def test_damage_is_counted():
         M.write_stream(b"abc")
 
 
+def test_lengths_are_checked():
+    m = M.write_stream(M.padded(b"a" * 30_000))
+    assert M.read_stream(m).length_errors == 0
+    # a lost packet within an elementary packet: it is short of what its header states
+    lost = m[: 10 * M.PACKET] + m[11 * M.PACKET :]
+    assert M.read_stream(lost).length_errors == 1
+    # the last one is cut short
+    assert M.read_stream(m[: -M.PACKET]).length_errors == 1
+    # sixteen packets lost: the counters agree again, the length doesn't
+    x = M.read_stream(m[: 6 * M.PACKET] + m[22 * M.PACKET :])
+    assert x.counter_errors == 0 and x.length_errors == 1
+    broken = bytearray(m)
+    at = M.read_stream(m).stamps[1][1] * M.PACKET + 4
+    assert broken[at : at + 3] == b"\x00\x00\x01"
+    broken[at + 5] ^= 1  # the stated length
+    assert M.read_stream(bytes(broken)).length_errors == 1
+
+
 def test_query(spark, odd_docs, odd_rows, clashing, no_docs):
     want = set()
     for r in odd_rows:
@@ -49,6 +66,15 @@ def test_query(spark, odd_docs, odd_rows, clashing, no_docs):
     got = M.media_digests(odd_docs)
     rows = got.collect()
     assert len(rows) == len(odd_rows) and {tuple(r)[:5] for r in rows} == want
-    assert same(M.media_digests(clashing), got) and M.media_digests(no_docs).count() == 0
+    long = next(r for r in rows if r["doc_id"] == 8)
+    unit = M.FRAME * M.FRAMES_PER_UNIT
+    assert [(s["pts"], s["random_access"]) for s in long["stamps"]] == [(i * M.FRAMES_PER_UNIT * M.TICKS, i % M.ACCESS_EVERY == 0) for i in range(-(-long["payload_bytes"] // unit))]
+    flat = lambda df: sorted(map(repr, df.collect()))
+    assert flat(M.media_digests(clashing)) == flat(got) and M.media_digests(no_docs).count() == 0
+    more = clashing.selectExpr("*", "'x' as payload", "'y' as stamps", "'z' as packets", "1 as _opened")
+    clash = M.media_opened(M.media_column(more))
+    assert len(set(clash.columns)) == len(clash.columns) and bytes(clash.where("doc_id = 9").head()["payload"]).startswith(b"one two")
+    none = M.media_opened(clashing.selectExpr("doc_id", "cast(null as binary) as media")).head()
+    assert bytes(none["payload"]) == b"" and none["packets"] == 0 and none["stamps"] == []
     opened = M.media_opened(M.media_column(odd_docs)).where("doc_id = 9").head()
     assert bytes(opened["payload"]).rstrip(b"\xff") == b"one two" and opened["stamps"][0]["random_access"]

@@ -1,10 +1,12 @@
 """WARC archives: writing with revisits and segments, and reassembly.
 
 Archives are rows (path, content), the shape of Spark's binaryFile source, so they live
-in any store that Spark reads. Records are gzip members. A long record is cut into
-segments; on reading, continuation records are grouped by their origin's identifier,
-ordered by segment number and checked against the total length before the chunked
-transfer framing is decoded.
+in any store that Spark reads. Records are gzip members, known by page and payload:
+``<urn:page:7:digest>``; rows equal in both give equal records with equal identifiers.
+A revisit refers to its response's identifier, and is resolved by it. A long record is
+cut into segments; on reading, continuation records are grouped by their origin's
+identifier, ordered by segment number and checked against the total length before the
+chunked transfer framing is decoded.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from gradeloom.llm.common import saved, table
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 100
-SEGMENT_BYTES = 48 * 1024
-CHUNK_BYTES = 8 * 1024
+SEGMENT_BYTES = 16 * 1024
+CHUNK_BYTES = 4 * 1024
 ARCHIVE_BYTES = 4 * 1024 * 1024
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -87,15 +89,20 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, rest[:n]
 
 
+def record_id(page_id: str, digest: str) -> str:
+    return f"<urn:page:{page_id}:{digest}>"
+
+
 def page_records(name: str, page_id: str, url: str, payload: bytes | None, digest: str, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
     """The records of a page: a response, in segments if long, or a revisit.
 
-    name is unique in the archives; refers_to is the page whose response a revisit repeats.
+    name is unique in the archives: it keeps the segments of equal records apart. refers_to
+    is the page whose response a revisit repeats.
     """
-    rid = f"<urn:page:{page_id}?record={name}>"
-    common = {"WARC-Record-ID": rid, "WARC-Date": "2024-01-01T00:00:00Z", "X-Page-ID": page_id, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{digest}"}
+    rid = record_id(page_id, digest)
+    common = {"WARC-Record-ID": rid, "WARC-Date": "2024-01-01T00:00:00Z", "X-Page-ID": page_id, "X-Place": name, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{digest}"}
     if refers_to is not None:
-        yield record({"WARC-Type": "revisit", **common, "WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}, HTTP_HEAD)
+        yield record({"WARC-Type": "revisit", **common, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest)}, HTTP_HEAD)
         return
     block = HTTP_HEAD + chunked(payload)
     if len(block) <= segment_bytes:
@@ -107,7 +114,7 @@ def page_records(name: str, page_id: str, url: str, payload: bytes | None, diges
         if no == 1:
             yield record({"WARC-Type": "response", **common, "WARC-Segment-Number": "1"}, part)
         else:
-            own = {"WARC-Record-ID": f"{rid[:-1]}&segment={no}>", "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": str(no), **last}
+            own = {"WARC-Record-ID": f"{rid[:-1]}:{no}>", "WARC-Segment-Origin-ID": rid, "WARC-Segment-Number": str(no), **last}
             yield record({"WARC-Type": "continuation", **common, **own}, part)
 
 
@@ -154,12 +161,13 @@ def archives(plan: DataFrame, segment_bytes: int = SEGMENT_BYTES, archive_bytes:
     return rows.mapInPandas(write, "path string, content binary")
 
 
-RECORD = "page_id string, kind string, digest string, refers_to string, n long, origin string, segment int, total long, block binary"
+RECORD = "page_id string, kind string, digest string, id string, refers_to string, n long, place string, segment int, total long, block binary"
 
 
 def parsed(files: DataFrame) -> DataFrame:
     """The records of archives: whole ones with their payload's size and digest, segments
-    with their blocks. A digest that differs from the header's is an error."""
+    with their blocks and their origin's identifier. A digest that differs from the header's
+    is an error."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -169,14 +177,14 @@ def parsed(files: DataFrame) -> DataFrame:
                     digest = h["warc-payload-digest"].removeprefix("sha256:")
                     page = h["x-page-id"] or None
                     segment = int(h.get("warc-segment-number", 0))
-                    row = [page, h["warc-type"], digest, None, None, None, None, None, None]
+                    row = [page, h["warc-type"], digest, h.get("warc-segment-origin-id", h["warc-record-id"]), None, None, None, None, None, None]
                     if h["warc-type"] == "revisit":
-                        row[3] = h["warc-refers-to"][len("<urn:page:") : -1]
+                        row[4] = h["warc-refers-to"]
                     elif segment:
-                        row[5:] = [h.get("warc-segment-origin-id", h["warc-record-id"]), segment, int(h.get("warc-segment-total-length", 0)), block]
+                        row[6:] = [h.get("x-place"), segment, int(h.get("warc-segment-total-length", 0)), block]
                     else:
                         payload = payload_of(block)
-                        row[4] = len(payload)
+                        row[5] = len(payload)
                         if hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"page {page}: the payload's digest differs from its header")
                     rows.append(row)
@@ -187,12 +195,13 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """page_id, digest, n, complete: a row for every segmented record.
+    """page_id, id, digest, n, complete: a row for every segmented record.
 
-    A record is complete if its segments are 1..k without gaps and their lengths add up
+    segments: id (the origin's), place (which of several equal records; may be null). A
+    record is complete if its segments are 1..k without gaps and their lengths add up
     to the total that the last one gives; a group is no larger than one record.
     """
-    parts = segments.groupBy("origin").agg(
+    parts = segments.groupBy("id", "place").agg(
         F.min("page_id").alias("page_id"),
         F.min("digest").alias("digest"),
         F.max("total").alias("total"),
@@ -200,33 +209,36 @@ def reassembled(segments: DataFrame) -> DataFrame:
     )
     size = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     gapless = F.aggregate(F.transform("parts", lambda x, i: x["segment"] == i + 1), F.lit(True), lambda a, x: a & x)
-    whole = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    joined = parts.select("page_id", "digest", (gapless & (size == F.col("total"))).alias("complete"), whole.alias("block"))
+    joined = parts.select("page_id", "id", "digest", (gapless & (size == F.col("total"))).alias("complete"), F.transform("parts", lambda x: x["block"]).alias("blocks"))
 
     def decode(blocks: pd.Series, complete: pd.Series, digests: pd.Series) -> pd.DataFrame:
         rows = []
         for b, ok, d in zip(blocks, complete, digests, strict=True):
-            payload = payload_of(bytes(b)) if ok else None
+            payload = payload_of(b"".join(b)) if ok else None
             rows.append((len(payload) if ok else None, bool(ok) and hashlib.sha256(payload).hexdigest() == d))
         return pd.DataFrame(rows, columns=["n", "good"])
 
-    got = joined.withColumn("_d", F.pandas_udf(decode, "struct<n: bigint, good: boolean>")("block", "complete", "digest"))
-    return got.select("page_id", "digest", F.col("_d.n").alias("n"), F.col("_d.good").alias("complete"))
+    got = joined.withColumn("_d", F.pandas_udf(decode, "struct<n: bigint, good: boolean>")("blocks", "complete", "digest"))
+    return got.select("page_id", "id", "digest", F.col("_d.n").alias("n"), F.col("_d.good").alias("complete"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, from (path, content) rows.
 
-    A revisit takes its payload's size from the response it refers to. A record whose
-    segments are incomplete is an error.
+    A revisit takes its payload's size and the page from the response it refers to. A record
+    whose segments are incomplete, and a revisit whose response isn't there, are errors.
     """
     all_ = saved(parsed(files), "records")
-    whole = all_.where((F.col("kind") == "response") & F.col("segment").isNull()).select("page_id", "n", "digest")
+    whole = all_.where((F.col("kind") == "response") & F.col("segment").isNull()).select("page_id", "id", "n", "digest")
     parts = reassembled(all_.where(F.col("segment").isNotNull()))
     checked = F.when(F.col("complete"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("incomplete segments: page "), F.coalesce("page_id", F.lit("")))).cast("long"))
-    responses = saved(whole.unionByName(parts.select("page_id", checked.alias("n"), "digest")), "responses")
-    sizes = responses.groupBy(F.col("page_id").alias("_page")).agg(F.max("n").alias("n"))
-    revisits = all_.where(F.col("kind") == "revisit").select("page_id", "digest", "refers_to").join(sizes, F.col("refers_to") == F.col("_page"), "left")
+    responses = saved(whole.unionByName(parts.select("page_id", "id", checked.alias("n"), "digest")), "responses")
+    revisits = all_.where(F.col("kind") == "revisit").select("page_id", "digest", F.col("refers_to").alias("_to"))
+    targets = responses.join(revisits.select("_to").distinct(), F.col("id") == F.col("_to"), "left_semi")
+    targets = targets.groupBy("id").agg(F.max("n").alias("n"), F.max("page_id").alias("refers_to"))
+    found = revisits.join(targets, F.col("_to") == F.col("id"), "left")
+    lost = F.raise_error(F.concat(F.lit("no response "), F.col("_to"))).cast("long")
+    revisits = found.withColumn("n", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(lost))
     out = responses.select("page_id", "n", "digest", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to"))
     out = out.unionByName(revisits.select("page_id", "n", "digest", F.lit("revisit").alias("kind"), "refers_to"))
     return out.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
@@ -235,9 +247,10 @@ def read_archives(files: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: one row per page.
 
-    Null html counts as an empty payload. Rows equal in page_id and payload that could
+    Null html counts as an empty payload; very long payloads are segmented. Rows equal in page_id and payload that could
     refer to each other are all responses. A null page_id never is a group's response
-    if another page is. An empty table gives an empty result; other columns are not used.
+    if another page is. An empty table gives an empty result; other columns are not used,
+    whatever their names.
     """
     kind = pages.schema["page_id"].dataType
     got = read_archives(saved(archives(planned(pages.select("page_id", "url", "html"))), "archives"))

@@ -49,13 +49,31 @@ def test_small_segments_and_archives(spark):
 
 def test_segments_must_be_complete(spark):
     segs = [("o", 1, 0, b"HTTP/1.1 200 OK\r\n\r\nab"), ("o", 2, 0, b"cd"), ("o", 3, 25, b"ef")]
-    rows = [("1", hashlib.sha256(b"abcdef").hexdigest(), o, n, t, b) for o, n, t, b in segs]
-    schema = "page_id string, digest string, origin string, segment int, total long, block binary"
-    assert W.reassembled(spark.createDataFrame(rows[::-1], schema)).collect()[0][2:] == (6, True)
+    rows = [("1", hashlib.sha256(b"abcdef").hexdigest(), o, None, n, t, b) for o, n, t, b in segs]
+    schema = "page_id string, digest string, id string, place string, segment int, total long, block binary"
+    assert W.reassembled(spark.createDataFrame(rows[::-1], schema)).collect()[0][3:] == (6, True)
     missing = W.reassembled(spark.createDataFrame([rows[0], rows[2]], schema)).head()
     assert missing["complete"] is False and missing["n"] is None
 
 
+def test_revisits_refer_to_records_that_are_there(spark):
+    df = spark.createDataFrame(ROWS, PAGES)
+    files = W.archives(W.planned(df), segment_bytes=1000, archive_bytes=5000)
+    found = [h for r in files.collect() for h, _ in W.records(bytes(r["content"]))]
+    ids = {h["warc-record-id"] for h in found if h["warc-type"] == "response"}
+    to = [h["warc-refers-to"] for h in found if h["warc-type"] == "revisit"]
+    assert to and set(to) <= ids and any(h["warc-type"] == "continuation" for h in found)
+    only = spark.createDataFrame([("x", W.record({"WARC-Type": "revisit", "WARC-Record-ID": "<a>", "X-Page-ID": "1", "WARC-Payload-Digest": "sha256:0", "WARC-Refers-To": "<b>"}, b""))], "path string, content binary")
+    with pytest.raises(Exception, match="no response <b>"):
+        W.read_archives(only).collect()
+
+
+def test_the_small_tables_reassemble(spark):
+    """The oracle row goes through segments: some pages are longer than one."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert pages.where(f"octet_length(html) > {W.SEGMENT_BYTES}").count() > 0
+
+
 def test_framing():
     for n in (0, 1, 10, 8192, 20_001):
         p = bytes(i % 251 for i in range(n))

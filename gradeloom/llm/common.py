@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,28 +36,112 @@ def scratch_root(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         root = f"{base.rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
         _roots[key] = root
+        # the file system removes it when the driver's JVM ends, whether the session is stopped or not
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _roots[key]
 
-        def remove() -> None:
-            try:
-                path = sc._jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-            except Exception:  # noqa: BLE001 - the session may be gone already
-                pass
 
-        atexit.register(remove)
-    return _roots[key]
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, held: bool = True) -> DataFrame:
     """Write ``df`` once as a table in the scratch folder and read it back.
 
+    A table that isn't ``held`` outlives the next turn().
+
     Cuts the lineage: later stages survive lost executors without recomputation,
     and the optimizer sees the true size of the table.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = (weakref.ref(out), path)
+    if held:
+        _since.append(path)
+    return out
+
+
+#: Stored tables by the DataFrame that reads them, and those since the last turn.
+_stored: dict[int, tuple[weakref.ref, str]] = {}
+_since: list[str] = []
+
+
+def forget(df: DataFrame) -> None:
+    """Frees a table that saved() returned and that no plan reads any more; others stay."""
+    ref, path = _stored.pop(id(df), (None, ""))
+    if ref is not None and ref() is df:
+        _delete(df.sparkSession, path)
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """The last parts of the folders that a plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for i in range(leaves.length()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" and leaves.apply(i).relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaves.apply(i).relation().location().rootPaths()
+            found |= {paths.apply(k).getName() for k in range(paths.length())}
+    return found
+
+
+def turn(docs: DataFrame) -> None:
+    """Frees the tables that were stored since the last turn, but for those that ``docs`` reads:
+    what else reads them must be written by now."""
+    if _since:
+        kept = _read_by(docs)
+        for path in [p for p in _since if p.rpartition("/")[2] not in kept]:
+            _since.remove(path)
+            _delete(docs.sparkSession, path)
+
+
+class Memory:
+    """What a Python worker remembers: strings and their results, of about ``most`` bytes.
+
+    Two generations: when the newer one holds half of the bytes, it becomes the older
+    one, and the older one goes; what is asked for again moves to the newer one.
+    """
+
+    #: Bytes of a key and a value besides their characters: two objects and a place in a dictionary.
+    EACH = 220
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, asked: Iterable) -> list:
+        """The keys that aren't remembered; those that only the older generation has move up."""
+        unknown = set(asked).difference(self.new)
+        kept = {x: self.old[x] for x in unknown if x in self.old} if self.old else {}
+        self.add(kept)
+        return [x for x in unknown if x not in kept]
+
+    def add(self, found: dict) -> None:
+        self.new.update(found)
+        self.size += self.EACH * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+    def turn(self) -> None:
+        """To be called when no key of a batch is needed any more."""
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
+def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``most`` characters each, one text at least."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if i > at and held + len(t) > most:
+            yield at, i
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def unsigned_crc32(col: Column) -> Column:

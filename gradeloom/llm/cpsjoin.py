@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import saved, table
+from gradeloom.llm.common import Memory, saved, table
 from gradeloom.llm.components import components
 
 WORDS = 5
@@ -37,8 +37,11 @@ LEVELS, DEPTH = 6, 10
 SHALLOW = 3
 #: Texts and shingles in a block of pairwise verification.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
-#: Words whose hashes a worker remembers.
-MEMORY = 1_000_000
+#: Bytes of words and their hashes that a task remembers.
+MEMORY = 48 << 20
+#: Bits of the filter that spares texts of no component the shuffle: 64 bits a row, it is the
+#: bound of what is broadcast. With more members than bits it lets more texts pass, never fewer.
+FILTER_BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -84,17 +87,14 @@ class Hasher:
     """64-bit shingle hashes of texts, as sorted arrays without repeats."""
 
     def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.memory = Memory(MEMORY)
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").split()  # blanks and \t \n \v \f \r
-        known = self.words
-        if len(known) > MEMORY:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        memory = self.memory
+        memory.add({w: hashlib.blake2b(w, digest_size=8).digest() for w in memory.missing(words)})
+        h = np.frombuffer(b"".join(map(memory.new.__getitem__, words)), dtype="<u8")
+        memory.turn()
         if not len(h):
             return h
         n = max(len(h) - WORDS + 1, 1)
@@ -384,7 +384,9 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links, texts) from stored rows (comp, text_id, copies, n, text).
 
     A row with b null counts linked documents (links, by their copies) and texts of a; the
-    counts of a text's rows add up. A row with b is an edge of a spanning forest.
+    counts of a text's rows add up. A row with b is an edge of a spanning forest. Texts are
+    compared whole; a similarity that ties with the threshold is a link; a text that comes
+    twice counts once; no members give no rows.
     """
     sizes = members.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("_t"), F.sum("n").alias("_s"))
     blocks = F.greatest(F.ceil(F.col("_t") / BLOCK_TEXTS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
@@ -441,10 +443,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return each.groupBy("text_id").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
 
 
+def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` that may have a text_id of ``ids``: all that have one, and few others."""
+    bit = F.pmod(F.xxhash64("text_id"), F.lit(FILTER_BITS))
+    place = bit.bitwiseAND(F.lit(63)).cast("int")
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    slot = F.call_function("shiftright", bit, F.lit(6))
+    table = saved(ids.groupBy(slot.alias("_slot")).agg(F.bit_or(ones).alias("_bits")), "sieve")
+    met = rows.withColumn("_slot", slot).join(F.broadcast(table), "_slot")
+    return met.where(F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def text_classes(docs: DataFrame, join: Join) -> DataFrame:
     """(text_id, root, class_id, copies, links, texts): one row per distinct text with a word.
 
-    docs: doc_id and text. root is null for a text without links.
+    docs: doc_id and text, of any length; null, empty and blank texts have no row. root is
+    null for a text without links. Copies and repeated rows count as copies of one text; of
+    ties for class_id, the least doc_id counts. An empty table gives an empty result.
     """
     ids = docs.select("doc_id", _text_id().alias("text_id")).where(F.col("text_id").isNotNull())
     texts = saved(ids.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "texts")
@@ -454,8 +469,8 @@ def text_classes(docs: DataFrame, join: Join) -> DataFrame:
     # members grow with the corpus, so they are never broadcast
     wanted = comps.select(F.col("id").alias("text_id"), F.col("root").alias("comp")).join(texts, "text_id").join(sigs.select("text_id", "n"), "text_id")
     wanted = saved(wanted.select(F.col("text_id").alias("_id"), "comp", "first", "copies", "n"), "wanted")
-    whole = docs.select("doc_id", "text", _text_id().alias("text_id"))
-    members = whole.join(wanted.hint("shuffle_hash"), (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    whole = sieved(docs.select("doc_id", "text", _text_id().alias("text_id")), wanted.select(F.col("_id").alias("text_id")))
+    members = whole.join(wanted.hint("merge"), (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first")))
     # repeated rows (equal id and text) would bring a text twice
     members = members.select("comp", "text_id", "copies", "n", "text")
     checked = saved(verified(members, join.threshold), "verified")

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import saved, table, text_or_empty
+from gradeloom.llm.common import Memory, saved, slices, table, text_or_empty
 
 CAPACITY = 2048
-#: Words that a tokenizing worker remembers; texts and words that it encodes at once.
-MEMORY, TEXTS, WORDS = 1_200_000, 500, 4_000
+#: Bytes of words that a tokenizing worker remembers; characters and words that it encodes at once.
+MEMORY, CHARS, WORDS = 192 << 20, 2_000_000, 4_000
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 
@@ -45,10 +45,11 @@ SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTER
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    Blanks and newlines always separate tokens here, so a text is encoded word by word;
-    words are remembered. A new word of plain characters falls into the parts of the
-    tokenizer's own split, which the library encodes once each; other words go to the
-    library whole.
+    Where the tokenizer's own split drops blanks and newlines, they always separate tokens,
+    so a text is encoded word by word; words are remembered. A new word of plain characters
+    falls into the parts of that split, which are words of their own, known or encoded once
+    each; other words go to the library whole. With any other tokenizer, the library encodes
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -67,40 +68,50 @@ class WordIds:
         # a special token inside a word comes first
         self.split = self.split and all("<" in t["content"] for t in kind.get("added_tokens", []))
         self.tokenizer = Tokenizer.from_file(path)
-        #: words, and the parts of words, with the generation before each
-        self.words: list[dict[str, bytes]] = [{}, {}]
-        self.known: list[dict[str, bytes]] = [{}, {}]
-
-    def parts(self, word: str) -> list[str]:
-        if self.split and PLAIN.fullmatch(word):
-            return SPLIT.findall(word.lower())
-        return [word]
-
-    def _missing(self, asked: Iterable[list[str]], memory: list[dict[str, bytes]]) -> list[str]:
-        """What isn't remembered; what only the older generation has moves to the newer one."""
-        new, old = memory
-        unknown = set(chain.from_iterable(asked)).difference(new)
-        kept = {x: old[x] for x in unknown if x in old}
-        new.update(kept)
-        return [x for x in unknown if x not in kept]
+        self.memory = Memory(MEMORY)
+
+    def _library(self, texts: list[str]) -> dict[str, bytes]:
+        return {
+            t: np.asarray(e.ids, dtype="<u4").tobytes()
+            for at in range(0, len(texts), WORDS)
+            for t, e in zip(texts[at : at + WORDS], self.tokenizer.encode_batch_fast(texts[at : at + WORDS], add_special_tokens=False), strict=True)
+        }
+
+    def _joined(self, parts: list[str]) -> dict[str, bytes]:
+        """The same for parts of the split, many in one text: its tokens tell their part."""
+        out = {}
+        for at in range(0, len(parts), WORDS):
+            some = parts[at : at + WORDS]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            of = np.asarray(e.word_ids, dtype=np.int64)
+            if not len(of) or of[-1] + 1 != len(some):
+                out |= self._library(some)
+                continue
+            raw = np.asarray(e.ids, dtype="<u4").tobytes()
+            ends = (np.searchsorted(of, np.arange(len(some)), side="right") * 4).tolist()
+            out |= {p: raw[a:b] for p, a, b in zip(some, [0, *ends], ends, strict=False)}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.split:
+            known = self._library(texts)
+            return [known[t] for t in texts]
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = self._missing(words, self.words)
-        parts = [self.parts(w) for w in unknown]
-        todo = self._missing(parts, self.known)
-        known = self.known[0]
-        for at in range(0, len(todo), WORDS):
-            some = todo[at : at + WORDS]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        new = self.words[0]
-        for w, p in zip(unknown, parts, strict=True):
-            new[w] = b"".join(map(known.__getitem__, p))
-        out = [b"".join(map(new.__getitem__, ws)) for ws in words]
-        for memory in (self.words, self.known):
-            if len(memory[0]) > MEMORY // 2:
-                memory[:] = [{}, memory[0]]
+        memory = self.memory
+        single, whole, parts = set(), [], {}
+        for w in memory.missing(chain.from_iterable(words)):
+            if w.isascii() and w.isalpha() and w.islower():
+                single.add(w)
+            elif PLAIN.fullmatch(w):
+                parts[w] = SPLIT.findall(w.lower())
+            else:
+                whole.append(w)
+        memory.add(self._joined(sorted(single.union(memory.missing(chain.from_iterable(parts.values()))))))
+        memory.add(self._library(whole))
+        known = memory.new
+        memory.add({w: b"".join(map(known.__getitem__, p)) for w, p in parts.items()})
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        memory.turn()
         return out
 
 
@@ -122,10 +133,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         coder = word_ids(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
+            texts = whole.column(1).to_pylist()
+            for at, to in slices(texts, CHARS):
+                batch = whole.slice(at, to - at)
                 row, cols = [], [[] for _ in kinds]
-                for i, ids in enumerate(coder.encode(batch.column(1).to_pylist())):
+                for i, ids in enumerate(coder.encode(texts[at:to])):
                     ids += end
                     for k, p in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[p : p + 4 * capacity]
@@ -229,20 +241,22 @@ def places(found: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ..
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for x, rows in runs.items()}
 
 
-def numbered(pieces: DataFrame, order: list[str]) -> DataFrame:
-    """Adds number: gapless from 0 within each length.
+def numbered(pieces: DataFrame, counts: dict[int, int], row: str) -> DataFrame:
+    """Adds number: gapless from 0 within each length. ``row`` tells all rows apart.
 
-    Every length is dealt by hash into blocks of about BLOCK_ROWS rows; a block is
-    numbered in one task and starts where the blocks before it end.
+    Every length is dealt by hash into blocks of about a task's share of the rows,
+    BLOCK_ROWS at most; a block is numbered in one task and starts where the blocks
+    before it end.
     """
-    spread = F.xxhash64(*order)
-    most = pieces.groupBy("length").count().agg(F.max("count")).head()[0] or 0
-    blocks = max(1, -(-most // BLOCK_ROWS))
+    spread = F.xxhash64(row)
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = min(BLOCK_ROWS, max(1, sum(counts.values()) // tasks))
+    blocks = max(1, -(-max(counts.values(), default=0) // share))
     dealt = pieces.withColumn("_block", F.pmod(spread, F.lit(blocks)))
     sizes = dealt.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("length").alias("_length"), F.col("_block").alias("_of"), F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("length", "_block").orderBy(spread, *order)) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "_block").orderBy(row)) - 1
     ranked = dealt.withColumn("_inside", inside)
     joined = ranked.join(starts, (F.col("length") == F.col("_length")) & (F.col("_block") == F.col("_of")))
     return joined.withColumn("number", F.col("_start") + F.col("_inside")).drop("_block", "_length", "_of", "_start", "_inside")
@@ -251,12 +265,13 @@ def numbered(pieces: DataFrame, order: list[str]) -> DataFrame:
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a stored table of pieces (doc_id, piece, length, ids_crc32 ..).
 
-    No piece is dropped, and no sequence is longer than the capacity.
+    No piece is dropped, and no sequence is longer than the capacity. _row, which tells the
+    pieces apart, goes.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most one row per length
     runs = places(patterns(counts, capacity))
-    rows = numbered(pieces, ["doc_id", "piece", "ids_crc32", "length"])
-    names = [c for c in rows.columns if c != "number"]
+    rows = numbered(pieces, counts, "_row")
+    names = [c for c in rows.columns if c not in ("number", "_row")]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,11 +294,13 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
-    A null or empty text is the end id alone. Repeated rows are packed each; an empty
-    table gives an empty result; other columns are not used. Sequences are numbered
-    from 0 without gaps.
+    A null or empty text is the end id alone; a very long one is cut into as many pieces
+    as it needs, none dropped. Ties (pieces of one length) are numbered by a hash of the row.
+    Repeated rows are packed each; an empty table gives an empty result; other columns are
+    not used, whatever their names. Sequences are numbered from 0 without gaps.
     """
-    return packed(saved(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity).withColumn("_row", F.monotonically_increasing_id())
+    return packed(saved(pieces, "pieces"), capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

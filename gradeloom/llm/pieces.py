@@ -13,18 +13,19 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import table, text_or_empty
+from gradeloom.llm.common import Memory, slices, table, text_or_empty
 
 SPACE = "▁"
 #: Piece kinds of the model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks that a worker remembers (the older half goes when there are more); texts that it encodes at once.
-MEMORY, TEXTS = 600_000, 250
+#: Bytes of chunks that a worker remembers; characters that it encodes at once.
+MEMORY, CHARS = 160 << 20, 1_000_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -162,45 +163,47 @@ CHUNK = re.compile(r"\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
 
 
 class Encoder:
-    """Encodes texts; remembers chunks as the decimal ids, joined by commas."""
+    """Encodes texts; remembers chunks as the decimal ids, joined by commas.
+
+    Every chunk is checked against the library when it is learned, ids and decoding; what a
+    text decodes to is checked against the text itself.
+    """
 
     def __init__(self, path: str, check: bool = True):
         self.v = vocabulary(path)
-        self.new: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        self.memory = Memory(MEMORY)
         self.library = None
         if check:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-
-    def _learn(self, chunks: list[str]) -> None:
-        got = [merge(c.replace(" ", SPACE), self.v) for c in chunks]
-        if self.library is not None:
-            # the library puts one blank before every text
-            mine = [(c[1:], g) for c, g in zip(chunks, got, strict=True) if c[0] in " ▁" and len(c) > 1]
-            for (c, g), want in zip(mine, self.library.encode([c for c, _ in mine], num_threads=1), strict=True):
-                if g != want:
-                    raise AssertionError(f"the library encodes {c!r} as {want}, the agenda as {g}")
-        for c, g in zip(chunks, got, strict=True):
-            self.new[c] = ",".join(map(str, g))
+            self.newline = self.library.encode("\n")
+
+    def _check(self, chunks: list[str], got: list[list[int]]) -> None:
+        """The library puts one blank before every text: a chunk that starts with one is
+        encoded without it; any other one behind a newline, whose ids come first."""
+        ahead = [c[0] in " ▁" and len(c) > 1 for c in chunks]
+        asked = [c[1:] if a else "\n" + c for c, a in zip(chunks, ahead, strict=True)]
+        for c, a, g, want in zip(chunks, ahead, got, self.library.encode(asked, num_threads=1), strict=True):
+            if (g if a else self.newline + g) != want:
+                raise AssertionError(f"the library encodes {c!r} as {want}, the agenda as {g}")
+        spelled = [self.decode(",".join(map(str, g))) for g in got]
+        for c, mine, want in zip(chunks, spelled, self.library.decode(got, num_threads=1), strict=True):
+            if mine != want:
+                raise AssertionError(f"the library decodes the ids of {c!r} as {want!r}, not as {mine!r}")
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, in decimal, joined by commas ('' for an empty one)."""
         parts = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        missing: dict[str, None] = {}
-        for p in parts:
-            for c in p:
-                if c not in self.new:
-                    if c in self.old:
-                        self.new[c] = self.old[c]
-                    else:
-                        missing[c] = None
-        self._learn(list(missing))
-        get = self.new.__getitem__
+        memory = self.memory
+        missing = memory.missing(chain.from_iterable(parts))
+        got = [merge(c.replace(" ", SPACE), self.v) for c in missing]
+        if self.library is not None and missing:
+            self._check(missing, got)
+        memory.add({c: ",".join(map(str, g)) for c, g in zip(missing, got, strict=True)})
+        get = memory.new.__getitem__
         out = [",".join(map(get, p)) for p in parts]
-        if len(self.new) > MEMORY // 2:
-            self.old, self.new = self.new, {}
+        memory.turn()
         return out
 
     def decode(self, ids: str) -> str:
@@ -210,6 +213,22 @@ class Encoder:
         raw = b"".join(map(self.v.spelled.__getitem__, ids.split(",")))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def coded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(ids, decoded) of each text, a few texts at a time: their chunks take several
+        times the texts' memory."""
+        for at, to in slices(texts, CHARS):
+            for t, ids in zip(texts[at:to], self.encode(texts[at:to]), strict=True):
+                back = self.decode(ids)
+                if self.library is not None and back != t and back != t.replace(SPACE, " "):
+                    raise AssertionError("a text isn't what its ids decode to")
+                yield ids, back
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, check: bool) -> Encoder:
+    """One for all tasks that a Python worker runs, so that its memory lasts."""
+    return Encoder(path, check)
+
 
 def tokens(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
     """doc_id, ids (array<int>), decoded: one row per row of ``docs``; null texts count as empty."""
@@ -221,18 +240,15 @@ def _run(docs: DataFrame, model: str, check: bool, full: bool) -> DataFrame:
 
     @F.pandas_udf(f"struct<{schema.replace(' array', ': array').replace(' string', ': string').replace(' bigint', ': bigint')}>")
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = Encoder(model, check)
+        e = encoder(model, check)
         for texts in parts:
-            # a few texts at a time: their chunks take several times the texts' memory
-            rows = [x for at in range(0, len(texts), TEXTS) for x in some(e, texts.iloc[at : at + TEXTS].tolist())]
+            rows = [row(*x) for x in e.coded(texts.tolist())]
             yield pd.DataFrame(rows, columns=["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def some(e: Encoder, texts: list[str]) -> Iterator[tuple]:
-        for x in e.encode(texts):
-            if full:
-                yield [int(i) for i in x.split(",")] if x else [], e.decode(x)
-            else:
-                yield x.count(",") + 1 if x else 0, hashlib.sha256(x.encode()).hexdigest(), hashlib.sha256(e.decode(x).encode()).hexdigest()
+    def row(x: str, back: str) -> tuple:
+        if full:
+            return [int(i) for i in x.split(",")] if x else [], back
+        return x.count(",") + 1 if x else 0, hashlib.sha256(x.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
     return docs.select("doc_id", code(text_or_empty()).alias("_coded")).select("doc_id", "_coded.*")
 
@@ -240,8 +256,9 @@ def _run(docs: DataFrame, model: str, check: bool, full: bool) -> DataFrame:
 def token_digests(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of ``docs``.
 
-    Null texts count as empty: no ids, digests of the empty string. Repeated rows give
-    repeated results; an empty table an empty one; other columns are not used.
+    Null texts count as empty: no ids, digests of the empty string. Very long texts are
+    encoded whole. Ties between pairs go to the leftmost. Repeated rows give repeated
+    results; an empty table an empty one; other columns are not used, whatever their names.
     """
     return _run(docs, model, check, full=False)
 

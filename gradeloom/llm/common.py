@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,50 +99,6 @@ def turn(docs: DataFrame) -> None:
             _delete(docs.sparkSession, path)
 
 
-class Memory:
-    """What a Python worker remembers: strings and their results, of about ``most`` bytes.
-
-    Two generations: when the newer one holds half of the bytes, it becomes the older
-    one, and the older one goes; what is asked for again moves to the newer one.
-    """
-
-    #: Bytes of a key and a value besides their characters: two objects and a place in a dictionary.
-    EACH = 220
-
-    def __init__(self, most: int):
-        self.most, self.size = most, 0
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def missing(self, asked: Iterable) -> list:
-        """The keys that aren't remembered; those that only the older generation has move up."""
-        unknown = set(asked).difference(self.new)
-        kept = {x: self.old[x] for x in unknown if x in self.old} if self.old else {}
-        self.add(kept)
-        return [x for x in unknown if x not in kept]
-
-    def add(self, found: dict) -> None:
-        self.new.update(found)
-        self.size += self.EACH * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
-
-    def turn(self) -> None:
-        """To be called when no key of a batch is needed any more."""
-        if self.size > self.most // 2:
-            self.old, self.new, self.size = self.new, {}, 0
-
-
-def slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about ``most`` characters each, one text at least."""
-    at = held = 0
-    for i, t in enumerate(texts):
-        if i > at and held + len(t) > most:
-            yield at, i
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def unsigned_crc32(col: Column) -> Column:
     """CRC-32 of a string's UTF-8 bytes as an unsigned long."""
     return F.crc32(col).cast("long")

@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memory, saved, table
+from gradeloom.llm.common import saved, table
 from gradeloom.llm.components import components
+from gradeloom.llm.worker import Memory, task
 
 WORDS = 5
 TOKENS = 64
@@ -200,9 +201,17 @@ def _sigs(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, TOKENS)
 
 
+def _mapped(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with task():
+            yield from f(parts)
+
+    return rows.mapInPandas(work, schema)
+
+
 def _grouped(rows: DataFrame, by: list[str], f: Callable, schema: str) -> DataFrame:
     """f over the groups of ``by``, many small ones in a task."""
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(f, schema)
+    return _mapped(rows.repartition(*by).sortWithinPartitions(*by), f, schema)
 
 
 #: An edge, or with b null the levels of splits that a text went through, if more than SHALLOW.
@@ -305,7 +314,7 @@ def run_edges(sigs: DataFrame, join: Join, done: int, runs: int) -> list[DataFra
                 yield pd.DataFrame({"path": np.concatenate(out_path), "text_id": df["text_id"].to_numpy()[np.concatenate(out_row)]})
 
     found = []
-    paths = saved(sigs.mapInPandas(first, "path long, text_id binary"), "paths")
+    paths = saved(_mapped(sigs, first, "path long, text_id binary"), "paths")
     for level in range(LEVELS):
         sizes = saved(paths.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "buckets")
         alive = paths.join(sizes, F.col("path") == F.col("_p")).select("path", "text_id", "_n")
@@ -319,7 +328,7 @@ def run_edges(sigs: DataFrame, join: Join, done: int, runs: int) -> list[DataFra
             if LEVELS > SHALLOW:
                 found.append(saved(large.select(F.col("text_id").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(LEVELS).alias("levels")).distinct(), "candidates"))
         else:
-            paths = saved(with_sig(large).mapInPandas(deeper, "path long, text_id binary"), "paths")
+            paths = saved(_mapped(with_sig(large), deeper, "path long, text_id binary"), "paths")
     return found
 
 
@@ -439,7 +448,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"text_id": df["text_id"], "sig": sig, "n": n})
 
     rows = docs.select(_text_id().alias("text_id"), "text").where(F.col("text_id").isNotNull())
-    each = rows.mapInPandas(work, "text_id binary, sig binary, n long")
+    each = _mapped(rows, work, "text_id binary, sig binary, n long")
     return each.groupBy("text_id").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import table, text_or_empty
+from gradeloom.llm.worker import task
 
 #: Characters that are stepped through at once in a text.
 BLOCK = 1024
@@ -295,10 +296,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for texts in parts:
-            lang, score = predict([None if t is None or t != t else t for t in texts], m)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+        with task():
+            m = shared.value
+            for texts in parts:
+                lang, score = predict([None if t is None or t != t else t for t in texts], m)
+                yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     got = docs.select(*[F.col(f"`{c}`") for c in names], judge(F.col("text")).alias("_judged"))

@@ -15,7 +15,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memory, saved, slices, table, text_or_empty
+from gradeloom.llm.common import saved, table, text_or_empty
+from gradeloom.llm.worker import Memory, kept, slices, task
 
 CAPACITY = 2048
 #: Bytes of words that a tokenizing worker remembers; characters and words that it encodes at once.
-MEMORY, CHARS, WORDS = 192 << 20, 2_000_000, 4_000
+MEMORY, CHARS, WORDS = 320 << 20, 2_000_000, 4_000
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 
@@ -115,12 +115,6 @@ class WordIds:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One for all tasks that a Python worker runs, so that its memory lasts."""
-    return WordIds(path)
-
-
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -130,7 +124,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(tokenizer)
+        with task():
+            yield from coded(kept(WordIds, tokenizer), batches)
+
+    def coded(coder: WordIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
         for whole in batches:
             texts = whole.column(1).to_pylist()

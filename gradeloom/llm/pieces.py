@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memory, slices, table, text_or_empty
+from gradeloom.llm.common import table, text_or_empty
+from gradeloom.llm.worker import Memory, kept, slices, task
 
 SPACE = "▁"
 #: Piece kinds of the model file (fixed values of its format).
@@ -224,12 +225,6 @@ class Encoder:
                 yield ids, back
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, check: bool) -> Encoder:
-    """One for all tasks that a Python worker runs, so that its memory lasts."""
-    return Encoder(path, check)
-
-
 def tokens(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
     """doc_id, ids (array<int>), decoded: one row per row of ``docs``; null texts count as empty."""
     return _run(docs, model, check, full=True)
@@ -240,10 +235,11 @@ def _run(docs: DataFrame, model: str, check: bool, full: bool) -> DataFrame:
 
     @F.pandas_udf(f"struct<{schema.replace(' array', ': array').replace(' string', ': string').replace(' bigint', ': bigint')}>")
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = encoder(model, check)
-        for texts in parts:
-            rows = [row(*x) for x in e.coded(texts.tolist())]
-            yield pd.DataFrame(rows, columns=["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])
+        with task():
+            e = kept(Encoder, model, check)
+            for texts in parts:
+                rows = [row(*x) for x in e.coded(texts.tolist())]
+                yield pd.DataFrame(rows, columns=["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     def row(x: str, back: str) -> tuple:
         if full:

@@ -106,7 +106,8 @@ def _cuts(rows: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
         behind = final & (F.abs(F.col("before") + F.col("in") - F.col("goal")) < F.abs(F.col("before") - F.col("goal")))
         low = F.call_function("shiftleft", F.col("digit") + behind.cast("long"), F.lit(bits))
         new = rest.drop("low", "left", "done").join(pick, "shard").withColumns({"low": low, "left": F.col("before") + F.when(behind, F.col("in")).otherwise(0), "done": final})
-        step = saved(found.where("done").unionByName(new.select(*found.columns)), "cuts")
+        step = saved(found.where("done").unionByName(new.select(*found.columns)).repartition(1), "cuts")  # a row a node
+        forget(found)
         found = step
         if step.where(~F.col("done")).isEmpty():
             break
@@ -124,7 +125,7 @@ def tree(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFram
     rows = rows.withColumn("shard", F.lit(0).cast("long"))
     nodes = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("shards"))
     while True:
-        level = saved(_to_split(rows, nodes, whole), "nodes")
+        level = saved(_to_split(rows, nodes, whole).repartition(1), "nodes")
         if level.isEmpty():
             return rows
         cuts = _cuts(rows, level, tolerance)
@@ -135,7 +136,7 @@ def tree(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFram
         before, rows = rows, saved(joined.withColumn("shard", F.col("shard") + goes).select(*rows.columns), "reached")
         forget(before)
         nodes = saved(
-            halves.select("shard", F.col("half").alias("shards")).unionByName(halves.select((F.col("shard") + F.col("half")).alias("shard"), (F.col("shards") - F.col("half")).alias("shards"))).where("shards > 1"), "nodes"
+            halves.select("shard", F.col("half").alias("shards")).unionByName(halves.select((F.col("shard") + F.col("half")).alias("shard"), (F.col("shards") - F.col("half")).alias("shards"))).where("shards > 1").repartition(1), "nodes"
         )
 
 

@@ -125,21 +125,44 @@ def without_tags(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " "))
 
 
-def plain_markup(x: Column, passes: int = 4) -> Column:
-    """Markup as text: fractions (nested up to ``passes`` deep), exponents, radicals, entities."""
-    for _ in range(passes):
-        x = F.regexp_replace(x, r'<span class="frac"><span class="num">([^<]*)</span><span class="den">([^<]*)</span></span>', "($1)/($2)")
-    x = F.regexp_replace(x, r"<sup>([^<]*)</sup>", "^$1")
-    x = F.regexp_replace(x, r'<span class="sqrt">([^<]*)</span>', "sqrt($1)")
-    return unescaped(without_tags(x))
+#: The entities of markup, the ampersand last; those of attributes.
+ENTITIES = (("&minus;", "\u2212"), ("&divide;", "\u00f7"), ("&le;", "\u2264"), ("&ge;", "\u2265"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+QUOTES = (("&quot;", '"'), ("&#39;", "'"))
+
+#: The spans of markup and what they read as, by their content; fractions and
+#: radicals hold bare spans.
+SPANS = (
+    (r'<span class="frac"><span>([^<]*)</span><span>([^<]*)</span></span>', "($1)/($2)"),
+    (r'<span class="radical"><span class="radicand">([^<]*)</span></span>', "\u221a($1)"),
+    (r'<span class="segment">([^<]*)</span>', "segment $1"),
+    (r'<span class="repeat">([^<]*)</span>', "$1-repeating"),
+    (r"<sup>([^<]*)</sup>", "^$1"),
+    (r"<sub>([^<]*)</sub>", "_$1"),
+)
+
+
+def _entities(x: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), pairs, x)
 
 
-#: The entities of markup, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def plain_markup(x: Column, passes: int = 4) -> Column:
+    """Markup as text: fractions, radicals, segments, repeating decimals, exponents and indices
+    read as such, nested up to ``passes`` deep, innermost first; other tags go. Null is empty.
+
+    Tags without a meaning go before the spans are read, so that they can't hide one: an
+    unread fraction would run two numbers into one.
+    """
+    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"</?(?:br|div|p)(?![a-z])[^>]*>", " ")
+    x = F.regexp_replace(x, r"</?(?!span[\s>]|su[pb]>)[a-z][^>]*>", "")
+    for _ in range(passes):
+        for pattern, text in reversed(SPANS):
+            x = F.regexp_replace(x, pattern, text)
+    x = F.regexp_replace(x, r"</?[a-z][^>]*>", "")
+    return F.trim(F.regexp_replace(_entities(x, ENTITIES), r"\s+", " "))
 
 
 def unescaped(x: Column) -> Column:
-    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, x)
+    return _entities(x, (*ENTITIES[:-1], *QUOTES, ENTITIES[-1]))
 
 
 def escaped(x: Column) -> Column:
@@ -152,6 +175,28 @@ def field_digest(*cols: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", *cols), 256), 1, 32)
 
 
+def test_parts(name: Column) -> Column:
+    """struct<grade, year, id> from a test's id or file name, such as ``g7-2024`` or ``2024-..-g7.pdf``."""
+    grade = F.nullif(F.regexp_extract(name, r"(?:^|[-_])g(\d)(?=[-_.]|$)", 1), F.lit("")).try_cast("int")
+    year = F.nullif(F.regexp_extract(name, r"(?:^|[^0-9])(20\d\d)(?=[^0-9]|$)", 1), F.lit("")).try_cast("int")
+    return F.struct(grade.alias("grade"), year.alias("year"), F.when(grade.isNotNull() & year.isNotNull(), F.format_string("g%d-%d", grade, year)).alias("id"))
+
+
+def number_list(x: Column) -> Column:
+    """All whole numbers of a text, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int"))
+
+
+def digits(x: Column) -> Column:
+    """The digits of a text as one number; null if it has none."""
+    return F.nullif(F.regexp_replace(x, r"[^0-9]", ""), F.lit("")).try_cast("long")
+
+
+def placed_grade(course: Column) -> Column:
+    """The grade in a course's name, such as ``Grade 7 Accelerated``; null if it names none."""
+    return F.nullif(F.regexp_extract(course, r"Grade\s+(\d)", 1), F.lit("")).cast("int")
+
+
 def citation(x: Column) -> Column:
     """struct<grade, unit, lesson, title> from ``Grade 6 Unit 3 Lesson 5: Title``; nulls if none."""
     pattern = r"Grade\s+(\d+)[,\s]+Unit\s+(\d+)[,\s]+Lesson\s+(\d+)(?::\s*(.*))?"

@@ -13,6 +13,9 @@ from gradeloom.operators.itemstats import scored
 
 # --- identification ----------------------------------------------------------------
 
+#: Fixed value: agreements that a match needs, besides four fifths and twice the runner-up.
+LEAST_AGREE = 10
+
 
 def identify(headers: DataFrame, published: DataFrame) -> DataFrame:
     """Scores every test by how many of its items carry the header's code.
@@ -26,14 +29,14 @@ def identify(headers: DataFrame, published: DataFrame) -> DataFrame:
     # one row per test: a small table
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("agree").desc(), "test")
     ranked = score.select("*", F.row_number().over(w).alias("rank"), F.coalesce(F.lead("agree").over(w), F.lit(0)).alias("runner_up"))
-    good = (F.col("agree") >= 10) & (F.col("agree") * 5 >= F.col("published") * 4) & (F.col("agree") >= F.col("runner_up") * 2)
+    good = (F.col("agree") >= LEAST_AGREE) & (F.col("agree") * 5 >= F.col("published") * 4) & (F.col("agree") >= F.col("runner_up") * 2)
     return ranked.withColumn("accepted", good & (F.col("rank") == 1))
 
 
 # --- level curve -------------------------------------------------------------------
 
-#: Levels agree within this; fixed value.
-SAME_LEVEL = 0.005
+#: Levels agree within SAME_LEVEL; a curve needs LEAST_POINTS scores.
+SAME_LEVEL, LEAST_POINTS = 0.005, 6
 CUTS = (2, 3, 4)
 BANDS = (("L1", 1, 2), ("L2", 2, 3), ("L3", 3, 4), ("L4", 4, 9))
 
@@ -52,7 +55,7 @@ def _steps(points: DataFrame) -> DataFrame:
     return points.select("raw", "level", F.lead("raw").over(w).alias("raw2"), F.lead("level").over(w).alias("level2"))
 
 
-def curve_status(points: DataFrame, least_points: int = 6) -> DataFrame:
+def curve_status(points: DataFrame, least_points: int = LEAST_POINTS) -> DataFrame:
     """(points, conflicts, usable, why): conflicts also count steps that don't rise."""
     falls = _steps(points).agg(F.count_if(F.col("level2") <= F.col("level")).alias("falls"))
     total = points.agg(F.count("*").alias("points"), F.coalesce(F.sum("conflicts"), F.lit(0)).alias("same"))

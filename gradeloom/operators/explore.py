@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.scalars import exact_mean, half_up
+from gradeloom.operators.stored import checkpointed
 
 
 def faceted(df: DataFrame, **facets: list | None) -> DataFrame:
@@ -50,7 +51,7 @@ def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.checkpoint() if spark.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    dealt = checkpointed(dealt)
     dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
     before, n = [], 0
     for r in sorted(dealt.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()):

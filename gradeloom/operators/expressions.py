@@ -11,52 +11,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
-VOID = {"br", "hr", "img", "input", "meta", "link"}
+from gradeloom.functions.scalars import ENTITIES
 
-
-def is_balanced(html: str | None) -> bool:
-    """Whether every tag closes in order."""
-    open_: list[str] = []
-    for close, name, rest in TAG.findall(html or ""):
-        name = name.lower()
-        if name in VOID or rest.rstrip().endswith("/"):
-            continue
-        if not close:
-            open_.append(name)
-        elif not open_ or open_.pop() != name:
-            return False
-    return not open_
+#: Elements without a closing tag.
+VOID = ("br", "img", "hr", "input", "meta", "link")
 
 
 def balanced(html: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(is_balanced), "boolean")(html)
+    """Whether no tag closes before one opened, and all that opened close; null is empty.
+
+    Names don't have to match; a void element opens nothing, but ``<br/>`` closes.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", ""), F.lit(r"</?[a-zA-Z][^>]*>"), F.lit(0))
+
+    def step(tag: Column) -> Column:
+        void = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).isin(*VOID)
+        return F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), F.when(void, -1).otherwise(0)).when(void, 0).otherwise(1)
+
+    def walk(at: Column, tag: Column) -> Column:
+        depth = at["depth"] + step(tag)
+        return F.struct(depth.alias("depth"), F.least(at["low"], depth).alias("low"))
+
+    return F.aggregate(tags, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), walk, lambda at: (at["depth"] == 0) & (at["low"] >= 0))
+
 
+SPAN = re.compile(r"<span[^>]*>|</span>")
 
-def prose_only(html: str | None) -> str | None:
-    """Markup without its maths spans, however deep they nest, and without tags."""
-    if html is None:
-        return None
-    out, depth, at, maths = [], 0, 0, 0
-    for m in TAG.finditer(html):
-        if not maths:
+
+def prose_only(html: str | None) -> str:
+    """Markup without its maths spans, however deep they nest, without span tags, unread glyphs
+    and white space, entities decoded. A maths span that never closes takes the rest."""
+    html = html or ""
+    out, depth, at = [], 0, 0
+    for m in SPAN.finditer(html):
+        if depth:
+            depth += -1 if m[0] == "</span>" else 1
+        else:
             out.append(html[at : m.start()])
+            depth = m[0] == '<span class="math">'
         at = m.end()
-        if m[2].lower() != "span":
-            if not maths:
-                out.append(" ")
-            continue
-        if m[1]:
-            depth -= 1
-            if maths and depth < maths:
-                maths = 0
-        else:
-            depth += 1
-            if not maths and re.search(r'class="[^"]*\b(math|frac|sqrt)\b', m[3]):
-                maths = depth
-    if not maths:
+    if not depth:
         out.append(html[at:])
-    return re.sub(r"\s+", " ", "".join(out)).strip()
+    text = "".join(out).replace("\u27e6?\u27e7", "")
+    for entity, char in (*ENTITIES[4:6], ENTITIES[7], ENTITIES[6], *ENTITIES[:4]):
+        text = text.replace(entity, char)
+    return re.sub(r"\s+", "", text)
 
 
 def bare_prose(html: Column) -> Column:
@@ -124,16 +123,32 @@ def growing_lines(glyphs: DataFrame, *keys: str) -> DataFrame:
     return glyphs.groupBy(*keys).applyInPandas(number, schema)
 
 
+#: A bare bar wider than so many of the widest glyph is an answer blank.
+BLANK = 2.5
+
+
 def decoded_expressions(glyphs: DataFrame, *keys: str) -> DataFrame:
     """(keys.., text): labelled glyphs and bars (kind bar) of one expression as linear text.
 
     A bar with glyphs above and below is a fraction; one with glyphs only below is an
     overbar, or a radical if a radical glyph touches its left end; a glyph raised by a
-    third of the line is an exponent. A bar with nothing below is a minus.
+    third of the line is an exponent. Bars that touch end to end are one. A bar with nothing
+    above or below is a minus, or an answer blank if it is wider than BLANK of the widest
+    glyph. A gap between glyphs of more than half a glyph is a blank character.
     """
     schema = ", ".join(f"`{k}` {glyphs.schema[k].dataType.simpleString()}" for k in keys) + ", text string"
 
-    def decode(rows: list[dict]) -> str:
+    def whole_bars(rows: list[dict]) -> list[dict]:
+        bars: list[dict] = []
+        for b in sorted((r for r in rows if r["kind"] == "bar"), key=lambda r: (round(r["y0"], 1), r["x0"])):
+            a = bars[-1] if bars else None
+            if a and abs(a["y0"] - b["y0"]) <= 0.5 and abs(a["y1"] - b["y1"]) <= 0.5 and b["x0"] - a["x1"] <= 0.5:
+                a["x1"] = max(a["x1"], b["x1"])
+            else:
+                bars.append(dict(b))
+        return [r for r in rows if r["kind"] != "bar"] + bars
+
+    def decode(rows: list[dict], width: float) -> str:
         bars = sorted((r for r in rows if r["kind"] == "bar"), key=lambda r: r["x0"] - r["x1"])
         if bars:
             b = bars[0]
@@ -144,25 +159,31 @@ def decoded_expressions(glyphs: DataFrame, *keys: str) -> DataFrame:
             root = next((r for r in rest if r.get("label") == "√" and abs(r["x1"] - b["x0"]) <= 2), None)
             taken = {id(r) for r in above + below + ([root] if root else [])}
             if above and below:
-                made = f"({decode(above)})/({decode(below)})"
+                made = f"({decode(above, width)})/({decode(below, width)})"
             elif below:
-                made = f"sqrt({decode(below)})" if root else f"overbar({decode(below)})"
+                made = f"sqrt({decode(below, width)})" if root else f"overbar({decode(below, width)})"
             else:  # a bare bar; what is above it stays
-                made, taken, above, root = "\u2212", set(), [], None
+                made = "____" if width and b["x1"] - b["x0"] > BLANK * width else "\u2212"
+                taken, above, root = set(), [], None
             token = {"kind": "done", "label": made, "x0": (root or b)["x0"], "x1": b["x1"], "y0": min([r["y0"] for r in above + below] or [b["y0"]]), "y1": max([r["y1"] for r in above + below] or [b["y1"]])}
-            return decode([r for r in rest if id(r) not in taken] + [token])
+            return decode([r for r in rest if id(r) not in taken] + [token], width)
         rows = sorted(rows, key=lambda r: r["x0"])
         plain = [r for r in rows if r["kind"] != "done"]
         height = sorted(r["y1"] - r["y0"] for r in plain)[len(plain) // 2] if plain else 0
         bottom = max((r["y1"] for r in plain), default=0)
-        out = ""
+        out, end = "", None
         for r in rows:
+            if end is not None and width and r["x0"] - end > width / 2:
+                out += " "
+            end = r["x1"] if end is None else max(end, r["x1"])
             raised = r["kind"] != "done" and bottom - r["y1"] > height / 3 and r["y1"] - r["y0"] < height * 1.01
             out += ("^" if raised and not out.endswith("^") and out else "") + r["label"]
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "text": decode(pdf.to_dict("records"))}])
+        rows = whole_bars(pdf.to_dict("records"))
+        widths = sorted(r["x1"] - r["x0"] for r in rows if r["kind"] != "bar")
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "text": decode(rows, widths[-1] if widths else 0.0)}])
 
     return glyphs.groupBy(*keys).applyInPandas(run, schema)
 

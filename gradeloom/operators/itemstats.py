@@ -44,11 +44,11 @@ def population_rate() -> Column:
     return F.when(F.col("type") == "mc", F.col("p_value")).otherwise(F.coalesce(F.col("avg_points") / credits, F.col("p_value")))
 
 
-def item_stats(responses: DataFrame, items: DataFrame, roster: int | None = None, item: str = "item") -> DataFrame:
+def item_stats(responses: DataFrame, items: DataFrame, roster: int | DataFrame | None = None, item: str = "item") -> DataFrame:
     """One row per item: counts, class and population rate, gap.
 
-    The denominator is everyone on the roster, answered or not; without ``roster``, the
-    rows of the item.
+    The denominator is everyone on the roster, answered or not: a number, or a table of
+    students; without it, the rows of the item.
     """
     s = scored(responses, items, item)
     agg = s.groupBy(item).agg(
@@ -59,8 +59,11 @@ def item_stats(responses: DataFrame, items: DataFrame, roster: int | None = None
         F.count_if(~F.col("mc") & (F.col("scored_points") >= F.coalesce("credits", F.lit(1)))).alias("full_credit"),
         F.count_if(~F.col("mc") & (F.col("scored_points") == 0)).alias("zero_credit"),
     )
-    n = F.lit(roster).cast("long") if roster is not None else F.col("n_rows")
-    out = agg.withColumn("n", n).join(items, item)
+    if isinstance(roster, DataFrame):
+        agg = agg.join(F.broadcast(roster.agg(F.count("*").alias("n"))), how="cross")  # one row
+    else:
+        agg = agg.withColumn("n", F.lit(roster).cast("long") if roster is not None else F.col("n_rows"))
+    out = agg.join(items, item)
     credits = F.coalesce("credits", F.lit(1))
     class_p = F.when(F.col("n") > 0, F.col("earned") / (credits * F.col("n")))
     return out.select(
@@ -118,11 +121,6 @@ def rollup(stats: DataFrame, *keys: str, item: str = "item") -> DataFrame:
     return g.select(*keys, "n_items", "earned", "possible", cls.alias("class_p"), state.alias("state_p")).withColumn("gap", half_up(F.col("class_p") - F.col("state_p")))
 
 
-def by_gap(df: DataFrame) -> DataFrame:
-    """Ascending by gap, null as +1."""
-    return df.orderBy(F.coalesce("gap", F.lit(1.0)))
-
-
 def section_rates(responses: DataFrame, items: DataFrame, section: str = "section", item: str = "item") -> DataFrame:
     """(section, item, class_p), only if there is more than one section."""
     s = scored(responses, items, item)

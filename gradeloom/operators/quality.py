@@ -6,6 +6,8 @@ or skip; a skipped check never counts as passed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,17 +76,37 @@ def unresolved(refs: DataFrame, known: DataFrame, ref: str, key: str) -> DataFra
     return refs.where(F.col(ref).isNotNull()).join(known.select(F.col(key).alias(ref)).distinct(), ref, "left_anti").groupBy(ref).agg(F.count("*").alias("n"))
 
 
-def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
-    """``df``, raising when a row that is not ok is read."""
-    return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
-
-
 # --- privacy -----------------------------------------------------------------------
 
-#: Keys that no published table may have, at any depth.
-BANNED = ("student", "studentname", "name", "firstname", "lastname", "osis", "dob", "birthdate", "address", "email", "raw", "pl", "resp", "students_raw")
+#: Fields that no published table and no report may have, at any depth.
+BANNED_PAYLOAD = ("pctCorrect", "distractors", "zeroCredit", "results", "perStudent", "uid", "studentName", "osis", "roster")
+BANNED_REPORT = ("pl", "plByStudent", "rawByStudent", "perStudent", "students_", "roster", "osis", "studentName")
+#: Further fields of persons.
+PERSONAL = ("student", "first_name", "last_name", "birth_date", "dob", "email", "phone", "address")
+BANNED = (*BANNED_PAYLOAD, *BANNED_REPORT, *PERSONAL)
+#: Fields with published prose, whose words may look like names.
+PROSE = ("stemPlain", "topWrongText", "choiceList", "label", "lessonTitle", "unitTitle", "sourceUrl", "domainLabel")
+#: Fields that may hold long texts, what the others may hold, and the parts of a payload that are written by hand.
+LONG_TEXTS = (
+    "clusterText", "notes", "domainLabel", "subscore", "basis", "postTestNote", "note", "stem", "stemPlain", "stemHtml", "stemAfter", "prose", "text", "alt",
+    "longDescription", "answer", "check", "creditLine", "source", "itemText",
+)
+LONGEST_TEXT = 300
+UNCAPPED = ("meta", "blueprint", "curriculum.meta")
 IDENTIFIER = r"\b\d{9}\b"
-SURNAME_FORENAME = r"\b[A-Z][A-Z'\-]{2,}, ?[A-Z][A-Z'\-]{2,}\b"
+SURNAME_FORENAME = r"\b[A-Z]{2,}, ?[A-Z]{2,}\b"
+#: Codes of sections are no longer than this.
+LONGEST_SECTION = 8
+
+
+def _plain(name: str) -> str:
+    """A field's name in one spelling: ``raw_by_student`` is ``rawByStudent``; a last underscore stays."""
+    return re.sub(r"_(?=.)", "", name).lower()
+
+
+def _leaf(path: str) -> str:
+    """The spelling of a path's last field."""
+    return _plain(re.sub(r"(\[\]|\{key\}|\{\})+$", "", path).split(".")[-1])
 
 
 def fields(kind: T.DataType, path: str = "") -> list[tuple[str, T.DataType]]:
@@ -104,20 +126,57 @@ def fields(kind: T.DataType, path: str = "") -> list[tuple[str, T.DataType]]:
 
 def banned_fields(df: DataFrame, banned: tuple[str, ...] = BANNED) -> list[str]:
     """Paths of the schema whose last part is banned."""
-    return [p for p, _ in fields(df.schema) if p.split(".")[-1].rstrip("[]{}").lower() in banned]
-
-
-def string_columns(df: DataFrame, exempt: tuple[str, ...] = ()) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in exempt]
-
-
-def identity_findings(df: DataFrame, exempt: tuple[str, ...] = (), cap: int | None = None) -> DataFrame:
-    """(column, kind, n): identifiers, names and over-long texts in the string columns."""
-    kinds = [("identifier", lambda c: c.rlike(IDENTIFIER)), ("surname-forename", lambda c: c.rlike(SURNAME_FORENAME))]
-    if cap is not None:
-        kinds.append(("too-long", lambda c: F.length(c) > cap))
-    cols = string_columns(df, exempt)
-    tests = [(c, k, f(F.col(c))) for c in cols for k, f in kinds]
+    names = {_plain(b) for b in banned}
+    return [p for p, _ in fields(df.schema) if _leaf(p) in names]
+
+
+def string_leaves(kind: T.StructType, exempt: tuple[str, ...] = ()) -> list[tuple[str, Callable]]:
+    """(path, f) of every string of a schema, however deep; f(test) is whether one passes the test.
+
+    A field that is exempt, by its name or its whole path, is passed over with all below it.
+    """
+    spared = {_plain(e) for e in exempt}
+
+    def walk(t: T.DataType, path: str, reach: Callable) -> list[tuple[str, Callable]]:
+        if isinstance(t, T.StringType):
+            return [(path, reach)]
+        if isinstance(t, T.ArrayType):
+            return walk(t.elementType, f"{path}[]", lambda f: reach(lambda v: F.coalesce(F.exists(v, f), F.lit(False))))
+        if isinstance(t, T.MapType):
+            inside = lambda part: lambda f: reach(lambda v: F.coalesce(F.exists(part(v), f), F.lit(False)))
+            return walk(t.keyType, f"{path}{{key}}", inside(F.map_keys)) + walk(t.valueType, f"{path}{{}}", inside(F.map_values))
+        if isinstance(t, T.StructType):
+            out = []
+            for x in t.fields:
+                here = f"{path}.{x.name}" if path else x.name
+                if _plain(x.name) in spared or _plain(here) in spared:
+                    continue
+                at = (lambda n: lambda f: reach(lambda v: f(v[n])))(x.name) if path else (lambda n: lambda f: f(F.col(f"`{n}`")))(x.name)
+                out += walk(x.dataType, here, at)
+            return out
+        return []
+
+    return walk(kind, "", lambda f: f)
+
+
+def identity_findings(df: DataFrame, exempt: tuple[str, ...] = (), cap: int | None = None, uncapped: tuple[str, ...] = ()) -> DataFrame:
+    """(column, kind, n): rows with identifiers, names, over-long section codes, banned keys of
+    maps and, with ``cap``, over-long texts, by the path of the string, however deep it is.
+
+    ``uncapped`` are the fields, or paths, that may hold long texts.
+    """
+    free = {p for p, _ in string_leaves(df.schema)} - {p for p, _ in string_leaves(df.schema, uncapped)}
+    tests = []
+    for path, reach in string_leaves(df.schema, exempt):
+        kinds = [("identifier", lambda c: c.rlike(IDENTIFIER)), ("surname-forename", lambda c: c.rlike(SURNAME_FORENAME))]
+        if path.endswith("{key}"):
+            names = [_plain(b) for b in BANNED]
+            kinds.append(("banned-key", lambda c: F.lower(F.regexp_replace(c, "_(?=.)", "")).isin(names)))
+        if _leaf(path) in ("section", "sections"):
+            kinds.append(("section-code", lambda c: F.length(c) > LONGEST_SECTION))
+        if cap is not None and path not in free:
+            kinds.append(("too-long", lambda c: F.length(c) > cap))
+        tests += [(path, k, reach((lambda g: lambda v: F.coalesce(g(v), F.lit(False)))(f))) for k, f in kinds]
     if not tests:
         return df.sparkSession.createDataFrame([], "column string, kind string, n bigint")
     one = df.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n{i}") for i, (_, _, t) in enumerate(tests)])
@@ -125,10 +184,13 @@ def identity_findings(df: DataFrame, exempt: tuple[str, ...] = (), cap: int | No
     return one.select(F.expr(f"stack({len(tests)}, {pairs}) as (column, kind, n)")).where("n > 0")
 
 
-def assert_private(df: DataFrame, exempt: tuple[str, ...] = ()) -> DataFrame:
-    """``df``; ValueError if its schema or its texts could identify somebody."""
-    if bad := banned_fields(df):
-        raise ValueError(f"banned fields: {', '.join(bad)}")
-    if hits := identity_findings(df, exempt).collect():  # one row per column and kind
-        raise ValueError("possible identities in " + ", ".join(f"{h['column']} ({h['kind']})" for h in hits))
+def assert_private(df: DataFrame, exempt: tuple[str, ...] = (), banned: tuple[str, ...] = BANNED, label: str = "table", cap: int | None = None) -> DataFrame:
+    """``df``; ValueError if its schema or its texts could identify somebody.
+
+    Fields of published prose (PROSE) are not searched for names.
+    """
+    if bad := banned_fields(df, banned):
+        raise ValueError(f"{label}: banned fields: {', '.join(bad)}")
+    if hits := identity_findings(df, (*PROSE, *exempt), cap, (*LONG_TEXTS, *UNCAPPED)).collect():  # one row per path and kind
+        raise ValueError(f"{label}: possible identities in " + ", ".join(f"{h['column']} ({h['kind']})" for h in hits))
     return df

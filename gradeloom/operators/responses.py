@@ -1,107 +1,141 @@
-"""Wide response sheets as long cells: header, guarded columns, students.
+"""Wide response sheets as long cells, many sheets at once: header, guarded columns, students.
 
-cells: (r, c, value): row and column from 0 and the cell's text, null if empty. The
-source adds the file where there are several; keys then include it.
+cells: keys.., r, c, value: row and column from 0 and the cell's text, null if empty. Every
+step is grouped by the keys (the file and the sheet, unless others are given), so a hundred
+thousand workbooks are one plan. Only question columns are read, and two guarded ones.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.scalars import cell_text, prefixed
+from gradeloom.functions.scalars import cell_text, leading_number
 
-#: A header such as ``7. (NY-6.RP.3a)`` or ``Q7 6.RP.3``; rows that are searched.
-HEADER = r"^\s*(?:Q\s*)?(\d{1,2})\s*[.:)\-]?\s*\(?\s*((?:NY-)?\d\.[A-Z]{1,3}\.\d+[a-z]?)\s*\)?\s*$"
+KEYS = ("path", "sheet")
+#: A question's header such as ``Q7 (6.RP.3a)``, and the rows that are searched.
+HEADER = r"^Q\s*(\d+)\s*\(\s*([0-9]+(?:\.[A-Za-z0-9]+)+)\s*\)$"
 HEADER_ROWS, LEAST_HEADERS = 40, 10
 GUARD_ROWS, LEVEL_ROWS = 39, 399
-NAME_SHAPED = r"^[A-Za-z'\-]{2,},\s*[A-Za-z'\-]{2,}|^[A-Z][a-z]+ [A-Z][a-z]+$"
+NAME_SHAPED = r"^[A-Za-z][A-Za-z', .-]{3,}$"
+LONGEST_SECTION, LEVELS = 8, (1.0, 4.6)
+PREFIX = "NY-"
 
 
-def header_cells(cells: DataFrame) -> DataFrame:
-    """(r, c, question, code) of the cells in the first rows that read as a question header."""
-    v = cell_text(F.col("value"))
-    hit = cells.where(F.col("r") < HEADER_ROWS).withColumn("_q", F.regexp_extract(v, HEADER, 1)).where("_q <> ''")
-    return hit.select("r", "c", F.col("_q").cast("int").alias("question"), prefixed(F.regexp_extract(v, HEADER, 2)).alias("code"))
+def one_sheet(cells: DataFrame, path: str = "") -> DataFrame:
+    """The cells (r, c, value) of a single sheet, with its keys."""
+    return cells.withColumns({"path": F.lit(path), "sheet": F.lit(0)})
 
 
-def header_row(cells: DataFrame) -> DataFrame:
-    """(r): the first row with enough headers; no row if there is none."""
-    per = header_cells(cells).groupBy("r").agg(F.countDistinct("question").alias("n"))
-    return per.where(F.col("n") >= LEAST_HEADERS).agg(F.min("r").alias("r")).where("r IS NOT NULL")
+def questions(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., head, question, c, code) of the first row with enough different question headers.
 
+    Of a question that is headed twice, the first column counts.
+    """
+    keys = keys or KEYS
+    v = cell_text(F.col("value"))
+    hits = cells.where((F.col("r") < HEADER_ROWS) & v.rlike(HEADER)).select(
+        *keys, "r", "c", F.regexp_extract(v, HEADER, 1).try_cast("int").alias("question"), F.concat(F.lit(PREFIX), F.regexp_extract(v, HEADER, 2)).alias("code")
+    )
+    per = hits.groupBy(*keys, "r").agg(F.countDistinct("question").alias("_n")).where(F.col("_n") >= LEAST_HEADERS)
+    head = per.groupBy(*keys).agg(F.min("r").alias("head"))
+    first = hits.join(head, list(keys)).where(F.col("r") == F.col("head"))
+    return first.groupBy(*keys, "head", "question").agg(F.min_by(F.struct("c", "code"), "c").alias("_f")).select(*keys, "head", "question", "_f.*")
 
-def questions(cells: DataFrame) -> DataFrame:
-    """(question, c, code, r): of a repeated question the first column counts."""
-    heads = header_cells(cells).join(F.broadcast(header_row(cells)), "r")
-    best = F.min_by(F.struct("c", "code", "r"), "c")
-    return heads.groupBy("question").agg(best.alias("_b")).select("question", "_b.*")
 
+def left_cells(cells: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., head, r, c, v): what stands left of the column of the lowest question, from the header on."""
+    keys = keys or KEYS
+    frame = asked.groupBy(*keys, "head").agg(F.min_by("c", "question").alias("_first"))
+    return cells.join(frame, list(keys)).where((F.col("c") < F.col("_first")) & (F.col("r") >= F.col("head"))).select(*keys, "head", "r", "c", cell_text(F.col("value")).alias("v"))
 
-def _below(cells: DataFrame, rows: int) -> DataFrame:
-    head = header_row(cells).select(F.col("r").alias("_h"))
-    return cells.join(F.broadcast(head), (F.col("r") > F.col("_h")) & (F.col("r") <= F.col("_h") + rows))
 
+def looks_like_identity(left: DataFrame, *keys: str, least: int = 3) -> DataFrame:
+    """(keys.., names): sheets with that many different name-shaped values in the first three columns."""
+    keys = keys or KEYS
+    near = left.where((F.col("c") < 3) & (F.col("r") > F.col("head")) & (F.col("r") <= F.col("head") + GUARD_ROWS) & F.col("v").rlike(NAME_SHAPED))
+    return near.groupBy(*keys).agg(F.countDistinct("v").alias("names")).where(F.col("names") >= least)
 
-def looks_like_identity(cells: DataFrame, least: int = 3) -> DataFrame:
-    """(c, names): columns among the first three with that many different name-shaped values."""
-    v = cell_text(F.col("value"))
-    below = _below(cells, GUARD_ROWS).where(F.col("c") < 3).withColumn("_v", v).where(F.col("_v").rlike(NAME_SHAPED))
-    return below.groupBy("c").agg(F.countDistinct("_v").alias("names")).where(F.col("names") >= least)
 
+def _guarded(left: DataFrame, headed: Column, rows: int, good: Column, some: bool, *keys: str) -> DataFrame:
+    """(keys.., c): the first column with that header, unless a value below it is not good."""
+    first = left.where((F.col("r") == F.col("head")) & headed).groupBy(*keys).agg(F.min("c").alias("c"))
+    below = left.where((F.col("r") > F.col("head")) & (F.col("r") <= F.col("head") + rows) & (F.col("v") != ""))
+    judged = below.join(first, [*keys, "c"]).groupBy(*keys, "c").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("_good"))
+    met = first.join(judged, [*keys, "c"], "left")
+    return met.where(F.coalesce("_good", F.lit(not some))).select(*keys, "c")
 
-def section_column(cells: DataFrame) -> DataFrame:
-    """(c): the column headed ``class`` whose values are short codes; refused as a whole else."""
-    head = cells.join(F.broadcast(header_row(cells)), "r").where(F.lower(cell_text(F.col("value"))) == "class").select("c")
-    v = cell_text(F.col("value"))
-    fine = _below(cells, GUARD_ROWS).join(F.broadcast(head), "c").where(v != "").groupBy("c").agg(
-        F.bool_and((F.length(v) <= 8) & ~v.contains(",") & ~v.rlike(NAME_SHAPED)).alias("ok")
-    )
-    return fine.where("ok").agg(F.min("c").alias("c")).where("c IS NOT NULL")
 
+def section_column(left: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., c): the column headed ``class`` whose values are short codes; refused as a whole else."""
+    v = F.col("v")
+    good = (F.length(v) <= LONGEST_SECTION) & ~v.contains(",") & ~v.rlike(NAME_SHAPED)
+    return _guarded(left, F.lower("v") == "class", GUARD_ROWS, good, False, *(keys or KEYS))
 
-def level_column(cells: DataFrame) -> DataFrame:
-    """(c): the column after the first headed ``nys math`` whose values all lie in 1 to 4.6."""
-    head = cells.join(F.broadcast(header_row(cells)), "r").where((F.col("c") >= 1) & F.lower(cell_text(F.col("value"))).contains("nys math")).select("c")
-    v = F.nullif(cell_text(F.col("value")), F.lit(""))
-    fine = _below(cells, LEVEL_ROWS).join(F.broadcast(head), "c").where(v.isNotNull()).groupBy("c").agg(F.bool_and(F.coalesce(v.try_cast("double").between(1, 4.6), F.lit(False))).alias("ok"))
-    return fine.where("ok").agg(F.min("c").alias("c")).where("c IS NOT NULL")
+
+def level_column(left: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., c): the column headed ``nys math``, not the first one, whose values all lie in the
+    scale of levels; there must be one at least."""
+    headed = (F.col("c") >= 1) & (F.lower("v") == "nys math")
+    return _guarded(left, headed, LEVEL_ROWS, leading_number(F.col("v")).between(*LEVELS), True, *(keys or KEYS))
 
 
 @dataclass
-class Sheet:
-    """questions (question, code); students (student, section, level); responses
-    (student, question, value): a null value is an omission."""
+class Sheets:
+    """What is read of sheets, by their keys.
+
+    status (usable, why, identities); questions (question, code); students (student, section,
+    level), a student being a row's number; responses (student, question, value) without
+    empty cells; levels: the sheets that have a column of levels.
+    """
 
+    keys: tuple[str, ...]
+    status: DataFrame
     questions: DataFrame
     students: DataFrame
     responses: DataFrame
+    levels: DataFrame
+
 
+def _column(cells: DataFrame, which: DataFrame, name: str, value: Column, keys: tuple[str, ...]) -> DataFrame:
+    return cells.join(which, [*keys, "c"]).select(*keys, F.col("r").alias("student"), value.alias(name)).where(F.col(name).isNotNull())
 
-def _column(cells: DataFrame, which: DataFrame, name: str, kind: str) -> DataFrame:
-    picked = cells.join(F.broadcast(which), "c")
-    return picked.select(F.col("r").alias("student"), F.nullif(cell_text(F.col("value")), F.lit("")).try_cast(kind).alias(name))
 
+def kept_sections(students: DataFrame, *keys: str) -> DataFrame:
+    """The sheets whose sections are sections: half of the codes or more are shared, and there
+    are at most half as many codes as students. Others would be codes of students."""
+    keys = keys or KEYS
+    sizes = students.groupBy(*keys, "section").agg(F.count("*").alias("_n"))
+    codes = sizes.groupBy(*keys).agg(F.count("section").alias("_codes"), F.count_if(F.col("section").isNotNull() & (F.col("_n") > 1)).alias("_shared"), F.sum("_n").alias("_all"))
+    return codes.where((F.col("_codes") > 0) & (F.col("_shared") * 2 >= F.col("_codes")) & (F.col("_codes") * 2 <= F.col("_all"))).select(*keys)
 
-def parse(cells: DataFrame) -> Sheet:
-    """A sheet as long tables. Students are rows with at least one answer, known by row number.
 
-    Sections are dropped if they are mostly unique: then they are codes of students.
+def parse(cells: DataFrame, *keys: str) -> Sheets:
+    """Sheets as long tables. Students are the rows below the header with an answer.
+
+    A sheet without cells doesn't appear; one without a header row or students is refused:
+    its status says why, and it has no other rows.
     """
-    q = questions(cells)
-    cols = q.select("c", "question", F.col("r").alias("_h"))
-    asked = cells.join(F.broadcast(cols), "c").where(F.col("r") > F.col("_h"))
-    answers = asked.select(F.col("r").alias("student"), "question", F.nullif(cell_text(F.col("value")), F.lit("")).alias("value"))
-    present = answers.groupBy("student").agg(F.count("value").alias("_n")).where("_n > 0").select("student")
-    students = present.join(_column(cells, section_column(cells), "section", "string"), "student", "left")
-    students = students.join(_column(cells, level_column(cells), "level", "double"), "student", "left")
-    shape = students.agg((F.countDistinct("section") * 2 > F.count("section")).alias("_unique"))
-    students = students.join(F.broadcast(shape), how="cross").withColumn("section", F.when(~F.coalesce("_unique", F.lit(False)), F.col("section"))).drop("_unique")
-    everyone = present.join(F.broadcast(q.select("question")), how="cross")  # the roster times the questions of the sheet
-    full = everyone.join(answers, ["student", "question"], "left")
-    return Sheet(q.select("question", "code"), students, full)
+    keys = keys or KEYS
+    k = list(keys)
+    asked = questions(cells, *keys)
+    left = left_cells(cells, asked, *keys)
+    below = cells.join(asked.select(*k, "head", "question", "c"), [*k, "c"]).where(F.col("r") > F.col("head"))
+    responses = below.select(*k, F.col("r").alias("student"), "question", F.nullif(cell_text(F.col("value")), F.lit("")).alias("value")).where("value IS NOT NULL")
+    v = F.nullif(cell_text(F.col("value")), F.lit(""))
+    levels = level_column(left, *keys)
+    sections = _column(cells, section_column(left, *keys), "section", v, keys)
+    scale = _column(cells, levels, "level", leading_number(v), keys)
+    students = responses.select(*k, "student").distinct().join(sections, [*k, "student"], "left").join(scale, [*k, "student"], "left")
+    good = kept_sections(students, *keys).withColumn("_good", F.lit(True))
+    students = students.join(good, k, "left").withColumn("section", F.when(F.col("_good"), F.col("section"))).drop("_good")
+    found = cells.select(*k).distinct().join(asked.select(*k).distinct().withColumn("_head", F.lit(True)), k, "left")
+    found = found.join(responses.select(*k).distinct().withColumn("_rows", F.lit(True)), k, "left").join(looks_like_identity(left, *keys), k, "left")
+    why = F.when(F.col("_head").isNull(), "no row of question headers").when(F.col("_rows").isNull(), "no student rows beneath the question headers")
+    status = found.select(*k, why.isNull().alias("usable"), why.alias("why"), F.col("names").isNotNull().alias("identities"))
+    return Sheets(tuple(keys), status, asked.select(*k, "question", "code"), students, responses, levels.select(*k))
 
 
 def unpivoted(wide: DataFrame, keys: list[str], pattern: str, name: str = "item", value: str = "value") -> DataFrame:
@@ -110,7 +144,3 @@ def unpivoted(wide: DataFrame, keys: list[str], pattern: str, name: str = "item"
 
     cols = [c for c in wide.columns if re.search(pattern, c)]
     return wide.select(*keys, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(keys, cols, name, value)
-
-
-def numbered(df: DataFrame, order: Column, name: str = "place", *keys: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

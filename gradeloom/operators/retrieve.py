@@ -48,7 +48,7 @@ def promoted_rank(scores: DataFrame, query: str, doc: str, promoted: Column | No
     s = F.col("score") * F.when(prior, UNIT_PRIOR).otherwise(1.0) if prior is not None else F.col("score")
     first = F.when(promoted, 1).otherwise(0) if promoted is not None else F.lit(0)
     w = Window.partitionBy(query).orderBy(first.desc(), half_up(s, 6).desc(), F.col(doc))
-    return scores.withColumn("score", s).withColumn("rank", F.row_number().over(w))
+    return scores.withColumn("rank", F.row_number().over(w)).withColumn("score", s)
 
 
 def top_k(ranked: DataFrame, k: int = 8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import scalars
@@ -15,11 +15,37 @@ from gradeloom.sources import sinks
 I = with_parts(ITEMS)  # noqa: E741
 
 
+ROLLUP_SQL = f"""registry AS (SELECT DISTINCT standard FROM items UNION ALL SELECT 'Brand#none'),
+standard_rollup AS (
+  SELECT standard, count(item) AS n_items, CAST(coalesce(sum(credits), 0) AS BIGINT) AS credits, count(*) FILTER (WHERE type = 'cr') AS n_cr, count(DISTINCT year) AS n_years,
+         {r3('sum(CAST(round(p_value * 10000) AS BIGINT)) / (10000 * count(p_value))')} AS mean_p, min(p_value) AS min_p, max(p_value) AS max_p
+  FROM registry LEFT JOIN (SELECT * FROM items WHERE grade = 6) USING (standard) GROUP BY standard)"""
+
+
 @query(I + "SELECT item, standard, year, type FROM items WHERE year IN (1996, 1999) AND domain IN (SELECT min(p_type) FROM part UNION SELECT max(p_type) FROM part) AND type = 'mc'")
 def facet_filter(spark: SparkSession, d: str) -> DataFrame:
     it = roles.items(spark, d)
-    ends = it.agg(F.min("domain"), F.max("domain")).head()
-    return explore.faceted(it, year=[1996, 1999], domain=list(ends), type=["mc"], unit=None).select("item", "standard", "year", "type")
+    ends = it.select("domain").agg(F.min("domain").alias("a"), F.max("domain").alias("b")).select(F.explode(F.array("a", "b")).alias("domain")).distinct()
+    return explore.faceted(it, year=[1996, 1999], type=["mc"], unit=None).join(F.broadcast(ends), "domain").select("item", "standard", "year", "type")  # two rows
+
+
+@query(I + "SELECT item FROM items WHERE unit % 4 = 0 OR unit IN (3, 5)")
+def unit_facet(spark: SparkSession, d: str) -> DataFrame:
+    units = F.when(F.col("unit") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("unit").cast("string"), F.lit("x")))
+    return explore.faceted(roles.items(spark, d).select("item", units.alias("units")), units=["3", "5", None]).select("item")
+
+
+@query(with_parts(ITEMS) + "SELECT standard, n, row_number() OVER (ORDER BY n = 0, standard) AS place FROM (SELECT standard, count(item) AS n FROM (SELECT DISTINCT standard FROM items UNION ALL SELECT 'Brand#00') LEFT JOIN (SELECT standard, item FROM items WHERE grade = 6) USING (standard) GROUP BY standard)")
+def standards_order(spark: SparkSession, d: str) -> DataFrame:
+    it = roles.items(spark, d)
+    registry = it.select("standard").distinct().unionByName(spark.createDataFrame([("Brand#00",)], "standard string"))
+    rolled = explore.standard_rollup(registry, it.where("grade = 6")).select("standard", F.col("n_items").alias("n"))
+    return explore.placed(rolled, (F.col("n") == 0).asc(), F.col("standard").asc())
+
+
+@query(with_parts(ITEMS, ROLLUP_SQL) + "SELECT standard, n_items, mean_p FROM standard_rollup WHERE n_items >= 3 AND mean_p < 0.5")
+def headline_hard(spark: SparkSession, d: str) -> DataFrame:
+    return explore.hard_standards(_standard_rollup(spark, d)).select("standard", "n_items", "mean_p")
 
 
 @query("SELECT p_partkey AS item, p_name AS name FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), '3')")
@@ -28,52 +54,38 @@ def haystack_search(spark: SparkSession, d: str) -> DataFrame:
     return explore.searched(p, " 3 ", "p_name", "p_brand", "p_type").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("name"))
 
 
-@query(I + "SELECT item, avg_points, year, row_number() OVER (ORDER BY avg_points DESC NULLS LAST, year, item) AS place FROM items QUALIFY place <= 200")
-def multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
-    top = explore.ordered(roles.items(spark, d).select("item", "avg_points", "year"), ("avg_points", True), ("year", False), ("item", False)).limit(200)
-    w = Window.orderBy(F.col("avg_points").desc_nulls_last(), "year", "item")
-    return top.withColumn("place", F.row_number().over(w))  # a page of 200 rows
-
-
 @query(I + "SELECT item, avg_points, year, row_number() OVER (ORDER BY avg_points DESC NULLS LAST, year, item) AS place FROM items")
-def multi_key_sort_all(spark: SparkSession, d: str) -> DataFrame:
+def multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
     it = roles.items(spark, d).select("item", "avg_points", "year")
     return explore.placed(it, F.col("avg_points").desc_nulls_last(), F.col("year").asc(), F.col("item").asc())
 
 
 def _order_sql(first: str) -> str:
-    return I + f"SELECT item, year, p_value, unit, standard FROM items ORDER BY {first}, year, item LIMIT 50"
+    return I + f"SELECT item, year, p_value, unit, standard, row_number() OVER (ORDER BY {first}, year, item) AS place FROM items"
+
+
+def _in_order(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    return explore.placed(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), *explore.question_keys(mode))
 
 
 @query(_order_sql("p_value"))
 def hardest_order(spark: SparkSession, d: str) -> DataFrame:
-    return explore.question_order(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), "hardest").limit(50)
+    return _in_order(spark, d, "hardest")
 
 
 @query(_order_sql("unit"))
 def curriculum_order(spark: SparkSession, d: str) -> DataFrame:
-    return explore.question_order(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), "curriculum").limit(50)
-
-
-def _whole_order_sql(first: str) -> str:
-    return I + f"SELECT item, year, p_value, unit, standard, row_number() OVER (ORDER BY {first}, year, item) AS place FROM items"
-
+    return _in_order(spark, d, "curriculum")
 
-@query(_whole_order_sql("p_value"))
-def hardest_order_all(spark: SparkSession, d: str) -> DataFrame:
-    return explore.placed(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), *explore.question_keys("hardest"))
 
+@query(_order_sql("year DESC"))
+def year_order(spark: SparkSession, d: str) -> DataFrame:
+    return _in_order(spark, d, "year")
 
-@query(_whole_order_sql("unit"))
-def curriculum_order_all(spark: SparkSession, d: str) -> DataFrame:
-    return explore.placed(roles.items(spark, d).select("item", "year", "p_value", "unit", "standard"), *explore.question_keys("curriculum"))
 
-
-ROLLUP = f"""registry AS (SELECT DISTINCT standard FROM items UNION ALL SELECT 'Brand#none'),
-standard_rollup AS (
-  SELECT standard, count(item) AS n_items, CAST(coalesce(sum(credits), 0) AS BIGINT) AS credits, count(*) FILTER (WHERE type = 'cr') AS n_cr, count(DISTINCT year) AS n_years,
-         {r3('sum(CAST(round(p_value * 10000) AS BIGINT)) / (10000 * count(p_value))')} AS mean_p, min(p_value) AS min_p, max(p_value) AS max_p
-  FROM registry LEFT JOIN (SELECT * FROM items WHERE grade = 6) USING (standard) GROUP BY standard)"""
+@query(_order_sql("standard"))
+def standard_order(spark: SparkSession, d: str) -> DataFrame:
+    return _in_order(spark, d, "standard")
 
 
 def _standard_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +94,12 @@ def _standard_rollup(spark: SparkSession, d: str) -> DataFrame:
     return explore.standard_rollup(registry, it.where("grade = 6")).drop("years")
 
 
-@query(with_parts(ITEMS, ROLLUP) + "SELECT * FROM standard_rollup")
+@query(with_parts(ITEMS, ROLLUP_SQL) + "SELECT * FROM standard_rollup")
 def standard_rollup_left(spark: SparkSession, d: str) -> DataFrame:
     return _standard_rollup(spark, d)
 
 
-@query(with_parts(ITEMS, ROLLUP) + "SELECT standard, n_items, n_years, mean_p FROM standard_rollup WHERE n_years >= 3 AND mean_p < 0.5")
+@query(with_parts(ITEMS, ROLLUP_SQL) + "SELECT standard, n_items, n_years, mean_p FROM standard_rollup WHERE n_years >= 3 AND mean_p < 0.5")
 def persistent_hard(spark: SparkSession, d: str) -> DataFrame:
     return explore.hard_standards(_standard_rollup(spark, d), by="n_years").select("standard", "n_items", "n_years", "mean_p")
 

@@ -54,20 +54,19 @@ def choice_tally(spark: SparkSession, d: str) -> DataFrame:
     return itemstats.choice_tally(choices, itemstats.wrong_answers(roles.responses(spark, d), it))
 
 
-@query(FULL + "SELECT item, gap, coalesce(gap, 1.0) AS order_gap, row_number() OVER (ORDER BY coalesce(gap, 1.0), item) AS place FROM item_stats QUALIFY place <= 25")
-def class_vs_state_gap(spark: SparkSession, d: str) -> DataFrame:
-    top = _stats(spark, d).select("item", "gap", F.coalesce("gap", F.lit(1.0)).alias("order_gap")).orderBy("order_gap", "item").limit(25)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy("order_gap", "item")))  # a report of 25 rows
-
-
 @query(FULL + "SELECT item, gap, coalesce(gap, 1.0) AS order_gap, row_number() OVER (ORDER BY coalesce(gap, 1.0), item) AS place FROM item_stats")
-def class_vs_state_gap_all(spark: SparkSession, d: str) -> DataFrame:
+def class_vs_state_gap(spark: SparkSession, d: str) -> DataFrame:
     stats = _stats(spark, d).select("item", "gap", F.coalesce("gap", F.lit(1.0)).alias("order_gap"))
     return explore.placed(stats, F.col("order_gap").asc(), F.col("item").asc())
 
 
+@query(BASE + f"SELECT item, (SELECT count(*) FROM customer) AS n, count(*) FILTER (WHERE answered) AS answered, sum(points) AS earned, {r3('sum(points) / (any_value(credits) * (SELECT count(*) FROM customer))')} AS class_p FROM scored GROUP BY item")
+def roster_item_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The class rate over all students of the roster, answered or not."""
+    roster = roles.table(spark, d, "customer")
+    return itemstats.item_stats(roles.responses(spark, d), roles.items(spark, d), roster).select("item", "n", "answered", "earned", "class_p")
+
+
 def _rollup_sql(key: str) -> str:
     cls = r3("sum(earned) / sum(credits * n)")
     st = r3("sum(CAST(floor(coalesce(state_p, 0) * 1000 + 0.5) AS BIGINT) * credits * n) / 1000 / sum(credits * n)")
@@ -294,6 +293,15 @@ def checkpoint_earliest_unit(spark: SparkSession, d: str) -> DataFrame:
     return analysis.earliest_unit(placed)
 
 
+WANTS = """firsts AS (SELECT standard, min(unit) AS unit FROM items GROUP BY standard),
+lost AS (SELECT f.unit, standard, CAST(CAST(sum(credits) AS BIGINT) % 17 AS DOUBLE) AS credits_lost, count(*) AS available FROM items i JOIN firsts f USING (standard) GROUP BY f.unit, standard),
+wished AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY credits_lost DESC, standard) <= greatest(1, ceil(count(*) OVER () / 3)) THEN 2 ELSE 1 END AS wish FROM lost),
+wants AS (SELECT unit, standard, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(greatest(least(wish, 6 - coalesce(sum(least(wish, available)) OVER (PARTITION BY unit ORDER BY credits_lost DESC, standard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS INTEGER) AS want, credits_lost
+  FROM wished WINDOW w AS (PARTITION BY unit ORDER BY credits_lost DESC, standard))"""
+PICKED = """pool AS (SELECT standard, item AS id, type, p_value, year, right(standard, 1) IN ('1', '3') AS weak_cr FROM items),
+picked AS (SELECT w.*, p.id, p.type, p.p_value, p.year, p.weak_cr FROM wants w JOIN (SELECT *, row_number() OVER (PARTITION BY standard ORDER BY CASE WHEN weak_cr AND type = 'mc' THEN 1 ELSE 0 END, coalesce(p_value, 1.0), year DESC, id) AS n FROM pool) p USING (standard) WHERE n <= want)"""
+
+
 def _wants(spark: SparkSession, d: str) -> DataFrame:
     it = roles.items(spark, d)
     first = analysis.earliest_unit(it.select("standard", "unit").distinct().withColumn("start_week", F.col("unit")))
@@ -301,16 +309,42 @@ def _wants(spark: SparkSession, d: str) -> DataFrame:
     return analysis.checkpoint_wants(first.join(lost, "standard").select("unit", "standard", "credits_lost", "available"))
 
 
-@query()
+def _picked(spark: SparkSession, d: str) -> DataFrame:
+    weak = F.substring("standard", -1, 1).isin("1", "3")
+    pool = roles.items(spark, d).select("standard", F.col("item").alias("id"), "type", "p_value", "year", weak.alias("weak_cr"))
+    return analysis.checkpoint_items(_wants(spark, d), pool)
+
+
+@query(with_parts(ITEMS, WANTS) + "SELECT * FROM wants")
 def checkpoint_wants(spark: SparkSession, d: str) -> DataFrame:
     return _wants(spark, d)
 
 
-@query()
+@query(with_parts(ITEMS, WANTS, PICKED) + "SELECT * FROM picked")
 def checkpoint_items(spark: SparkSession, d: str) -> DataFrame:
-    pool = roles.items(spark, d).select("standard", F.col("item").alias("id"), "type", "p_value", "year", (F.col("item") % 2 == 0).alias("weak_cr"))
-    pool = pool.withColumn("weak_cr", F.substring("standard", -1, 1).isin("1", "3"))
-    return analysis.checkpoint_items(_wants(spark, d), pool)
+    return _picked(spark, d)
+
+
+@query(with_parts(ITEMS, WANTS, PICKED) + "SELECT standard, want, count(id) AS got FROM (SELECT w.standard, w.want, k.id FROM wants w LEFT JOIN (SELECT * FROM picked WHERE id % 3 <> 0) k USING (standard)) GROUP BY standard, want HAVING count(id) < want")
+def thin_supply(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.thin_supply(_wants(spark, d), _picked(spark, d).where("id % 3 <> 0"))
+
+
+@query(
+    with_parts(ITEMS, WANTS, PICKED)
+    + """SELECT unit, standard, id, CASE WHEN unit % 2 = 0 AND n > 1 AND place <= ceil(n / 2) THEN 'mid-unit assessment' ELSE 'unit assessment' END AS given
+FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY rank, id) AS place, count(*) OVER (PARTITION BY unit) AS n FROM picked)"""
+)
+def assessment_sets(spark: SparkSession, d: str) -> DataFrame:
+    picked = _picked(spark, d).withColumn("mid_unit_assessment", F.col("unit") % 2 == 0)
+    return analysis.assessment_sets(picked).select("unit", "standard", "id", F.col("when").alias("given"))
+
+
+@query(with_parts(ITEMS) + "SELECT * FROM (SELECT unit, unit % 2 = 0 AS mid_unit_assessment, CAST(sum(credits) AS BIGINT) AS gating_credits, unit * 4 - 3 AS start_week FROM items GROUP BY unit) WHERE NOT mid_unit_assessment AND gating_credits >= 4 AND start_week >= 21")
+def late_without_mid(spark: SparkSession, d: str) -> DataFrame:
+    units = roles.items(spark, d).groupBy("unit").agg(F.sum("credits").alias("gating_credits"))
+    units = units.select("unit", (F.col("unit") % 2 == 0).alias("mid_unit_assessment"), "gating_credits", (F.col("unit") * 4 - 3).alias("start_week"))
+    return analysis.late_without_mid(units)
 
 
 # --- identification ------------------------------------------------------------------
@@ -319,7 +353,7 @@ def checkpoint_items(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_parts(
         ITEMS,
-        "header AS (SELECT item, standard AS code FROM items WHERE year = 1997 AND item % 5 <> 0)",
+        "header AS (SELECT item, standard AS code FROM items WHERE year = 1997)",
         "published AS (SELECT CAST(year AS VARCHAR) AS test, item % 1000 AS item, min(standard) AS code FROM items GROUP BY 1, 2)",
         "probe AS (SELECT item % 1000 AS item, min(code) AS code FROM header GROUP BY 1)",
         "score AS (SELECT test, count(*) FILTER (WHERE p.code = h.code) AS agree, count(*) AS published FROM published p JOIN probe h USING (item) GROUP BY test)",
@@ -331,5 +365,5 @@ def identify_test(spark: SparkSession, d: str) -> DataFrame:
     it = roles.items(spark, d)
     number = (F.col("item") % 1000).alias("item")
     published = it.groupBy(F.col("year").cast("string").alias("test"), number).agg(F.min("standard").alias("code"))
-    probe = it.where("year = 1997 AND item % 5 <> 0").groupBy(number).agg(F.min("standard").alias("code"))
+    probe = it.where("year = 1997").groupBy(number).agg(F.min("standard").alias("code"))
     return analysis.identify(probe, published)

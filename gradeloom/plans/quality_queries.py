@@ -44,15 +44,8 @@ def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
     return quality.repeated(roles.table(spark, d, "documents"), "text").select(F.md5("text").alias("digest"), "n")
 
 
-@query("SELECT p_brand AS k, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names FROM part WHERE p_partkey % 29 = 0 GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
-def contradictory_names(spark: SparkSession, d: str) -> DataFrame:
-    p = roles.table(spark, d, "part").where("p_partkey % 29 = 0").select(F.col("p_brand").alias("k"), "p_type")
-    return quality.contradictory(p, "k", "p_type").select("k", F.array_join("values", "|").alias("names"))
-
-
 @query("SELECT p_brand AS k, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
-def contradictory_names_all(spark: SparkSession, d: str) -> DataFrame:
-    """The names in all of part; contradictory_names looks at every 29th."""
+def contradictory_names(spark: SparkSession, d: str) -> DataFrame:
     p = roles.table(spark, d, "part").select(F.col("p_brand").alias("k"), "p_type")
     return quality.contradictory(p, "k", "p_type").select("k", F.array_join("values", "|").alias("names"))
 
@@ -83,13 +76,34 @@ def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
     return quality.unresolved(refs, roles.table(spark, d, "part").where("p_size > 5"), "part", "p_partkey")
 
 
+def _scan_sql(path: str, tests: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{path}' AS \"column\", '{kind}' AS kind, count(*) FILTER (WHERE {test}) AS n FROM v" for kind, test in (t.split(": ", 1) for t in tests))
+
+
+_ID, _NAME = r"regexp_matches({0}, '\b\d{{9}}\b')", r"regexp_matches({0}, '\b[A-Z]{{2,}}, ?[A-Z]{{2,}}\b')"
+_KINDS = lambda c: (f"identifier: {_ID.format(c)}", f"surname-forename: {_NAME.format(c)}", f"too-long: length({c}) > 300")
+
+
+@query("WITH v AS (SELECT * FROM documents) SELECT * FROM (" + " UNION ALL ".join(_scan_sql(c, _KINDS(c)) for c in ("text", "lang", "source")) + ") WHERE n > 0")
+def privacy_scan(spark: SparkSession, d: str) -> DataFrame:
+    return quality.identity_findings(roles.table(spark, d, "documents"), cap=quality.LONGEST_TEXT)
+
+
 @query(
-    r"""SELECT * FROM (SELECT unnest(['text', 'text', 'text']) AS "column", unnest(['identifier', 'surname-forename', 'too-long']) AS kind,
-  unnest([count(*) FILTER (WHERE regexp_matches(text, '\b\d{9}\b')), count(*) FILTER (WHERE regexp_matches(text, '\b[A-Z][A-Z''\-]{2,}, ?[A-Z][A-Z''\-]{2,}\b')), count(*) FILTER (WHERE length(text) > 5000)]) AS n FROM documents) WHERE n > 0"""
+    r"""WITH v AS (SELECT *, upper(left(n_name, 1 + CAST(n_nationkey % 3 AS INTEGER))) || CASE WHEN n_nationkey % 2 = 0 THEN ', ' ELSE ' ' END || 'AN' AS who, lpad(CAST(n_nationkey * 7919 AS VARCHAR), 8 + CAST(n_nationkey % 2 AS INTEGER), '1') AS code FROM nation)
+SELECT * FROM ("""
+    + " UNION ALL ".join([_scan_sql("a.list[].who", _KINDS("who")[:2]), _scan_sql("a.list[].code", _KINDS("code")[:2]), _scan_sql("m{key}", _KINDS("code")[:2]), _scan_sql("m{}", _KINDS("who")[:2]), _scan_sql("sections[]", (*_KINDS("code")[:2], "section-code: length(code) > 8"))])
+    + ") WHERE n > 0"
 )
-def privacy_scan(spark: SparkSession, d: str) -> DataFrame:
-    docs = roles.table(spark, d, "documents").drop("lang", "source")
-    return quality.identity_findings(docs, cap=5000)
+def nested_privacy_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Names and numbers inside structs, arrays and maps."""
+    k = F.col("n_nationkey")
+    who = F.concat(F.upper(F.left("n_name", (k % 3 + 1).cast("int"))), F.when(k % 2 == 0, ", ").otherwise(" "), F.lit("AN"))
+    code = F.lpad((k * 7919).cast("string"), (k % 2 + 8).cast("int"), F.lit("1"))
+    n = roles.table(spark, d, "nation").select(
+        F.struct(F.array(F.struct(who.alias("who"), code.alias("code"))).alias("list"), F.lit(1).alias("n")).alias("a"), F.create_map(code, who).alias("m"), F.array(code).alias("sections"), who.alias("lesson_title")
+    )
+    return quality.identity_findings(n, exempt=quality.PROSE)
 
 
 @query(f"SELECT quality, toxic, count(*) AS n, {r3('count(*) / sum(count(*)) OVER ()')} AS rate FROM labels GROUP BY quality, toxic")

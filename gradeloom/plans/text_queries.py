@@ -23,15 +23,8 @@ ASKED = f"""qwords AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(
 asked AS (SELECT DISTINCT item_id AS query_id, {_stem} AS term FROM qwords WHERE length(w) >= 3 AND w NOT IN ({STOP}))"""
 
 
-@query(with_parts(TERMS) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM counts GROUP BY term HAVING count(*) >= 20")
-def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    c = retrieve.term_counts(roles.table(spark, d, "documents"), "doc_id")
-    return c.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
-
-
 @query(with_parts(TERMS) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM counts GROUP BY term")
-def term_statistics_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every term; term_statistics is the report of the common ones."""
+def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     c = retrieve.term_counts(roles.table(spark, d, "documents"), "doc_id")
     return c.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -60,17 +53,27 @@ def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
 RELEVANT = "relevant AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE contains(documents.text, benchmark.text))"
 
 
+#: Words inside a passage that a text must have in a row to be searched for it.
+INSIDE = 3
+
+
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a document and a benchmark passage that it holds.
 
-    Passages are matched where their first five words occur, not against every document.
+    Words inside a passage, behind its first separator, are whole words of any text that holds
+    it, whatever stands before; documents are searched only where they have them in a row.
+    Passages too short for that are a small table and are searched for everywhere.
     """
-    first = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
-    b = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), first(F.col("text")).alias("_k"))
-    words = roles.table(spark, d, "documents").select("doc_id", "text", F.split("text", r" |\n").alias("_w"))
-    # tokens of a passage's start may be joined to a line break before it, never within
-    starts = words.select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_join(F.slice("_w", i, F.lit(5)), " "))).alias("_k"))
-    return starts.join(b, "_k").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    docs = roles.table(spark, d, "documents").select("doc_id", "text")
+    b = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", r"[ \n]").alias("_w")).where("passage IS NOT NULL")
+    key = lambda c, i: F.array_join(F.slice(c, i, F.lit(INSIDE)), " ")
+    long = b.where(F.size("_w") >= INSIDE + 2).select("query_id", key(F.col("_w"), F.lit(2)).alias("_k"))
+    words = docs.select("doc_id", F.split("text", r"[ \n]").alias("_w")).where(F.size("_w") >= INSIDE)
+    keys = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - INSIDE + 1), lambda i: key(F.col("_w"), i)))).alias("_k"))
+    near = keys.join(long, "_k").select("doc_id", "query_id").distinct()
+    found = docs.join(near.join(b.select("query_id", "passage"), "query_id"), "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = b.where(F.size("_w") < INSIDE + 2).select("query_id", "passage")
+    return found.unionByName(docs.join(F.broadcast(short), F.contains("text", "passage")).select("query_id", "doc_id"))
 
 
 @query(
@@ -81,21 +84,23 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.recall_at(_ranked(spark, d), _relevant(spark, d))
 
 
-@query(with_parts(TERMS, ASKED, SCORES) + "SELECT query_id, count(*) AS n FROM ranked WHERE rank > 12 AND doc_id % 3 = 0 GROUP BY query_id")
+@query(with_parts(TERMS, ASKED, SCORES) + "SELECT query_id, count(*) AS n FROM ranked WHERE rank > 12 GROUP BY query_id")
 def second_tier_size(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranked(spark, d)
-    tier1 = retrieve.top_k(r, 12).select("query_id", "doc_id")
-    pool = r.where("doc_id % 3 = 0").select("query_id", "doc_id")
-    return retrieve.second_tier(pool, tier1, "query_id", "doc_id").groupBy("query_id").agg(F.count("*").alias("n"))
-
+    """The second tier of all ranked documents: those outside of the first."""
+    return _ranked(spark, d).where("rank > 12").groupBy("query_id").agg(F.count("*").alias("n"))
 
-@query(with_parts(TERMS, ASKED, SCORES) + "SELECT query_id, count(*) AS n FROM ranked WHERE rank > 12 GROUP BY query_id")
-def second_tier_size_all(spark: SparkSession, d: str) -> DataFrame:
-    """The second tier of all ranked documents; second_tier_size draws on every third.
 
-    With the ranked documents as the pool, those outside of the first tier are those below it.
-    """
-    return _ranked(spark, d).where("rank > 12").groupBy("query_id").agg(F.count("*").alias("n"))
+@query(
+    with_parts(TERMS, ASKED, SCORES, "prior AS (SELECT query_id, doc_id, score * CASE WHEN lang = 'en' THEN 1.3 ELSE 1.0 END AS score, coalesce(source IN ('src1', 'src2'), false) AS promoted FROM scores JOIN documents USING (doc_id))")
+    + f"SELECT query_id, doc_id, {r3('score')} AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY promoted DESC, floor(score * 1000000 + 0.5) / 1000000 DESC, doc_id) AS rank FROM prior) WHERE rank <= 8"
+)
+def promoted_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of two sources come first, those in one language weigh more: the shortlist's length is 8."""
+    docs = roles.table(spark, d, "documents")
+    asked = roles.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scores = retrieve.bm25_scores(docs, asked).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    top = retrieve.top_k(retrieve.promoted_rank(scores, "query_id", "doc_id", F.col("source").isin("src1", "src2"), F.col("lang") == "en"), 8)
+    return top.select("query_id", "doc_id", scalars.half_up(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
@@ -103,12 +108,27 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "pages").select("page_id", F.md5(scalars.without_tags(F.col("html"))).alias("digest"))
 
 
-@query(
-    "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS digest FROM pages WHERE NOT regexp_matches(html, '<sup>|class=\"(frac|sqrt)\"')"
-)
+#: Markup made of columns, and the text it reads as.
+MARKUP = """m AS (SELECT p_partkey AS item, p_size AS a, p_partkey % 9 + 2 AS b, p_brand AS w, p_partkey % 6 AS k, p_partkey % 4 AS deep FROM part)"""
+_READ = """CASE k WHEN 0 THEN '((' || a || ')/(' || b || '))/(' || w || ')' WHEN 1 THEN '\u221a(' || a || '^' || b || ')' WHEN 2 THEN 'segment ' || w WHEN 3 THEN a || '.' || b || '-repeating'
+ WHEN 4 THEN a || '_' || b || ' \u2264 ' || w || ' & ' || a || ' \u2212 ' || b ELSE '(' || a || '^2)/(' || b || ')' END"""
+
+
+@query(with_parts(MARKUP) + f"SELECT item, 'x ' || {_READ} || ' y ' || CASE deep WHEN 0 THEN '((((1)/(2))/(3))/(4))/(' || a || ')' ELSE '\u221a((' || a || ')/(' || b || '))' END AS text FROM m")
 def html_to_plain(spark: SparkSession, d: str) -> DataFrame:
-    p = roles.table(spark, d, "pages").where(~F.col("html").rlike('<sup>|class="(frac|sqrt)"'))
-    return p.select("page_id", F.md5(scalars.plain_markup(F.col("html"))).alias("digest"))
+    """Fractions in fractions, powers in radicals and the like, made of every part's columns."""
+    s = lambda *xs: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in xs])
+    frac = lambda x, y: s('<span class="frac"><span>', x, "</span><span>", y, "</span></span>")
+    root = lambda x: s('<span class="radical"><span class="radicand">', x, "</span></span>")
+    k = F.col("p_partkey") % 6
+    a, b, w = F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 2).cast("string"), F.col("p_brand")
+    nested = frac(frac(frac(frac(F.lit("1"), F.lit("2")), F.lit("3")), F.lit("4")), a)
+    body = (
+        F.when(k == 0, frac(frac(a, b), s("<i>", w, "</i>"))).when(k == 1, root(s(a, "<sup>", b, "</sup>"))).when(k == 2, s('<span class="segment">', w, "</span>"))
+        .when(k == 3, s('<span class="repeat">', a, ".", b, "</span>")).when(k == 4, s(a, "<sub>", b, "</sub> &le; ", w, " &amp; ", a, " &minus; ", b)).otherwise(frac(s(a, "<sup>2</sup>"), b))
+    )
+    html = s("<p>x ", body, "<br/>y ", F.when(F.col("p_partkey") % 4 == 0, nested).otherwise(root(frac(a, b))), "</p>")
+    return roles.table(spark, d, "part").select(F.col("p_partkey").alias("item"), scalars.plain_markup(html).alias("text"))
 
 
 NORMAL = "trim(regexp_replace(translate(lower({0}), '‘’“”–—', '''''\"\"--'), '[^a-z0-9]+', ' ', 'g'))"
@@ -133,13 +153,13 @@ def title_unique_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH q AS (SELECT conv_id, text FROM conversations WHERE turn = (SELECT min(turn) FROM conversations))
-SELECT c.conv_id, c.turn, {NORMAL.format("substr(q.text, 1, 12)")} <> '' AND contains(' ' || {NORMAL.format('c.text')} || ' ', {NORMAL.format("substr(q.text, 1, 12)")}) AS found
+SELECT c.conv_id, c.turn, {NORMAL.format("q.text")} <> '' AND contains(' ' || {NORMAL.format('c.text')} || ' ', {NORMAL.format("q.text")}) AS found
 FROM conversations c JOIN q ON c.conv_id = q.conv_id"""
 )
 def quote_containment(spark: SparkSession, d: str) -> DataFrame:
     c = roles.table(spark, d, "conversations")
     least = c.agg(F.min("turn").alias("turn"))
-    q = c.join(F.broadcast(least), "turn").select("conv_id", F.substring("text", 1, 12).alias("quote"))
+    q = c.join(F.broadcast(least), "turn").select("conv_id", F.col("text").alias("quote"))
     return c.join(q, "conv_id").select("conv_id", "turn", agreement.contains_quote(F.col("text"), F.col("quote")).alias("found"))
 
 

@@ -33,6 +33,28 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, optional: bo
         raise
 
 
+#: A published payload's items and tests, as far as reports read them; other fields are passed over.
+PAYLOAD = T.StructType([
+    T.StructField("items", T.ArrayType(_kind(
+        "id string, testId string, grade int, year int, item int, session int, type string, key string, credits int, standard string, domain string, domainLabel string, secondary strings, "
+        "pValue double, avgPointsEarned double, postTest boolean, course string, unit int, lesson int, lessonTitle string, alignmentBasis string, transcribed boolean, sourceUrl string"
+    ))),
+    T.StructField("tests", T.ArrayType(_kind("testId string, grade int, year int, label string"))),
+])
+
+
+def payload_table(payload: DataFrame, name: str) -> DataFrame:
+    """A table of a payload document as rows."""
+    return payload.select(F.explode(name).alias("_r")).select("_r.*")
+
+
+def embedded_payload(pages: DataFrame, schema: T.StructType = PAYLOAD, html: str = "html", element: str = "data") -> DataFrame:
+    """The payload that a page carries in its script element of JSON; pages without one have no row."""
+    found = F.regexp_extract(F.col(html), rf'(?s)<script[^>]*id="{element}"[^>]*>(.*?)</script>', 1)
+    raw = F.replace(found, F.lit("<\\/"), F.lit("</"))
+    return pages.where(found != "").select(F.from_json(raw, schema).alias("_p")).select("_p.*")
+
+
 def read_documents(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
     """Many JSON documents as one table, with the file that each comes from."""
     return spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("source_file", F.input_file_name())

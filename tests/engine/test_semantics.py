@@ -34,16 +34,6 @@ def test_codes(spark):
     assert one(spark, S.expanded_codes(F.lit("7.RP.2a, 2b, 2c"))) == ["7.RP.2a", "7.RP.2b", "7.RP.2c"]
 
 
-def test_markup(spark):
-    inner = '<span class="frac"><span class="num">1</span><span class="den">2</span></span>'
-    outer = f'<p>x &lt; <span class="frac"><span class="num">{inner}</span><span class="den">3</span></span></p>'
-    assert one(spark, S.plain_markup(F.lit(outer))) == "x < ((1)/(2))/(3)"
-    deep = 'The <span class="math">a<span>b<span>c</span></span></span> sum <b>is</b>'
-    assert one(spark, expressions.bare_prose(F.lit(deep))) == "The sum is"
-    got = spark.createDataFrame([("<p><b>x</b><br></p>",), ("<p><b>x</p></b>",), (None,)], "h string").select(expressions.balanced(F.col("h"))).collect()
-    assert [r[0] for r in got] == [True, False, True]
-
-
 ITEMS = "item int, standard string, type string, key string, credits int, p_value double, avg_points double"
 
 
@@ -119,24 +109,29 @@ def test_identify_needs_all_conditions(spark):
     assert not lost["accepted"]
 
 
-def sheet(spark, rows):
-    return spark.createDataFrame([(r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)], "r int, c int, value string")
-
-
-def test_sheet(spark):
-    head = ["Student", "Class", "NYS Math PL"] + [f"{i}. (6.RP.{i})" for i in range(1, 12)]
-    body = [[f"k{i}", "601" if i % 2 else "602", str(1 + i / 10)] + ["A"] * 11 for i in range(12)]
-    body.append(["none", "601", "2.0"] + [None] * 11)
-    s = responses.parse(sheet(spark, [["Title"] + [None] * 13, head, *body]))
-    assert s.questions.count() == 11 and s.students.count() == 12 and s.responses.count() == 132
-    st = {r["student"]: r for r in s.students.collect()}
-    assert st[2]["section"] == "602" and st[2]["level"] == 1.0
-    unique = [[f"k{i}", f"c{i}", "7.5"] + ["A"] * 11 for i in range(12)]
-    t = responses.parse(sheet(spark, [head, *unique]))
-    assert t.students.where("section IS NOT NULL OR level IS NOT NULL").count() == 0
-    assert responses.header_row(sheet(spark, [["a", "b"], ["1", "2"]])).count() == 0
-    named = [["SMITH, ANN"], ["JONES, BOB"], ["BROWN, CY"]]
-    assert responses.looks_like_identity(sheet(spark, [head, *[n + ["x"] * 13 for n in named]])).collect()[0]["c"] == 0
+def test_markup_reads_as_text(spark):
+    frac = lambda a, b: f'<span class="frac"><span>{a}</span><span>{b}</span></span>'
+    cases = {
+        "x + " + frac(1, 2): "x + (1)/(2)", frac(frac(1, 2), frac("x<sup>2</sup>", "<i>y</i>")): "((1)/(2))/((x^2)/(y))",
+        '<span class="radical"><span class="radicand">1.44</span></span>': "\u221a(1.44)", '<span class="segment">DF</span>': "segment DF", '<span class="repeat">3</span>': "3-repeating",
+        "a<sub>1</sub> &le; b &ge; c &minus; d &divide; e &lt;&amp;gt;": "a_1 \u2264 b \u2265 c \u2212 d \u00f7 e <&gt;", "<p>a</p><br/>b <div class='x'>c</div>": "a b c",
+        frac(frac(frac(frac(1, 2), 3), 4), 5): "((((1)/(2))/(3))/(4))/(5)", '<span class="math">x<sup>n</sup></span>': "x^n", None: "", "&quot;": "&quot;",
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, h string")
+    got = {r["i"]: r["t"] for r in df.select("i", S.plain_markup(F.col("h")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_bare_prose_and_balance(spark):
+    inner = '<span class="math">x <span class="frac"><span>1</span><span>2</span></span></span>'
+    cases = {f"What is {inner} more?": "Whatismore?", "a <span>b</span> \u27e6?\u27e7 &le; c": "ab\u2264c", '<span class="math">never closes': "", None: ""}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, h string")
+    got = {r["i"]: r["t"] for r in df.select("i", expressions.bare_prose(F.col("h")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    tags = {"<b>x</b>": True, "<b>x": False, "</b><b>": False, "<br><img src='x'>": True, "<br/>": False, "<i><b></i></b>": True, "": True, None: True, "<x/>": True, "a < b": True}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(tags)], "i int, h string")
+    got = {r["i"]: r["t"] for r in df.select("i", expressions.balanced(F.col("h")).alias("t")).collect()}
+    assert [got[i] for i in range(len(tags))] == list(tags.values())
 
 
 def test_quality_and_privacy(spark):

@@ -27,7 +27,7 @@ from gradeloom.llm.worker import Memory, kept, slices, task
 
 CAPACITY = 2048
 #: Bytes of words that a tokenizing worker remembers; characters and words that it encodes at once.
-MEMORY, CHARS, WORDS = 320 << 20, 2_000_000, 4_000
+MEMORY, CHARS, WORDS = 256 << 20, 2_000_000, 4_000
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 

@@ -2,7 +2,8 @@
 
 The trees are trained on URLs that a rule labels. Features are small integers taken
 from the URL alone: lengths, depth, digit ratio, entropy, parameter counts and how
-often training URLs with the same suffix, or the same first path segment, are blocked.
+often training URLs with the same suffix, or the same first path segment, are blocked (a
+training URL's own fold is left out of its statistics, so that they don't tell its label).
 Boosting is histogram-based: each level of a tree is one aggregation of gradients by
 (node, feature, bin), in fixed-point numbers so that the sums don't depend on order.
 The trained model is a column expression.
@@ -49,6 +50,8 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS = 64
 SCALE = 1 << 20
+#: Folds of the statistics of suffixes and segments.
+FOLDS = 5
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -107,10 +110,14 @@ def features(urls: DataFrame) -> DataFrame:
     return step.drop("_u", "_chars")
 
 
-def block_rates(labelled: DataFrame, key: str) -> DataFrame:
-    """(key, rate in 0..BINS-1) of blocked rows, drawn towards the half by two rows."""
-    rate = (F.sum("y") + 1) / (F.count("*") + 2)
-    return labelled.groupBy(F.col(key).alias(f"_{key}")).agg(F.floor(rate * (BINS - 1)).cast("int").alias(f"r_{key}"))
+def block_counts(labelled: DataFrame, key: str, *more: str) -> DataFrame:
+    """(_key, more.., n_key, s_key): rows and blocked rows of each key."""
+    return labelled.groupBy(F.col(key).alias(f"_{key}"), *more).agg(F.count("*").alias(f"n_{key}"), F.sum("y").alias(f"s_{key}"))
+
+
+def _rate(n: Column, s: Column) -> Column:
+    """The share of blocked rows in 0..BINS-1, drawn towards the half by two rows."""
+    return F.floor((F.coalesce(s, F.lit(0)) + 1) / (F.coalesce(n, F.lit(0)) + 2) * (BINS - 1)).cast("int")
 
 
 KEYS = ("suffix", "segment")
@@ -120,10 +127,20 @@ NAMES = ("f_length", "f_host", "f_labels", "f_hyphens", "f_depth", "f_digits", "
 def with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
     """Adds f_suffix and f_segment; keys never seen in training take the middle."""
     for key, t in rates.items():
-        rows = rows.join(t, F.col(key) == F.col(f"_{key}"), "left").withColumn(f"f_{key}", F.coalesce(F.col(f"r_{key}"), F.lit(BINS // 2))).drop(f"_{key}", f"r_{key}")
+        rows = rows.join(t, F.col(key) == F.col(f"_{key}"), "left").withColumn(f"f_{key}", _rate(F.col(f"n_{key}"), F.col(f"s_{key}"))).drop(f"_{key}", f"n_{key}", f"s_{key}")
     return rows
 
 
+def with_fold_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    """The same for the training rows themselves: their own fold is left out."""
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    for key, t in rates.items():
+        own = block_counts(rows, key, "_fold").select(F.col(f"_{key}").alias("_k"), F.col("_fold").alias("_f"), F.col(f"n_{key}").alias("_n"), F.col(f"s_{key}").alias("_s"))
+        met = rows.join(t, F.col(key) == F.col(f"_{key}")).join(own, (F.col(key) == F.col("_k")) & (F.col("_fold") == F.col("_f")))
+        rows = met.withColumn(f"f_{key}", _rate(F.col(f"n_{key}") - F.col("_n"), F.col(f"s_{key}") - F.col("_s"))).drop(f"_{key}", f"n_{key}", f"s_{key}", "_k", "_f", "_n", "_s")
+    return rows.drop("_fold")
+
+
 @dataclass
 class Tree:
     """splits[node] = (feature, last bin of the left side); leaves[node] = fixed-point value."""
@@ -172,9 +189,9 @@ def train(labelled: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.
     """
     from math import log
 
-    rows = features(labelled)
-    rates = {k: saved(block_rates(rows, k), f"rates-{k}") for k in KEYS}
-    grouped = with_rates(rows, rates).groupBy(*NAMES).agg(F.count("*").alias("n"), F.sum("y").alias("n_block"))
+    rows = saved(features(labelled), "features")
+    rates = {k: saved(block_counts(rows, k), f"rates-{k}") for k in KEYS}
+    grouped = with_fold_rates(rows, rates).groupBy(*NAMES).agg(F.count("*").alias("n"), F.sum("y").alias("n_block"))
     state = saved(grouped, "grouped")
     total = state.agg(F.sum("n"), F.sum("n_block")).head()
     if not total[0]:

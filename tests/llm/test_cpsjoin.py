@@ -132,3 +132,48 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in label}
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_recall_on_deep_paths(spark, monkeypatch):
+    """Pairs just above the threshold, among texts that share so much that they take many levels to
+    fall apart: the links that are there are found."""
+    for k, v in {"LEAF": 4, "LOCAL": 64}.items():
+        monkeypatch.setattr(J, k, v)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = " ".join(word() for _ in range(100))
+    rows = []
+    for i in range(600):
+        own = [word() for _ in range(120)]
+        copy = list(own)
+        for p in range(12, 12 + 25 * rng.choice((3, 4)), 25):
+            copy[p] = word() + "x"
+        rows += [(2 * i, shared + " " + " ".join(own)), (2 * i + 1, shared + " " + " ".join(copy))]
+    pairs = []
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(a[1]), shingles(b[1])
+        s = len(x & y) / len(x | y)
+        if s >= 0.8:
+            pairs.append(a[0])
+            assert s < 0.9
+    assert len(pairs) == 600
+    got = {r["doc_id"]: r for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i]["class_id"] == got[i + 1]["class_id"] == i and got[i]["n_text_links"] == 1 for i in pairs)
+    assert found >= 0.99 * len(pairs)
+
+
+def test_whole_documents_against_all_pairs(spark):
+    """Every pair of the small table at 0.8 or more is linked, and no other."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_the_sieve_lets_all_members_pass(spark, monkeypatch):
+    monkeypatch.setattr(J, "FILTER_BITS", 1 << 10)
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("text_id"), "id")
+    some = J.sieved(rows, rows.where("id % 50 = 0").select("text_id"))
+    ids = {r["id"] for r in some.collect()}
+    assert {i for i in range(0, 5000, 50)} <= ids and len(ids) < 1200 and some.columns == rows.columns

@@ -51,6 +51,77 @@ def test_trees_learn_and_do_not_depend_on_order(spark):
     assert scored.where("p <> y").count() == 0
 
 
+def brute_trees(rows, trees=4, depth=3, rate=0.4, ridge=1.0):
+    """Boosting in plain loops over the binned rows (features.., y)."""
+    from math import exp, floor, log
+
+    rnd = lambda x: int(floor(abs(x) + 0.5)) * (1 if x >= 0 else -1)
+    n, s = len(rows), sum(r[-1] for r in rows)
+    base = round(log((s + 0.5) / (n - s + 0.5)) * U.SCALE)
+    cells = {}
+    for r in rows:
+        c = cells.setdefault(r[:-1], [0, 0])
+        c[0] += 1
+        c[1] += r[-1]
+    margin = dict.fromkeys(cells, base)
+    out = []
+    for _ in range(trees):
+        grad = {}
+        for x, (k, b) in cells.items():
+            p = 1 / (1 + exp(-margin[x] / U.SCALE))
+            grad[x] = (rnd((k * p - b) * U.SCALE), rnd(k * p * (1 - p) * U.SCALE))
+        splits, leaves, at = {}, {}, dict.fromkeys(cells, 1)
+        lam = ridge * U.SCALE
+        for d in range(depth):
+            for node in sorted(set(at.values())):
+                if node.bit_length() != d + 1:
+                    continue
+                here = [x for x in cells if at[x] == node]
+                g0, h0 = (sum(grad[x][i] for x in here) for i in (0, 1))
+                leaves[node] = round(-rate * U.SCALE * g0 / (h0 + lam))
+                best = (1e-6 * U.SCALE, None)
+                for f in range(len(U.NAMES)):
+                    for b in sorted({x[f] for x in here})[:-1]:
+                        g, h = (sum(grad[x][i] for x in here if x[f] <= b) for i in (0, 1))
+                        gain = g * g / (h + lam) + (g0 - g) ** 2 / (h0 - h + lam) - g0 * g0 / (h0 + lam)
+                        if gain > best[0]:
+                            best = (gain, (f, b, g, h))
+                if best[1]:
+                    f, b, g, h = best[1]
+                    splits[node] = (U.NAMES[f], b)
+                    leaves[2 * node], leaves[2 * node + 1] = round(-rate * U.SCALE * g / (h + lam)), round(-rate * U.SCALE * (g0 - g) / (h0 - h + lam))
+            for x in cells:
+                if at[x] in splits and at[x].bit_length() == d + 1:
+                    name, cut = splits[at[x]]
+                    at[x] = 2 * at[x] + (x[U.NAMES.index(name)] > cut)
+        for x in cells:
+            margin[x] += leaves.get(at[x], 0)
+        out.append(U.Tree(splits, leaves))
+    return base, out
+
+
+def test_trees_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        host, path = f"h{rng.randrange(40)}.{rng.choice(['net', 'io'])}", "/" + rng.choice(["a", "b", "c"]) + "/" + "x" * rng.randrange(30) + rng.choice(["", ".html", ".php"])
+        rows.append((f"http://{host}{path}?q={i}", host, path, int(rng.random() < (0.8 if path.endswith(".php") or "/a/" in path else 0.2))))
+    df = spark.createDataFrame(rows, "url string, host string, path string, y long")
+    model = U.train(df, trees=4)
+    binned = U.with_fold_rates(U.features(df), {k: U.block_counts(U.features(df), k) for k in U.KEYS}).select(*U.NAMES, "y")
+    base, trees = brute_trees([tuple(r) for r in binned.collect()])
+    assert model.base == base and [t.splits for t in model.trees] == [t.splits for t in trees] and [t.leaves for t in model.trees] == [t.leaves for t in trees]
+
+
+def test_a_training_url_does_not_tell_its_label(spark):
+    """Keys of one row each: their statistics are those of no row, whatever the label."""
+    df = spark.createDataFrame([(f"http://a/{i}x/", "a", f"/{i}x/", i % 2) for i in range(40)], "url string, host string, path string, y long")
+    got = U.with_fold_rates(U.features(df), {k: U.block_counts(U.features(df), k) for k in U.KEYS})
+    assert got.select("f_segment").distinct().count() == 1 and got.count() == 40
+
+
 def test_held_out_accuracy(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     rows = U.training_sample(pages, U.RULES, 10**9)

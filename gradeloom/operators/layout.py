@@ -95,11 +95,22 @@ def midpoint_bands(centres: DataFrame, at: str, *keys: str) -> DataFrame:
     return centres.withColumns({"lo": (F.lag(at).over(w) + F.col(at)) / 2, "hi": (F.lead(at).over(w) + F.col(at)) / 2})
 
 
+#: Bands without keys are those of one page or plan; more of them need a key.
+MOST_BANDS = 10_000
+
+
 def in_band(points: DataFrame, band: DataFrame, at: str, *keys: str) -> DataFrame:
-    """Points with the band that holds them: lo <= at < hi; open ends hold all."""
+    """Points with the band that holds them: lo <= at < hi; open ends hold all.
+
+    Bands without keys go to every task, so there may be MOST_BANDS of them; ValueError else.
+    """
     lo = F.col("lo").isNull() | (F.col(at) >= F.col("lo"))
     hi = F.col("hi").isNull() | (F.col(at) < F.col("hi"))
-    return points.join(band, list(keys)).where(lo & hi) if keys else points.join(F.broadcast(band), lo & hi)
+    if keys:
+        return points.join(band, list(keys)).where(lo & hi)
+    if band.limit(MOST_BANDS + 1).count() > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands without keys")
+    return points.join(F.broadcast(band), lo & hi)
 
 
 def nearest(left: DataFrame, right: DataFrame, a: str, b: str, *keys: str, within: float | None = None, right_id: str = "right_id") -> DataFrame:

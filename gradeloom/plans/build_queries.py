@@ -13,7 +13,7 @@ from gradeloom.plans.sheets import CURRICULUM, SHEET_ITEMS
 
 #: Item maps, tests, registry, pages and addresses; some parts are wrong on purpose.
 BUILD = """maps AS (
-  SELECT 't' || p_partkey % 50 AS test, CAST(p_partkey // 50 + 1 AS INTEGER) AS item, CASE WHEN p_partkey % 11 = 0 THEN 3 ELSE 1 + p_partkey % 2 END AS session, CASE WHEN p_size % 4 = 0 THEN 'cr' ELSE 'mc' END AS type,
+  SELECT 't' || p_partkey % 70 AS test, CAST(p_partkey // 70 + 1 AS INTEGER) AS item, CASE WHEN p_partkey % 11 = 0 THEN 3 ELSE 1 + p_partkey % 2 END AS session, CASE WHEN p_size % 4 = 0 THEN 'cr' ELSE 'mc' END AS type,
          CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_size % 4 = 0 THEN NULL ELSE chr(CAST(65 + p_partkey % 4 AS INTEGER)) END AS key, CAST(CASE WHEN p_size % 4 = 0 THEN p_size % 3 + 1 ELSE 1 END AS INTEGER) AS credits,
          'NY-' || (5 + p_partkey % 4) || '.' || ['RP', 'NS', 'EE'][p_size % 3 + 1] || '.' || p_size % 7 || CASE WHEN p_partkey % 17 = 0 THEN '?' ELSE '' END AS standard, (p_size * 2 - 1) / 100.0::DOUBLE AS p_value,
          CASE WHEN p_size % 4 = 0 THEN p_size % 5 / 2.0::DOUBLE END AS avg_points, p_type AS domain_label, p_size FROM part),
@@ -35,7 +35,7 @@ def _maps(spark: SparkSession, d: str) -> DataFrame:
     cr = n % 4 == 0
     domain = F.element_at(F.array(F.lit("RP"), F.lit("NS"), F.lit("EE")), (n % 3 + 1).cast("int"))
     return roles.table(spark, d, "part").select(
-        F.concat(F.lit("t"), k % 50).alias("test"), (F.floor(k / 50) + 1).cast("int").alias("item"), F.when(k % 11 == 0, 3).otherwise((k % 2 + 1).cast("int")).alias("session"), F.when(cr, "cr").otherwise("mc").alias("type"),
+        F.concat(F.lit("t"), k % 70).alias("test"), (F.floor(k / 70) + 1).cast("int").alias("item"), F.when(k % 11 == 0, 3).otherwise((k % 2 + 1).cast("int")).alias("session"), F.when(cr, "cr").otherwise("mc").alias("type"),
         F.when((k % 13 != 0) & ~cr, F.char(k % 4 + 65)).alias("key"), F.when(cr, n % 3 + 1).otherwise(1).cast("int").alias("credits"),
         F.concat(F.lit("NY-"), k % 4 + 5, F.lit("."), domain, F.lit("."), n % 7, F.when(k % 17 == 0, "?").otherwise("")).alias("standard"), ((n * 2 - 1) / 100).alias("p_value"),
         F.when(cr, (n % 5) / 2).alias("avg_points"), F.col("p_type").alias("domain_label"),

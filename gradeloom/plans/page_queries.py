@@ -181,11 +181,19 @@ def standard_wording(spark: SparkSession, d: str) -> DataFrame:
     return extract.statements(rows.drop("_k", "_p"), rows.select("doc", "page").distinct(), "The Standards", "doc")
 
 
-@query("SELECT n_regionkey AS doc, unnest(range(first, last + 1)) AS page FROM (SELECT n_regionkey, min(p) AS first, max(p) AS last FROM (SELECT n_regionkey, CAST(n_nationkey % 2 * 100 AS BIGINT) AS p, n_nationkey FROM nation) GROUP BY 1) WHERE false")
+@query(
+    with_parts(
+        "marks AS (SELECT DISTINCT o_custkey % 200 AS doc, o_orderkey % 400 AS page FROM orders)",
+        "steps AS (SELECT doc, page, CASE WHEN page - lag(page) OVER (PARTITION BY doc ORDER BY page) > 2 THEN 1 ELSE 0 END AS new FROM marks)",
+        "isl AS (SELECT doc, page, sum(new) OVER (PARTITION BY doc ORDER BY page) AS island FROM steps)",
+        "best AS (SELECT doc, island FROM isl GROUP BY doc, island QUALIFY row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, island) = 1)",
+    )
+    + "SELECT doc, page FROM isl JOIN best USING (doc, island)"
+)
 def section_pages(spark: SparkSession, d: str) -> DataFrame:
-    """No document of the driver has such pages: the result is empty, as it must be."""
-    lines = roles.table(spark, d, "nation").select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").cast("long").alias("page"), F.col("n_name").alias("text"))
-    return extract.section_pages(lines, "No such heading", "doc")
+    o = roles.table(spark, d, "orders").select((F.col("o_custkey") % 200).alias("doc"), (F.col("o_orderkey") % 400).alias("page"), F.lit("x The Standards").alias("text"))
+    other = o.select("doc", (F.col("page") + 1000).alias("page"), F.lit("Another").alias("text"))
+    return extract.section_pages(o.unionByName(other), "The Standards", "doc")
 
 
 # --- pacing ------------------------------------------------------------------------------------

@@ -7,13 +7,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.operators import report, responses
+from gradeloom.operators import analysis, report, responses
 from gradeloom.plans import sheets
 from gradeloom.plans.registry import query, r3, with_parts
 from gradeloom.plans.sheets import CURRICULUM, SHEET_BASE, SHEET_ITEMS
 
-#: On the driver's random answers rates lie near a half, so the threshold is lower than in practice.
-THRESHOLD = 0.5
+THRESHOLD = analysis.GATING_THRESHOLD
 PATH = "format('n{:02d}.xlsx', n) AS path"
 BASE = with_parts(SHEET_ITEMS, SHEET_BASE)
 
@@ -123,7 +122,7 @@ def report_section_items(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "section_items", "section", "item", "class_p")
 
 
-CURVES = """spoints AS (SELECT t.n, CAST(raw AS DOUBLE) AS raw, min_by(round(level, 2), s) AS level, count(*) FILTER (WHERE true) AS c FROM sstudents t JOIN (SELECT n FROM matched WHERE accepted) USING (n) WHERE level IS NOT NULL GROUP BY t.n, raw),
+CURVES = """spoints AS (SELECT t.n, CAST(raw AS DOUBLE) AS raw, CAST(min_by(round(level, 2), s) AS DOUBLE) AS level, count(*) FILTER (WHERE true) AS c FROM sstudents t JOIN (SELECT n FROM matched WHERE accepted) USING (n) WHERE level IS NOT NULL GROUP BY t.n, raw),
 clash AS (SELECT t.n, count(*) AS same FROM sstudents t JOIN spoints p ON p.n = t.n AND p.raw = t.raw WHERE abs(round(t.level, 2) - p.level) > 0.005 GROUP BY t.n),
 psteps AS (SELECT *, lead(raw) OVER (PARTITION BY n ORDER BY raw) AS raw2, lead(level) OVER (PARTITION BY n ORDER BY raw) AS level2 FROM spoints),
 falls AS (SELECT n, count(*) AS points, count(*) FILTER (WHERE level2 <= level) AS falls FROM psteps GROUP BY n),

@@ -32,10 +32,10 @@ SHEET_ITEMS = """sitems AS (
 #: What the sheets hold: nation n, student s, question q, value; level and section by student.
 SHEET_BASE = """sbase AS (
   SELECT c_nationkey AS n, c_custkey AS s, q, 't' || c_nationkey % 7 AS test,
-         CASE WHEN q <= 10 THEN CASE WHEN h < 5 THEN chr(CAST(65 + (q * 3 + t) % 4 AS INTEGER)) WHEN h < 9 THEN chr(CAST(65 + ((q * 3 + t) % 4 + 1 + h % 3) % 4 AS INTEGER)) END
-              ELSE CASE WHEN (s0 + q) % 29 = 0 THEN 'x' WHEN g = 0 THEN '0' WHEN g = 1 THEN '1 pts' WHEN g = 2 THEN '2' END END AS value,
-         CASE WHEN q <= 10 THEN CASE WHEN h < 5 THEN 1 ELSE 0 END ELSE CASE WHEN (s0 + q) % 29 = 0 OR g = 3 THEN 0 ELSE g END END AS points
-  FROM (SELECT *, c_custkey AS s0, c_nationkey % 7 AS t, (c_custkey * 31 + q * 17 + (c_custkey * q) % 13) % 10 AS h, (c_custkey + q * 5) % 4 AS g
+         CASE WHEN q <= 10 THEN CASE WHEN h < 2 + able THEN chr(CAST(65 + (q * 3 + t) % 4 AS INTEGER)) WHEN h < 9 THEN chr(CAST(65 + ((q * 3 + t) % 4 + 1 + h % 3) % 4 AS INTEGER)) END
+              ELSE CASE WHEN (s0 + q) % 29 = 0 THEN 'x' WHEN able >= 6 THEN '2' WHEN able <= 1 THEN '0' WHEN g = 0 THEN '0' WHEN g = 1 THEN '1 pts' WHEN g = 2 THEN '2' END END AS value,
+         CASE WHEN q <= 10 THEN CASE WHEN h < 2 + able THEN 1 ELSE 0 END ELSE CASE WHEN (s0 + q) % 29 = 0 THEN 0 WHEN able >= 6 THEN 2 WHEN able <= 1 OR g = 3 THEN 0 ELSE g END END AS points
+  FROM (SELECT *, c_custkey AS s0, c_nationkey % 7 AS t, c_custkey % 8 AS able, (c_custkey * 31 + q * 17 + (c_custkey * q) % 13) % 10 AS h, (c_custkey + q * 5) % 4 AS g
         FROM customer, (SELECT CAST(unnest(range(1, 15)) AS INTEGER) AS q))),
 present AS (SELECT n, s, q, test, value, points FROM sbase WHERE value IS NOT NULL AND n <> 11),
 sstudents AS (
@@ -87,9 +87,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, g = (s * 31 + q * 17 + (s * q) % 13) % 10, (s + q * 5) % 4
     odd = (s + q) % 29 == 0
     key = (q * 3 + t) % 4
-    mc = F.when(h < 5, F.char(65 + key)).when(h < 9, F.char(65 + (key + 1 + h % 3) % 4))
-    cr = F.when(odd, "x").when(g == 0, "0").when(g == 1, "1 pts").when(g == 2, "2")
-    points = F.when(q <= 10, F.when(h < 5, 1).otherwise(0)).otherwise(F.when(odd | (g == 3), 0).otherwise(g))
+    able = s % 8  # from one right answer in five to nine in ten
+    mc = F.when(h < able + 2, F.char(65 + key)).when(h < 9, F.char(65 + (key + 1 + h % 3) % 4))
+    cr = F.when(odd, "x").when(able >= 6, "2").when(able <= 1, "0").when(g == 0, "0").when(g == 1, "1 pts").when(g == 2, "2")
+    points = F.when(q <= 10, F.when(h < able + 2, 1).otherwise(0)).otherwise(F.when(odd, 0).when(able >= 6, 2).when((able <= 1) | (g == 3), 0).otherwise(g))
     answers = long.select("n", "s", "q", F.when(q <= 10, mc).otherwise(cr).alias("value"), points.alias("points"))
     raw = answers.groupBy("n", "s").agg(F.sum("points").alias("raw"))
     level = F.round(1 + F.col("raw") * 0.19 + F.when(n % 8 == 6, s % 2 * 0.1).otherwise(0), 2)

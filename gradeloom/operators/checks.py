@@ -20,16 +20,16 @@ KEYS, CR_CREDITS, SHARE_TOLERANCE, QUOTE_WORDS = ("A", "B", "C", "D"), (1, 2, 3)
 
 #: Words of which a domain's cluster descriptions use one at least.
 DOMAIN_WORDS = {
-    "NS": "rational irrational number fraction divide multiply factor integer radical exponent",
-    "EE": "exponent equation expression slope linear radical inequalit variable arithmetic proportional",
-    "F": "function",
-    "RP": "ratio proportional rate percent unit",
-    "G": "congruen transformation similar angle pythagor volume rotation dilat area surface circle geometr coordinate classify two-dimensional shapes perimeter figures",
-    "SP": "scatter bivariate associat pattern data frequenc distribution variabilit probabilit chance random sample inference population statistic",
-    "OA": "expression pattern operation",
-    "NBT": "place+value decimal multi-digit operations",
-    "MD": "measure data volume angle convert",
-    "NF": "fraction decimal",
+    "NS": ("rational", "irrational", "number", "fraction", "divide", "multiply", "factor", "integer", "radical", "exponent"),
+    "EE": ("exponent", "equation", "expression", "slope", "linear", "radical", "inequalit", "variable", "arithmetic", "proportional"),
+    "F": ("function",),
+    "RP": ("ratio", "proportional", "rate", "percent", "unit"),
+    "G": ("congruen", "transformation", "similar", "angle", "pythagor", "volume", "rotation", "dilat", "area", "surface", "circle", "geometr", "coordinate", "classify", "two-dimensional", "shapes", "perimeter", "figures"),
+    "SP": ("scatter", "bivariate", "associat", "pattern", "data", "frequenc", "distribution", "variabilit", "probabilit", "chance", "random", "sample", "inference", "population", "statistic"),
+    "OA": ("expression", "pattern", "operation"),
+    "NBT": ("place value", "decimal", "multi-digit", "operations"),
+    "MD": ("measure", "data", "volume", "angle", "convert"),
+    "NF": ("fraction", "decimal"),
 }
 
 
@@ -88,9 +88,9 @@ def registry(codes: DataFrame) -> DataFrame:
     names = codes.where(F.col("printed_name").isNotNull()).groupBy("domain").agg(F.countDistinct("printed_name").alias("_n")).where("_n > 1")
     text = F.col("cluster_text")
     said = codes.where(text.isNotNull() & (text != ""))
-    words = F.create_map(*[F.lit(x) for d, ws in DOMAIN_WORDS.items() for x in (d, ws)])
-    own = F.transform(F.split(F.coalesce(F.element_at(words, F.col("domain")), F.lit("")), " "), lambda w: F.replace(w, F.lit("+"), F.lit(" ")))
-    about = F.exists(own, lambda w: (w != "") & F.contains(F.lower(text), w))
+    words = F.create_map(*[x for d, ws in DOMAIN_WORDS.items() for x in (F.lit(d), F.array(*[F.lit(w) for w in ws]))])
+    own = F.coalesce(F.element_at(words, F.col("domain")), F.array().cast("array<string>"))
+    about = F.exists(own, lambda w: F.contains(F.lower(text), w))
     return (
         names.select(*_finding("domain", "one-name-per-domain"))
         .unionByName(said.where(~F.rtrim(text).endswith(".")).select(*_finding("code", "description-is-a-sentence")))

@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join; no neighbourhood is collected. Each step's
-edges are written to the scratch folder, so lost executors cost one step at most.
+edges are written to the scratch folder, so lost executors cost one step at most. So are
+the minima: then both sides of the join are dealt for it alone, and the edges of a node
+with a large part of them can be split over tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of a node go to the least of its neighbourhood
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = saved(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        wide = both.where(F.col("b") > F.col("a")).join(least.hint("merge"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = saved(wide.where(F.col("a") != F.col("b")).distinct(), "large-star")
         # small star: the smaller neighbours and the node itself go to the least of them
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        near = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = saved(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+        near = large.join(low.hint("merge"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = low.select(F.col("u").alias("a"), F.col("m").alias("b"))
         now = saved(near.unionByName(own).where(F.col("a") != F.col("b")).distinct(), "small-star")
         new = _mark(now)

@@ -19,6 +19,9 @@ MODULES = {
     "op8_ngram_jaccard_join": "cpsjoin",
     "op9_best_fit_packing": "packing",
     "op10_media_columns": "mpegts",
+    "op11_embedding_whitening": "whitening",
+    "op12_source_divergence": "divergence",
+    "op13_nearest_neighbours": "vptree",
 }
 
 

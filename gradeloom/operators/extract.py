@@ -516,15 +516,6 @@ def outline_lessons(outline: DataFrame, *keys: str) -> DataFrame:
     return carried.where("lesson IS NOT NULL").select(*keys, "lesson", "page", F.col("_s.l").alias("section"), F.col("_s.t").alias("section_title"))
 
 
-def grown_runs(rows: DataFrame, order: str, reach: str, *keys: str) -> DataFrame:
-    """rows with ``run``: a row joins the run above while its position is within what the run reaches
-    (the greatest ``reach`` so far), as a run that grows to a fixed point would take it."""
-    w = _w(*keys).orderBy(order, reach)
-    far = F.max(reach).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col(order) > far, 1).otherwise(0)
-    return rows.withColumn("_n", new).withColumn("run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
-
-
 def number_shape(points: Column, digits: int = 2) -> Column:
     """array<double>: points moved and scaled to their own box, rounded; a flat side is not scaled."""
     lo = lambda f: F.array_min(F.transform(points, lambda p: p[f]))

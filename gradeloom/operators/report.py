@@ -22,7 +22,7 @@ from gradeloom.functions.scalars import half_up, placed_grade
 from gradeloom.operators import analysis, quality, responses
 from gradeloom.operators.itemstats import population_rate, scored
 from gradeloom.operators.responses import Sheets
-from gradeloom.operators.stored import checkpointed
+from gradeloom.operators.stored import checkpointed, free, recorded
 
 #: A class is behind on constructed responses below this gap; credits and week
 #: from which a unit without a mid-unit assessment is late.
@@ -42,14 +42,24 @@ class Data:
 
 @dataclass
 class Report:
-    """Report tables by name, each with the sheets' keys."""
+    """Report tables by name, each with the sheets' keys.
+
+    What they are read from stays on the store until close(), or until the driver's JVM ends.
+    """
 
     keys: tuple[str, ...]
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    stored: list[str] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def close(self) -> None:
+        """Frees what the report stored; its tables can't be read any more."""
+        for df in list(self.tables.values())[:1]:
+            free(df.sparkSession, self.stored)
+        self.tables.clear()
+
 
 def identified(sheets: Sheets, items: DataFrame) -> DataFrame:
     """(keys.., test, agree, published, total, unreleased, runner_up, accepted): the best test of
@@ -351,8 +361,18 @@ def run(cells: DataFrame, data: Data, *keys: str, threshold: float = analysis.GA
 
     status: (keys.., stage, usable, why) of parse, identify, curve, gating and checkpoints; a
     stage of a sheet that an earlier one refused has no row. Student tables don't leave this
-    function; the schemas of the others are guarded here, their values by ``guarded``.
+    function; the schemas of the others are guarded here, their values by ``guarded``. The
+    report's close() frees what it stored; a run that fails frees it at once.
     """
+    with recorded() as own:
+        try:
+            return Report(*_tables(cells, data, keys, threshold), own)
+        except BaseException:
+            free(cells.sparkSession, own)
+            raise
+
+
+def _tables(cells: DataFrame, data: Data, keys: tuple[str, ...], threshold: float) -> tuple[tuple[str, ...], dict[str, DataFrame]]:
     # what many tables read is computed once, and lineage ends there
     sheets = _stored(responses.parse(checkpointed(cells), *keys))
     k = list(sheets.keys)
@@ -394,7 +414,7 @@ def run(cells: DataFrame, data: Data, *keys: str, threshold: float = analysis.GA
     for name, df in tables.items():
         if bad := quality.banned_fields(df, quality.BANNED_REPORT):
             raise ValueError(f"{name}: {', '.join(bad)} are fields of single students")
-    return Report(sheets.keys, tables)
+    return sheets.keys, tables
 
 
 def ordered(report: Report, name: str) -> DataFrame:

@@ -329,12 +329,3 @@ def unit_labels(spark: SparkSession, d: str) -> DataFrame:
 def unit_cells(spark: SparkSession, d: str) -> DataFrame:
     p = roles.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("unit"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") * 3).alias("start_week"))
     return curriculum.unit_cells(p, "k")
-
-
-@query(f"SELECT c_custkey AS id, c_custkey % 8 AS n, {r3('c_custkey % 8 / 7.0')} AS share FROM customer WHERE c_custkey % 8 > 0")
-def grown_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs that grow: in groups of eight rows, a row joins while it is within what the run reaches."""
-    k = F.col("c_custkey")
-    rows = roles.table(spark, d, "customer").where(k % 8 > 0).select(k.alias("id"), (k % 8).alias("n"), (k % 8).cast("double").alias("x"), (k % 8 + 1).cast("double").alias("reach"), F.floor(k / 8).alias("g"))
-    got = extract.grown_runs(rows, "x", "reach", "g").where("run = 0")
-    return got.select("id", "n", scalars.half_up(F.col("n") / 7.0).alias("share"))

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
-MODULES = ("item_queries", "report_queries", "build_queries", "explore_queries", "layout_queries", "text_queries", "quality_queries", "page_queries", "stream_queries")
+MODULES = ("item_queries", "report_queries", "build_queries", "explore_queries", "layout_queries", "text_queries", "quality_queries", "page_queries", "drawing_queries", "stream_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

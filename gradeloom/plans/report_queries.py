@@ -18,14 +18,17 @@ BASE = with_parts(SHEET_ITEMS, SHEET_BASE)
 
 
 @lru_cache(maxsize=4)
-def _report(session: str, d: str) -> report.Report:
+def _report(session: str, d: str, written: str) -> report.Report:
     spark = SparkSession.active()
     return report.run(sheets.cells(spark, d), sheets.data(spark), threshold=THRESHOLD)
 
 
 def _run(spark: SparkSession, d: str) -> report.Report:
-    """One report for the queries that show its tables: what it stored serves them all."""
-    return _report(spark.sparkContext.applicationId, d)
+    """One report for the queries that show its tables, as long as the table isn't written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/customer.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = f"{fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
+    return _report(spark.sparkContext.applicationId, d, written)
 
 
 def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:

@@ -1,19 +1,18 @@
 """From raw documents to packed training sequences, in five stages.
 
-Every stage takes the documents that the one before it kept, as a stored table. So what a
-stage stored for itself is freed when the next one begins, unless the documents that this one
-gets still read it.
+Every stage takes the documents that the one before it kept, as a stored table. So run()
+frees what a stage stored for itself as soon as the stage's result is written, and that
+result as soon as the next one is; tables of other queries and runs are never touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.llm import cpsjoin, langid, packing, quality, secrets
-from gradeloom.llm.common import forget, saved, table, turn
+from gradeloom.llm.common import forget, saved, scope, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,23 +69,12 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _in_turn(stage: Stage) -> Stage:
-    """The stage, after the tables of the one before it are freed."""
-
-    @wraps(stage)
-    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        turn(docs)
-        return stage(spark, docs, sf_dir)
-
-    return begin
-
-
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", _in_turn(quality_rules)),
-    ("language_id", _in_turn(language_id)),
-    ("ngram_jaccard_join", _in_turn(ngram_jaccard_join)),
-    ("secret_scans", _in_turn(secret_scans)),
-    ("best_fit_packing", _in_turn(best_fit_packing)),
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: Language models, sketched similarity search and tokenizers are beyond SQL.
@@ -97,6 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the pieces of the packed sequences."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), name, held=False)
+        with scope(spark):
+            before, docs = docs, saved(stage(spark, docs, sf_dir), name, held=False)
         forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +51,30 @@ def _delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: Folders that the innermost scope() stored; none outside of any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Frees at its end what saved() stores within it, in this thread: only what nobody else can read.
+
+    Tables that are stored outside, or by another thread or run, stay.
+    """
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
 def saved(df: DataFrame, name: str, held: bool = True) -> DataFrame:
     """Write ``df`` once as a table in the scratch folder and read it back.
 
-    A table that isn't ``held`` outlives the next turn().
+    A table that isn't ``held`` outlives the scope it is stored in.
 
     Cuts the lineage: later stages survive lost executors without recomputation,
     and the optimizer sees the true size of the table.
@@ -61,14 +84,14 @@ def saved(df: DataFrame, name: str, held: bool = True) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _stored[id(out)] = (weakref.ref(out), path)
-    if held:
-        _since.append(path)
+    own = _scope.get()
+    if held and own is not None:
+        own.append(path)
     return out
 
 
-#: Stored tables by the DataFrame that reads them, and those since the last turn.
+#: Stored tables by the DataFrame that reads them.
 _stored: dict[int, tuple[weakref.ref, str]] = {}
-_since: list[str] = []
 
 
 def forget(df: DataFrame) -> None:
@@ -78,27 +101,6 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def _read_by(df: DataFrame) -> set[str]:
-    """The last parts of the folders that a plan reads."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    found = set()
-    for i in range(leaves.length()):
-        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" and leaves.apply(i).relation().getClass().getSimpleName() == "HadoopFsRelation":
-            paths = leaves.apply(i).relation().location().rootPaths()
-            found |= {paths.apply(k).getName() for k in range(paths.length())}
-    return found
-
-
-def turn(docs: DataFrame) -> None:
-    """Frees the tables that were stored since the last turn, but for those that ``docs`` reads:
-    what else reads them must be written by now."""
-    if _since:
-        kept = _read_by(docs)
-        for path in [p for p in _since if p.rpartition("/")[2] not in kept]:
-            _since.remove(path)
-            _delete(docs.sparkSession, path)
-
-
 def unsigned_crc32(col: Column) -> Column:
     """CRC-32 of a string's UTF-8 bytes as an unsigned long."""
     return F.crc32(col).cast("long")

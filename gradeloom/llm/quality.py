@@ -4,14 +4,17 @@ Every document gets text measures. Their distribution is kept per (language,
 source) as a log-linear histogram: a value keeps its leading ``PRECISION`` bits, so
 a bucket is at most 1/32 of its value wide. Such sketches merge by adding counts,
 whatever the order, and so the language's and the corpus's sketches are sums of the
-sources' ones. The quartiles of a sketch give fences (quartile plus or minus
-``fence`` interquartile ranges). A source's fences are drawn towards those of its
-language, and these towards the corpus's, as if ``WEIGHT`` documents of the coarser
-sketch had been added: few documents hardly move the coarser fences, many decide alone,
-and no count switches from one to the other. Documents outside are rejected.
-
-A measure's spread is at least ``least_spread``, its resolution: where most documents have
-the same value, the quartiles say nothing of how far a good document may lie from it.
+sources' ones. Two quantiles of a sketch give a fence: the outer one plus ``fence`` times
+its distance from the inner one. Where damage comes in large shares (symbols, word length)
+they are the quartiles, which up to a quarter of damaged documents can't move; where good
+texts have long tails (repetitions) they are the percentiles 90 and 99, so the fence follows
+the tail. A source's fences are drawn towards those of its language, and these towards the
+corpus's, as if ``WEIGHT`` documents of the coarser sketch had been added: few documents
+hardly move the coarser fences, many decide alone, and no count switches from one to the
+other. Documents outside are rejected.
+
+The distance is at least a measure's resolution: a bucket of the sketch, or for symbols one
+of them in the shortest text that passes the base rules.
 
 Only DataFrame functions are used.
 """
@@ -33,19 +36,23 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Measure:
-    """A per-document integer measure and the least spread its fences assume."""
+    """A per-document integer measure, the percentiles its fences are made from, how many of
+    their distances lie between the outer one and the fence, and the measure's resolution."""
 
     name: str
     expr: str
-    least_spread: int
+    inner: int
+    outer: int
+    fence: int
+    resolution: int
     low_side: bool = False
 
 
 MEASURES = (
-    Measure("symbols", "n_symbols * 1000 div greatest(n_words, 1)", 100),
-    Measure("word_length", "word_chars * 100 div greatest(n_words, 1)", 100, low_side=True),
-    Measure("dup_lines", "n_dup_lines * 1000 div greatest(n_words, 1)", 20),
-    Measure("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", 120),
+    Measure("symbols", "n_symbols * 1000 div greatest(n_words, 1)", 25, 75, 3, 20),
+    Measure("word_length", "word_chars * 100 div greatest(n_words, 1)", 25, 75, 9, 16, low_side=True),
+    Measure("dup_lines", "n_dup_lines * 1000 div greatest(n_words, 1)", 90, 99, 3, 1),
+    Measure("repeats", "n_repeat_words * 1000 div greatest(n_words, 1)", 90, 99, 3, 1),
 )
 
 
@@ -106,25 +113,23 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], fence: int) -> DataFrame:
-    """(keys.., total, <measure>_lo, <measure>_hi) from the quartiles of each sketch."""
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., total, <measure>_lo, <measure>_hi) from the percentiles of each sketch."""
     w = Window.partitionBy(*keys, "measure")
     ranked = sketch.withColumns({"cum": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
-    quart = ranked.groupBy(*keys, "measure").agg(
-        F.min(F.when(F.col("cum") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("cum") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
-        F.max("total").alias("total"),
-    )
+    percents = sorted({p for m in MEASURES for p in (m.inner, m.outer, 100 - m.outer)})
+    at = [F.min(F.when(F.col("cum") * 100 >= F.col("total") * p, F.col("bucket"))).alias(f"p{p}") for p in percents]
+    points = ranked.groupBy(*keys, "measure").agg(*at, F.max("total").alias("total"))
     cols = [F.max("total").alias("total")]
     for m in MEASURES:
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(m.least_spread))
+        reach = F.greatest(F.col(f"p{m.outer}") - F.col(f"p{m.inner}"), F.lit(m.resolution)) * m.fence
         mine = F.col("measure") == m.name
-        cols.append(F.max(F.when(mine, F.greatest(F.col("q1") - spread * fence, F.lit(0)))).alias(f"{m.name}_lo"))
-        cols.append(F.max(F.when(mine, F.col("q3") + spread * fence)).alias(f"{m.name}_hi"))
-    return quart.groupBy(*keys).agg(*cols)
+        cols.append(F.max(F.when(mine, F.greatest(F.col(f"p{100 - m.outer}") - reach, F.lit(0)))).alias(f"{m.name}_lo"))
+        cols.append(F.max(F.when(mine, F.col(f"p{m.outer}") + reach)).alias(f"{m.name}_hi"))
+    return points.groupBy(*keys).agg(*cols)
 
 
-def source_fences(measured: DataFrame, fence: int, weight: int) -> DataFrame:
+def source_fences(measured: DataFrame, weight: int) -> DataFrame:
     """(f_lang, f_source, f_<measure>_lo, f_<measure>_hi): one row per (language, source).
 
     Each fence is (n * own + weight * coarser) / (n + weight), in whole numbers, over the
@@ -134,10 +139,10 @@ def source_fences(measured: DataFrame, fence: int, weight: int) -> DataFrame:
     by_lang = merged(fine, ["lang"])
     whole = merged(by_lang, [])
     names = [f"{m.name}_{side}" for m in MEASURES for side in ("lo", "hi")]
-    a = fences(fine, ["lang", "source"], fence)
-    b = fences(by_lang, ["lang"], fence).select(F.col("lang").alias("b_lang"), F.col("total").alias("b_total"), *[F.col(x).alias(f"b_{x}") for x in names])
+    a = fences(fine, ["lang", "source"])
+    b = fences(by_lang, ["lang"]).select(F.col("lang").alias("b_lang"), F.col("total").alias("b_total"), *[F.col(x).alias(f"b_{x}") for x in names])
     one = whole.withColumn("one", F.lit(1))
-    c = fences(one, ["one"], fence).select("one", *[F.col(x).alias(f"c_{x}") for x in names])
+    c = fences(one, ["one"]).select("one", *[F.col(x).alias(f"c_{x}") for x in names])
     joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")), "left").withColumn("one", F.lit(1)).join(c, "one", "left")
     own = lambda x: F.expr(f"(total * {x} + {weight} * ((b_total * b_{x} + {weight} * c_{x}) div (b_total + {weight}))) div (total + {weight})")
     return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[own(x).alias(f"f_{x}") for x in names])
@@ -154,7 +159,7 @@ def inside() -> Column:
     return ok
 
 
-def judged(measured: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
+def judged(measured: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """Adds base_failed and kept to a table with the text measures, lang and source.
 
     Sketches are taken over the documents that pass the base rules. A (language,
@@ -162,7 +167,7 @@ def judged(measured: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFra
     anyway. Null languages and sources form groups of their own.
     """
     m = measured.withColumn("base_failed", base_failed())
-    limits = source_fences(m.where(~F.col("base_failed")), fence, weight)
+    limits = source_fences(m.where(~F.col("base_failed")), weight)
     joined = m.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside(), F.lit(False)))
     return joined.withColumn("kept", kept).drop(*[c for c in limits.columns])
@@ -171,7 +176,7 @@ def judged(measured: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFra
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
+def quality(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """doc_id, the five counts, base_failed, kept: one row per row of ``docs``.
 
     Defined results: null or empty text: zero counts, base_failed; very long texts are
@@ -180,10 +185,10 @@ def quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
     used, whatever their names.
     """
     own = text_measures(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    return judged(saved(own, "measures"), fence, weight).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(saved(own, "measures"), weight).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def filter_quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> DataFrame:
+def filter_quality(docs: DataFrame, weight: int = WEIGHT) -> DataFrame:
     """The rows of ``docs`` that quality() keeps, with their own columns.
 
     Every text is measured once: the rows are stored beside their measures, the fences come
@@ -195,7 +200,7 @@ def filter_quality(docs: DataFrame, fence: int = 3, weight: int = WEIGHT) -> Dat
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"))
     measured = saved(text_measures(packed, "_q_row.text"), "measured").where(~base_failed())
     m = measured.select("*", F.col("_q_row.lang").alias("lang"), F.col("_q_row.source").alias("source"))
-    limits = saved(source_fences(m.select("lang", "source", *COUNTS), fence, weight), "fences")
+    limits = saved(source_fences(m.select("lang", "source", *COUNTS), weight), "fences")
     joined = m.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
     return joined.where(inside()).select("_q_row.*")
 
@@ -232,26 +237,26 @@ judged AS (
          n_dup_lines * 1000 // greatest(n_words, 1) AS v3, n_repeat_words * 1000 // greatest(n_words, 1) AS v4
   FROM measured),
 vals AS (
-  SELECT coalesce(lang, '?') AS l, coalesce(source, '?') AS s, u.m, u.least,
+  SELECT coalesce(lang, '?') AS l, coalesce(source, '?') AS s, u.m,
          CASE WHEN length(bin(u.v)) > 6 THEN (u.v >> (length(bin(u.v)) - 6)) << (length(bin(u.v)) - 6) ELSE u.v END AS b
-  FROM (SELECT lang, source, unnest([{{'m': 1, 'least': 100, 'v': v1}}, {{'m': 2, 'least': 100, 'v': v2}},
-                                     {{'m': 3, 'least': 20, 'v': v3}}, {{'m': 4, 'least': 120, 'v': v4}}]) AS u
+  FROM (SELECT lang, source, unnest([{{'m': 1, 'v': v1}}, {{'m': 2, 'v': v2}}, {{'m': 3, 'v': v3}}, {{'m': 4, 'v': v4}}]) AS u
         FROM judged WHERE NOT base_failed)),
 groups AS (
-  SELECT l, s, m, least, b, count(*) AS n FROM vals GROUP BY GROUPING SETS ((l, s, m, least, b), (l, m, least, b), (m, least, b))),
+  SELECT l, s, m, b, count(*) AS n FROM vals GROUP BY GROUPING SETS ((l, s, m, b), (l, m, b), (m, b))),
 ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY l, s, m ORDER BY b) AS cum, sum(n) OVER (PARTITION BY l, s, m) AS total FROM groups),
-quart AS (
-  SELECT l, s, m, least, min(b) FILTER (WHERE cum * 4 >= total) AS q1, min(b) FILTER (WHERE cum * 4 >= total * 3) AS q3, max(total) AS total
-  FROM ranked GROUP BY l, s, m, least),
+points AS (
+  SELECT l, s, m, min(b) FILTER (WHERE cum * 4 >= total) AS p25, min(b) FILTER (WHERE cum * 4 >= total * 3) AS p75,
+         min(b) FILTER (WHERE cum * 10 >= total * 9) AS p90, min(b) FILTER (WHERE cum * 100 >= total * 99) AS p99, max(total) AS total
+  FROM ranked GROUP BY l, s, m),
 fence AS (
   SELECT l, s, max(total) AS total,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 1) AS hi1,
-         max(greatest(q1 - 3 * greatest(q3 - q1, least), 0)) FILTER (WHERE m = 2) AS lo2,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 2) AS hi2,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 3) AS hi3,
-         max(q3 + 3 * greatest(q3 - q1, least)) FILTER (WHERE m = 4) AS hi4
-  FROM quart GROUP BY l, s),
+         max(p75 + 3 * greatest(p75 - p25, 20)) FILTER (WHERE m = 1) AS hi1,
+         max(greatest(p25 - 9 * greatest(p75 - p25, 16), 0)) FILTER (WHERE m = 2) AS lo2,
+         max(p75 + 9 * greatest(p75 - p25, 16)) FILTER (WHERE m = 2) AS hi2,
+         max(p99 + 3 * greatest(p99 - p90, 1)) FILTER (WHERE m = 3) AS hi3,
+         max(p99 + 3 * greatest(p99 - p90, 1)) FILTER (WHERE m = 4) AS hi4
+  FROM points GROUP BY l, s),
 mixed AS (
   SELECT f1.l, f1.s, {mixed}
   FROM fence f1 JOIN fence f2 ON f2.l = f1.l AND f2.s IS NULL JOIN fence f3 ON f3.l IS NULL AND f3.s IS NULL

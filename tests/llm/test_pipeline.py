@@ -142,10 +142,56 @@ def test_against_plain_loops(spark, tmp_path):
     test_packing.check(corpus_pipeline.run(spark, str(tmp_path)).collect(), [r[:2] for r in clean])
 
 
-def test_tables_of_a_stage_are_freed(spark, odd_docs):
-    _, stage = corpus_pipeline.STAGES[0]
-    docs = common.saved(stage(spark, odd_docs, ""), "first", held=False)
-    mine = list(common._since)
-    assert mine
-    stage(spark, docs, "")
-    assert docs.count() >= 0 and not set(mine) & set(common._since)
+def test_a_run_frees_its_own_tables_only(spark, tmp_path, monkeypatch):
+    """What was made before a run, or by another run, can be read after it."""
+    spark.createDataFrame(corpus()[:60], DOCS).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("quality_rules", "secret_scans")])
+    judged = quality.op1_quality_rules(spark, str(tmp_path))
+    first, second = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    assert first.count() == second.count() > 30
+    assert judged.count() == 60
+
+
+def test_scopes_of_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def stored(name):
+        return common.saved(spark.range(5), name)
+
+    with ThreadPoolExecutor(1) as pool:
+        with common.scope(spark):
+            other = pool.submit(stored, "other").result()
+        assert spark.read.schema(other.schema).parquet(common._stored[id(other)][1]).count() == 5
+
+
+def test_scopes(spark):
+    at = {}
+
+    def stored(name, **how):
+        df = common.saved(spark.range(5), name, **how)
+        at[name] = common._stored[id(df)][1]
+        return df
+
+    def there(name):
+        return spark.read.schema("id long").parquet(at[name]).count()
+
+    stored("before")
+    with common.scope(spark):
+        stored("own")
+        kept = stored("kept", held=False)
+        with common.scope(spark):
+            stored("inner")
+        assert there("own") == 5
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            there("inner")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        there("own")
+    assert there("before") == there("kept") == 5
+    common.forget(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        there("kept")
+    with pytest.raises(ValueError, match="odd"), common.scope(spark):
+        stored("lost")
+        raise ValueError("odd")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        there("lost")

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 from gradeloom.llm import quality as Q
+from gradeloom.llm.common import saved
 from tests.llm.conftest import same
 
 
@@ -47,9 +48,9 @@ def test_a_source_with_many_documents_has_its_own_fences(spark):
     kept = {r["doc_id"]: r["kept"] for r in Q.quality(df).collect()}
     assert not kept[5000] and kept[5001] and kept[5002] and kept[5003]
     assert all(v for k, v in kept.items() if k != 5000)
-    fences = {(r["f_lang"], r["f_source"]): r["f_symbols_hi"] for r in Q.source_fences(Q.text_measures(df), 3, Q.WEIGHT).collect()}
+    fences = {(r["f_lang"], r["f_source"]): r["f_symbols_hi"] for r in Q.source_fences(Q.text_measures(df), Q.WEIGHT).collect()}
     language = 4 * 992  # as the corpus; quartiles 0 and 992, the bucket of 1,000
-    assert fences["en", "plain"] == (301 * 300 + 50 * language) // 351 < 1000 <= fences["en", "marked"]
+    assert fences["en", "plain"] == (301 * 3 * 20 + 50 * language) // 351 < 1000 <= fences["en", "marked"]
 
 
 def test_fences_meet_the_sql_on_larger_groups(spark, tmp_path):
@@ -89,3 +90,35 @@ def test_empty_and_clashing(spark, odd_docs, clashing, no_docs):
     kept = {r["doc_id"] for r in Q.quality(odd_docs).collect() if r["kept"]}
     assert {r["doc_id"] for r in Q.filter_quality(odd_docs).collect()} == kept
     assert Q.filter_quality(no_docs).count() == 0
+
+
+def test_fences_come_from_the_sketches(spark):
+    """On the driver's documents the corpus decides, not a constant: fences differ between sources and lie
+    beyond a multiple of the measured distances, for all but symbols, which nearly all documents lack."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = saved(Q.text_measures(docs).drop("text"), "measures").where(~Q.base_failed())
+    fine = Q.sketches(measured, ["lang", "source"])
+    own, by_lang = Q.fences(fine, ["lang", "source"]).collect(), Q.fences(Q.merged(fine, ["lang"]), ["lang"]).collect()
+    assert len(own) == 80 and len(by_lang) == 4
+    # quantiles of 0 and the least distance between them would give fence * resolution
+    above = lambda rows, m: sum(r[f"{m.name}_hi"] > m.fence * m.resolution for r in rows)
+    _, length, lines, repeats = Q.MEASURES
+    for m in (length, repeats):
+        assert len({r[f"{m.name}_hi"] for r in own}) > 10 and above(own, m) > len(own) / 2
+    assert all(above(by_lang, m) == 4 for m in (length, lines, repeats))  # few documents repeat lines; sources' fences are drawn to these
+
+
+def test_each_measure_rejects(spark):
+    rng = __import__("random").Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    plain = [" ".join(word(rng.randint(3, 7)) for _ in range(rng.randint(80, 120))) for _ in range(300)]
+    odd = {
+        1000: " ".join(word(5) + "#" * (i % 5 == 0) for i in range(100)),  # symbols
+        1001: " ".join(word(25) for _ in range(100)),  # long words
+        1002: " ".join(word(1) for _ in range(100)),  # short words
+        1003: "\n".join([word(9)] * 40 + [" ".join(word(5) for _ in range(6)) for _ in range(25)]),  # lines
+        1004: " ".join([word(5) for _ in range(70)] + ["one two three"] * 20),  # repeats
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate(plain)] + [(i, t, "en", "s") for i, t in odd.items()]
+    kept = {r["doc_id"]: r["kept"] for r in Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in odd)

@@ -349,6 +349,7 @@ def second_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.where(F.col("first").isNotNull() & F.col("second").isNotNull() & (F.col("first") != F.col("second")))
 
 
-def home_grade(code: Column, grade: Column) -> Column:
-    """The grade whose curriculum teaches a code; the item's own where the code names none."""
-    return F.coalesce(code_part(code, "grade"), grade)
+def home_grade(code: Column, grade: Column, taught: tuple[int, ...] = (6, 7, 8)) -> Column:
+    """The grade whose curriculum teaches a code, of those that are taught; else the item's own."""
+    named = F.regexp_extract(code, r"^NY-([1-8])\.", 1).try_cast("int")
+    return F.when(named.isin(*taught), named).otherwise(grade)

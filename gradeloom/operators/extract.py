@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions.scalars import prefixed, undotted_letter, unrepeated_prefix
+from gradeloom.functions.scalars import undotted_letter, unrepeated_prefix
 from gradeloom.operators.layout import islands
 from gradeloom.operators.stored import checkpointed
 
@@ -22,8 +22,9 @@ RULE_HEIGHT, RULE_WIDTH, PROBE, SAME_CELL, AFTER_SENTENCE, MARK_REACH = 2.5, 40.
 #: Fixed values of the maps: what belongs to a row above its anchor; the pitch without neighbours; how
 #: far the last row reaches, in pitches.
 LEAD, PITCH, LAST_PITCHES = 4.0, 12.0, 1.5
-CODE = r"(?:NY-)*\d\.[A-Z]{1,3}\.(?:[A-Z]\.)?\d+[a-z]?"
-SHORT_CODE, STATISTIC = r"^\d+[a-z]$", r"^[01]?\.\d+$|^\d\.\d+$"
+#: Fixed values of the maps: how a code and a statistic are printed.
+CODE = r"(?:NGLS|CCSS)\.Math\.Content\.((?:NY-)*\d[A-Za-z0-9.]*)"
+STATISTIC = r"^\d?\.\d{1,2}$|^[0-3](?:\.\d{1,2})?$"
 TITLE = r"Map to the (?:Learning )?Standards"
 
 
@@ -87,9 +88,15 @@ def page_map(words: DataFrame, lines: DataFrame, items: DataFrame, skip: DataFra
     return {"located": located.select(*keys, "item", "page", "printed", "repeated"), "stray": stray, "unlocated": lost, "falls": falls, "type_disagreements": clash}
 
 
-def item_pages(items: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
-    """The distinct pages to read: of located items, and of their documents' first page where unlocated."""
-    return items.join(pages, [*keys, "item"], "left").where("page IS NOT NULL").select(*keys, "page").distinct()
+def item_pages(located: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., page): the distinct pages to read, in any order. Of a document with located items
+    (keys.., page) those of the items, of one without a single one all pages 1 to ``page_count``.
+
+    counts: (keys.., page_count), a row a document; documents that aren't listed have no pages.
+    """
+    own = located.where("page IS NOT NULL").select(*keys, F.col("page").cast("int").alias("page")).distinct().join(counts.select(*keys), list(keys), "left_semi")
+    rest = counts.where("page_count > 0").join(own.select(*keys).distinct(), list(keys), "left_anti")
+    return own.unionByName(rest.select(*keys, F.explode(F.sequence(F.lit(1), F.col("page_count").cast("int"))).alias("page")))
 
 
 # --- item maps -------------------------------------------------------------------------
@@ -176,7 +183,7 @@ def parsed_items(rows: DataFrame, *keys: str) -> DataFrame:
     wide = rows.groupBy(*group).agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.trim("text"))), F.lit("")).alias(f"_{n}") for n in names])
     kind = F.when(F.col("_Type").startswith("Multiple Choice"), "mc").when(F.col("_Type").startswith("Constructed"), "cr")
     credits = F.when(F.col("_Points").rlike("^[1-3]$"), F.col("_Points").try_cast("int"))
-    codes = F.transform(F.regexp_extract_all(F.concat_ws(" ", "_Standard", "_Secondary"), F.lit(CODE), F.lit(0)), repaired_code)
+    codes = F.transform(F.regexp_extract_all(F.concat_ws(" ", "_Standard", "_Secondary"), F.lit(CODE), F.lit(1)), repaired_code)
     none = F.lower("_Key").isin("", "n/a", "na", "-")
     step = wide.withColumns({"type": kind, "credits": credits, "_codes": codes}).withColumns({"_stat": statistics(F.col("_stats"), F.col("type")), "key": F.when((F.col("type") == "mc") & F.col("_Key").rlike("^[A-D]$"), F.col("_Key"))})
     mc = F.col("type") == "mc"
@@ -522,8 +529,3 @@ def number_shape(points: Column, digits: int = 2) -> Column:
     span = lambda f: F.array_max(F.transform(points, lambda p: p[f])) - lo(f)
     part = lambda p, f: F.round((p[f] - lo(f)) / F.when(span(f) > 0, span(f)).otherwise(1.0), digits)
     return F.flatten(F.transform(points, lambda p: F.array(part(p, "x"), part(p, "y"))))
-
-
-def normal_code(raw: Column) -> Column:
-    """A code as the registry writes it: prefix once, no dot before a sub-letter."""
-    return prefixed(undotted_letter(unrepeated_prefix(raw)))

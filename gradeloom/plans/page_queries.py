@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import scalars
-from gradeloom.operators import agreement, build, curriculum, expressions, extract
+from gradeloom.operators import agreement, build, checks, curriculum, expressions, extract
 from gradeloom.operators.stored import checkpointed
 from gradeloom.plans import roles
 from gradeloom.plans.registry import query, r3, with_parts
@@ -22,8 +22,10 @@ COLUMNS = (
 
 #: Item maps of thirty parts each, two pages of fifteen rows; a statistic sits a little lower than its row.
 MAPS = """tmap AS (SELECT p_partkey // 30 AS doc, CAST(p_partkey % 30 + 1 AS INTEGER) AS item, p_partkey % 30 // 15 + 5 AS page, CASE WHEN p_size % 4 = 0 THEN 'cr' ELSE 'mc' END AS type, CASE WHEN p_size % 4 <> 0 THEN chr(CAST(65 + p_size % 4 AS INTEGER)) END AS key,
-  CAST(CASE WHEN p_size % 4 = 0 THEN p_size % 3 + 1 ELSE 1 END AS INTEGER) AS credits, 'NY-' || (6 + p_partkey % 3) || '.RP.' || p_size || CASE WHEN p_size % 5 = 0 THEN 'a' ELSE '' END AS standard, CASE WHEN p_size % 3 = 0 THEN 'NY-6.EE.' || p_size % 9 END AS second,
-  CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END AS doubled, p_size % 9 / 10.0::DOUBLE + 0.1 AS p_value, CASE WHEN p_size % 4 = 0 THEN p_size % 10 / 10.0::DOUBLE END AS avg_points, CASE WHEN p_partkey % 30 < 10 THEN 1 ELSE 2 END AS session FROM part)"""
+  CAST(CASE WHEN p_size % 4 = 0 THEN p_size % 3 + 1 ELSE 1 END AS INTEGER) AS credits, p_partkey % 7 = 0 AS old,
+  CASE WHEN p_partkey % 7 = 0 THEN '7.RP.A.' || p_size WHEN p_partkey % 11 = 0 THEN 'NY-' || (6 + p_partkey % 3) || '.RP.A' ELSE 'NY-' || (6 + p_partkey % 3) || '.RP.' || p_size || CASE WHEN p_size % 5 = 0 THEN '.a' WHEN p_size % 5 = 1 THEN 'b' ELSE '' END END AS standard,
+  CASE WHEN p_size % 3 = 0 THEN 'NY-6.EE.' || p_size % 9 END AS second, CASE WHEN p_partkey % 6 = 0 AND p_partkey % 7 <> 0 THEN 1 ELSE 0 END AS doubled,
+  (p_size % 9 * 10 + 15) / 100.0::DOUBLE AS p_value, CASE WHEN p_size % 4 = 0 THEN p_size // 4 % 7 / 2.0::DOUBLE END AS avg_points, CASE WHEN p_partkey % 30 < 10 THEN 1 ELSE 2 END AS session FROM part)"""
 
 
 def _word(x: float | Column, y: Column, text: Column, wide: float = 20.0) -> Column:
@@ -37,13 +39,18 @@ def _map_words(spark: SparkSession, d: str) -> DataFrame:
     p = roles.table(spark, d, "part").select(F.floor(k / 30).alias("doc"), (F.floor(k % 30 / 15) + 5).alias("page"), (k % 30).alias("i"), k.alias("k"), n.alias("n"))
     y = F.lit(100) + F.col("i") % 15 * 14 + F.when(F.col("i") >= 10, 7).otherwise(0)
     cr, n = F.col("n") % 4 == 0, F.col("n")
-    code = F.concat(F.when(F.col("k") % 6 == 0, "NY-NY-").otherwise("NY-"), F.col("k") % 3 + 6, F.lit(".RP."), n, F.when(n % 5 == 0, "a").otherwise(""))
-    number = lambda v: F.format_string("%.1f", v)
+    # codes of both eras, of clusters, with sub-letters behind a dot or none, some with the prefix printed twice
+    tail = F.when(F.col("k") % 11 == 0, F.lit("A")).otherwise(F.concat(n, F.when(n % 5 == 0, ".a").when(n % 5 == 1, "b").otherwise("")))
+    new = F.concat(F.lit("NGLS.Math.Content."), F.when(F.col("k") % 6 == 0, "NY-NY-").otherwise("NY-"), F.col("k") % 3 + 6, F.lit(".RP."), tail)
+    code = F.when(F.col("k") % 7 == 0, F.concat(F.lit("CCSS.Math.Content.7.RP.A."), n)).otherwise(new)
+    share = F.format_string(".%02d", (n % 9 * 10 + 15).cast("int"))  # without a zero before the point
+    half = F.floor(n / 4) % 7
+    average = F.concat(F.floor(half / 2).cast("string"), F.when(half % 2 == 1, ".5").otherwise(""))  # whole ones without a point
     low = y + 1
     row = F.array(
         _word(40, y, F.col("i") + 1), _word(100, y, F.when(cr, "Constructed").otherwise("Multiple")), _word(130, y, F.when(cr, "Response").otherwise("Choice")), _word(180, y, F.when(cr, "n/a").otherwise(F.char(n % 4 + 65))),
-        _word(230, y, F.when(cr, n % 3 + 1).otherwise(1)), _word(300, y, code, 60), _word(380, y, F.lit("Ratios"), 40), _word(460, y, F.when(n % 3 == 0, F.concat(F.lit("NY-6.EE."), n % 9)), 60),
-        _word(600, low, F.when(cr, number((n % 10) / 10)).otherwise(number(n % 9 / 10 + 0.1))), _word(660, low, F.when(cr, number(n % 9 / 10 + 0.1))),
+        _word(230, y, F.when(cr, n % 3 + 1).otherwise(1)), _word(300, y, code, 60), _word(380, y, F.lit("Ratios"), 40), _word(460, y, F.when(n % 3 == 0, F.concat(F.lit("NGLS.Math.Content.NY-6.EE."), n % 9)), 60),
+        _word(600, low, F.when(cr, average).otherwise(share)), _word(660, low, F.when(cr, share)),
     )
     pages = p.groupBy("doc", "page").agg(F.max(y).alias("last"))
     heads = F.array(*[_word(x, F.lit(80), F.lit(t), 30) for x, t in ((40, "Question"), (115, "Type"), (180, "Key"), (230, "Points"), (300, "Standard"), (380, "Domain"), (460, "Secondary"))], _word(500, F.lit(80), F.lit("Standard(s)"), 30))
@@ -63,7 +70,7 @@ def map_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_parts(MAPS)
-    + """SELECT doc, page, item, session, type, key, credits, standard, 'nextgen' AS era, coalesce(second, '') AS secondary, CASE WHEN doubled = 1 THEN 1 ELSE 0 END AS repairs, 'Ratios' AS domain_label, floor(p_value * 10 + 0.5) / 10 AS p_value, avg_points,
+    + """SELECT doc, page, item, session, type, key, credits, standard, CASE WHEN old THEN 'ccls' ELSE 'nextgen' END AS era, coalesce(second, '') AS secondary, CASE WHEN doubled = 1 THEN 1 ELSE 0 END AS repairs, 'Ratios' AS domain_label, p_value, avg_points,
  CASE WHEN avg_points > credits THEN 'average' ELSE '' END AS wrong FROM tmap"""
 )
 def parsed_item_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -80,17 +87,17 @@ def header_bands(spark: SparkSession, d: str) -> DataFrame:
 
 # --- booklets ------------------------------------------------------------------------------
 
-BOOK = """book AS (SELECT p_partkey % 20 AS doc, CAST(p_partkey // 20 % 40 + 1 AS INTEGER) AS item, p_partkey // 20 % 40 // 2 + 3 AS page, CASE WHEN p_size % 4 = 0 THEN 'cr' ELSE 'mc' END AS type, p_size % 9 = 0 AS drawn, p_partkey // 20 % 40 % 2 AS half FROM part WHERE p_partkey // 20 < 40)"""
+BOOK = """book AS (SELECT p_partkey // 800 * 20 + p_partkey % 20 AS doc, CAST(p_partkey // 20 % 40 + 1 AS INTEGER) AS item, p_partkey // 20 % 40 // 2 + 3 AS page, CASE WHEN p_size % 4 = 0 THEN 'cr' ELSE 'mc' END AS type, p_size % 9 = 0 AS drawn, p_partkey // 20 % 40 % 2 AS half FROM part)"""
 
 
 def _book(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("p_partkey"), F.col("p_size")
     i = F.floor(k / 20) % 40
-    return roles.table(spark, d, "part").where(F.floor(k / 20) < 40).select((k % 20).alias("doc"), (i + 1).cast("int").alias("item"), (F.floor(i / 2) + 3).alias("page"), F.when(n % 4 == 0, "cr").otherwise("mc").alias("type"), (n % 9 == 0).alias("drawn"), (i % 2).alias("half"))
+    return roles.table(spark, d, "part").select((F.floor(k / 800) * 20 + k % 20).alias("doc"), (i + 1).cast("int").alias("item"), (F.floor(i / 2) + 3).alias("page"), F.when(n % 4 == 0, "cr").otherwise("mc").alias("type"), (n % 9 == 0).alias("drawn"), (i % 2).alias("half"))
 
 
 def _page_map(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Booklets of twenty documents: two items a page, some numbers drawn, choices where an item has them."""
+    """Booklets, twenty of every 800 parts: two items a page, some numbers drawn, choices where an item has them."""
     b = _book(spark, d)
     y = F.lit(120) + F.col("half") * 300
     number = F.array(_word(45, y, F.when(~F.col("drawn"), F.col("item")), 6), _word(300, y, F.lit("12")))
@@ -198,26 +205,24 @@ def section_pages(spark: SparkSession, d: str) -> DataFrame:
 
 # --- pacing ------------------------------------------------------------------------------------
 
-PACE = """pace AS (SELECT s_nationkey % 3 + 6 AS grade, CAST(row_number() OVER (PARTITION BY s_nationkey % 3 ORDER BY s_suppkey) AS INTEGER) AS unit, s_suppkey AS k, s_name AS name FROM supplier QUALIFY unit <= 9)"""
+PACE = """pace AS (SELECT s_suppkey // 27 AS doc, s_suppkey % 3 + 6 AS grade, CAST(s_suppkey % 27 // 3 + 1 AS INTEGER) AS unit, s_suppkey AS k, s_name AS name FROM supplier)"""
 
 
 @query(
     with_parts(PACE)
-    + """SELECT grade, unit, name || CASE WHEN k % 2 = 0 THEN ' goes on' ELSE '' END AS title, CAST(10 + k % 5 AS INTEGER) AS days_lo, CAST(CASE WHEN k % 3 = 0 THEN 10 + k % 5 ELSE 15 + k % 5 END AS INTEGER) AS days_hi, k % 4 = 0 AS mid_unit_assessment, k % 6 = 0 AS all_optional,
+    + """SELECT doc, grade, unit, name || CASE WHEN k % 2 = 0 THEN ' goes on' ELSE '' END AS title, CAST(10 + k % 5 AS INTEGER) AS days_lo, CAST(CASE WHEN k % 3 = 0 THEN 10 + k % 5 ELSE 15 + k % 5 END AS INTEGER) AS days_hi, k % 4 = 0 AS mid_unit_assessment, k % 6 = 0 AS all_optional,
  CASE WHEN k % 6 = 0 OR k % 6 = 1 THEN '' ELSE (k % 7) || ',' || (k % 7 + 2) END AS optional_lessons, CAST(unit * 3 - 2 AS INTEGER) AS start_week FROM pace"""
 )
 def pacing_units(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = roles.table(spark, d, "supplier").withColumn("grade", F.col("s_nationkey") % 3 + 6)
+    """Plans of nine units and three grades, one of every 27 suppliers."""
     k = F.col("s_suppkey")
-    s = s.withColumn("unit", F.row_number().over(Window.partitionBy("grade").orderBy("s_suppkey"))).where("unit <= 9")
+    s = roles.table(spark, d, "supplier").withColumns({"doc": F.floor(k / 27), "grade": k % 3 + 6, "unit": (F.floor(k % 27 / 3) + 1).cast("int")})
     days = F.concat(F.lit("("), k % 5 + 10, F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("–"), k % 5 + 15)), F.lit(" days)"), F.when(k % 4 == 0, " (MA)").otherwise(""))
     some = F.when(k % 6 == 0, "all.").when(k % 6 == 1, "none").otherwise(F.concat(k % 7, F.lit(", "), k % 7 + 2))
     lines = F.array(F.concat(F.lit("Unit "), "unit"), F.when(k % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("."))), F.when(k % 2 == 0, "goes  on."), days, F.concat(F.lit("Optional Lessons: "), some))
-    rows = s.select("grade", "unit", F.posexplode(lines).alias("_p", "text")).where("text IS NOT NULL").select("grade", (F.col("unit") * 60.0 + F.col("_p") * 9).alias("y"), "text")
+    rows = s.select("doc", "grade", "unit", F.posexplode(lines).alias("_p", "text")).where("text IS NOT NULL").select("doc", "grade", (F.col("unit") * 60.0 + F.col("_p") * 9).alias("y"), "text")
     weeks = spark.range(1, 36).select(F.col("id").cast("int").alias("week"), (F.col("id") * 20.0 + 41).alias("y")).crossJoin(F.broadcast(spark.createDataFrame([(g,) for g in (6, 7, 8)], "grade long")))  # 35 labels, three grades
-    got = extract.pacing_units(rows, weeks, "grade")
+    got = extract.pacing_units(rows, weeks, "doc", "grade")
     return got.withColumn("optional_lessons", F.array_join("optional_lessons", ","))
 
 
@@ -329,3 +334,23 @@ def unit_labels(spark: SparkSession, d: str) -> DataFrame:
 def unit_cells(spark: SparkSession, d: str) -> DataFrame:
     p = roles.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("unit"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") * 3).alias("start_week"))
     return curriculum.unit_cells(p, "k")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 10 BETWEEN 6 AND 8 THEN p_size % 10 ELSE 6 + p_partkey % 3 END AS grade FROM part")
+def home_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of ten grades, three of them taught; some name none."""
+    k, n = F.col("p_partkey"), F.col("p_size") % 10
+    code = F.when(n == 0, "MP.4").otherwise(F.concat(F.lit("NY-"), n, F.lit(".NBT.4")))
+    return roles.table(spark, d, "part").select(k.alias("id"), checks.home_grade(code, (k % 3 + 6).cast("int")).cast("long").alias("grade"))
+
+
+@query("""WITH lines AS (SELECT doc_id AS doc, unnest(p) AS t, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+found AS (SELECT DISTINCT doc, i // 5 + 1 AS page FROM lines WHERE length(t) % 10 = 7), counts AS (SELECT doc, max(i) // 5 + 1 AS n FROM lines GROUP BY doc)
+SELECT doc, CAST(page AS INTEGER) AS page FROM found UNION ALL SELECT doc, CAST(unnest(range(1, n + 1)) AS INTEGER) FROM counts WHERE doc NOT IN (SELECT doc FROM found)""")
+def item_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of five lines; lines of some lengths hold items, and documents without any are read whole."""
+    docs = roles.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda t: F.length(t)).alias("n"))
+    lines = checkpointed(docs.select("doc", F.posexplode("n").alias("i", "n")))
+    counts = lines.groupBy("doc").agg((F.floor(F.max("i") / 5) + 1).alias("page_count"))
+    located = lines.where("n % 10 = 7").select("doc", (F.floor(F.col("i") / 5) + 1).alias("page"))
+    return extract.item_pages(located, counts, "doc")

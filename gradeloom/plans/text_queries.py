@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import scalars
 from gradeloom.operators import agreement, retrieve
+from gradeloom.operators.stored import checkpointed
 from gradeloom.plans import roles
 from gradeloom.plans.registry import query, r3, with_parts
 
@@ -87,7 +88,8 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query(with_parts(TERMS, ASKED, SCORES) + "SELECT query_id, count(*) AS n FROM ranked WHERE rank > 12 GROUP BY query_id")
 def second_tier_size(spark: SparkSession, d: str) -> DataFrame:
     """The second tier of all ranked documents: those outside of the first."""
-    return _ranked(spark, d).where("rank > 12").groupBy("query_id").agg(F.count("*").alias("n"))
+    pool = checkpointed(_ranked(spark, d).select("query_id", "doc_id", "rank"))
+    return retrieve.second_tier(pool, retrieve.top_k(pool, 12), "query_id", "doc_id").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query(

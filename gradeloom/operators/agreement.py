@@ -131,24 +131,3 @@ def shape_labels(shapes: DataFrame, clusters: DataFrame, most: float) -> DataFra
     rest = shapes.join(near, "shape_id", "left_anti").withColumn("_size", F.size("points"))
     far = best(rest.join(c.withColumn("_n", F.size("_points")), F.col("_size") == F.col("_n")))
     return near.unionByName(far)
-
-
-def observed_clusters(shapes: DataFrame, most: float) -> DataFrame:
-    """(bucket, cluster, n, points): shapes grouped in order (page, y, x) within each bucket.
-
-    A shape joins the first cluster near enough, else founds one; order decides, so a
-    bucket is one group. Buckets are small by construction (shapes of one form).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for points in pdf.sort_values(["page", "y", "x"], kind="stable")["points"]:
-            for c in found:
-                if len(c[0]) == len(points) and sum(abs(a - b) for a, b in zip(c[0], points, strict=True)) / max(len(points), 1) <= most:
-                    c[1] += 1
-                    break
-            else:
-                found.append([points, 1])
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[0], "cluster": range(len(found)), "n": [c[1] for c in found], "points": [list(c[0]) for c in found]})
-
-    return shapes.groupBy("bucket").applyInPandas(run, "bucket string, cluster int, n long, points array<double>")

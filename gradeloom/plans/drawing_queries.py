@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators import drawings
+from gradeloom.operators import compare, drawings, glyphs
 from gradeloom.operators.stored import checkpointed
 from gradeloom.plans.registry import query, with_parts
 
@@ -152,3 +152,65 @@ def bracketed_boxes(spark: SparkSession, d: str) -> DataFrame:
     text = all_.where("kind > 0").select(*KEYS, (F.floor(F.col("y0") / 14) * 14).cast("double").alias("y"), "x0", "x1")
     met = drawings.in_lines(all_.where("kind = 0"), drawings.line_ends(text, *KEYS), *KEYS)
     return met.select(*KEYS, "id", "y", drawings.bracketed().alias("bracketed"))
+
+
+@query()
+def observed_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes of three numbers from all vectors, in the order of their numbers: whose cluster each joins."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    shapes = v.select(F.col("vec_id").alias("place"), F.lit("out").alias("form"), F.col("label").cast("string").alias("bucket"), F.transform(F.slice("embedding", 1, 3), lambda c: c.cast("double")).alias("points"))
+    return glyphs.observed(shapes, 0.06)
+
+
+PLOTS = """marks AS (
+  SELECT doc_id AS doc, length(t) AS n, len(regexp_extract_all(t, '[^ ]+')) AS words, 4 + doc_id % 3 AS half
+  FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.\n]')) AS t FROM documents))"""
+
+
+@query(with_parts(PLOTS) + "SELECT DISTINCT doc, CAST(n % (2 * half + 1) - half AS INTEGER) AS px, CAST(words % (2 * half + 1) - half AS INTEGER) AS py FROM marks WHERE n % 2 = 0 AND n % 5 <> 0 AND doc % 5 <> 0")
+def plotted_points(spark: SparkSession, d: str) -> DataFrame:
+    """A plot a document, a dot a sentence: some unfilled, some beside the grid, one plot in five without
+    an axis that stands out."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), (4 + F.col("doc_id") % 3).cast("int").alias("half"), (5.0 + F.col("doc_id") % 7).alias("step"), "text")
+    lines = docs.select("doc", "half", "step", F.explode(F.expr("sequence(-half, half)")).alias("i"))
+    over = F.expr("half * step + if(i = 0 and doc % 5 <> 0, 8, 0)")
+    at = F.col("i") * F.col("step")
+    flat = lambda x0, y0, x1, y1, filled: ["doc", *[c.cast("double").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))], filled.alias("filled")]
+    drawn = lines.select(*flat(200 + at - 0.2, 300 - over, 200 + at + 0.2, 300 + over, F.lit(False)))
+    drawn = drawn.unionByName(lines.select(*flat(200 - over, 300 + at - 0.2, 200 + over, 300 + at + 0.2, F.lit(False))))
+    marks = docs.select("doc", "half", "step", F.explode(F.split(F.coalesce("text", F.lit("")), "[.\n]", -1)).alias("t"))
+    marks = marks.select("doc", "half", "step", F.length("t").alias("n"), F.regexp_count("t", F.lit("[^ ]+")).alias("words"))
+    x, y = F.expr("200 + step * (n % (2 * half + 1) - half + if(n % 5 = 0, 0.4, 0))"), F.expr("300 - step * (words % (2 * half + 1) - half)")
+    dots = marks.select(*flat(x - 2, y - 2, x + 2, y + 2, F.col("n") % 2 == 0))
+    return glyphs.plotted_points(drawn.unionByName(dots), "doc")
+
+
+BUILDS = """old AS (SELECT doc_id AS k, string_split(text, chr(10)) AS p, lang, source, n_chars AS n FROM documents),
+size AS (SELECT *, len(p) AS old_n, len(p) - CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 1 THEN 2 ELSE 0 END AS new_n FROM old WHERE k % 13 <> 0)"""
+
+
+@query(
+    with_parts(BUILDS)
+    + """SELECT k, '' AS path, 'lost' AS kind FROM old WHERE k % 13 = 0
+UNION ALL SELECT k + 1000000000, '', 'added' FROM old WHERE k % 17 = 0
+UNION ALL SELECT k, 'meta.n', 'changed' FROM size WHERE k % 7 = 0 AND n IS NOT NULL
+UNION ALL SELECT k, 'meta', 'changed' FROM size WHERE k % 29 = 1 AND k % 7 <> 0
+UNION ALL SELECT k, 'lines[' || (old_n - 1) || ']', 'lost' FROM size WHERE k % 5 = 0
+UNION ALL SELECT k, 'lines[' || (old_n + unnest([0, 1])) || ']', 'added' FROM size WHERE k % 5 = 1
+UNION ALL SELECT k, 'lines[' || i || ']', 'changed' FROM (SELECT k, new_n, unnest(p) AS t, unnest(range(len(p))) AS i FROM size WHERE k % 3 = 0) WHERE i < new_n AND t LIKE '%a%'
+UNION ALL SELECT k, 'marks[lang]', 'lost' FROM size WHERE k % 4 = 0
+UNION ALL SELECT k, 'marks[text]', 'added' FROM size WHERE k % 4 = 0"""
+)
+def build_differences(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as nested rows, and a later build of them: rows, fields, lines and entries that went, came or changed."""
+    k = F.col("k")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("k"), F.split("text", "\n", -1).alias("lines"), "lang", "source", F.col("n_chars").alias("n"))
+    meta = lambda n: F.struct("source", n.alias("n"))
+    old = docs.select("k", meta(F.col("n")).alias("meta"), "lines", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("marks"))
+    less = F.when(k % 5 == 0, F.slice("lines", F.lit(1), F.size("lines") - 1)).when(k % 5 == 1, F.concat("lines", F.array(F.lit("x"), F.lit("y")))).otherwise(F.col("lines"))
+    said = lambda t, i: F.when((i < F.size("lines")) & (k % 3 == 0), F.replace(t, F.lit("a"), F.lit("A"))).otherwise(t)
+    marks = F.create_map(F.when(k % 4 == 0, "text").otherwise("lang"), "lang", F.lit("source"), "source")
+    gone = F.when((k % 29 == 1) & (k % 7 != 0), F.lit(None)).otherwise(meta(F.col("n") + F.when(k % 7 == 0, 1).otherwise(0)))
+    new = docs.where(k % 13 != 0).select("k", marks.alias("marks"), F.transform(less, said).alias("lines"), gone.alias("meta"))
+    more = old.where(k % 17 == 0).withColumn("k", k + 1_000_000_000)
+    return compare.differences(old, new.unionByName(more), "k").select("k", "path", "kind")

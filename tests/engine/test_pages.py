@@ -192,10 +192,6 @@ def test_regions_grow_over_labels(spark):
     prose = spark.createDataFrame([(1, 0.0, 204.0, 500.0, 216.0)], box)
     got = expressions.grown_region(region, labels, prose, "item", reach=10.0).head()
     assert tuple(got) == (1, 100.0, 100.0, 215.0, 200.0)
-    from gradeloom.operators import agreement
-
-    shapes = spark.createDataFrame([(1, 1.0, 1.0, "b", [0.0, 1.0]), (1, 2.0, 1.0, "b", [0.1, 1.0]), (2, 1.0, 1.0, "b", [5.0, 5.0])], "page int, y double, x double, bucket string, points array<double>")
-    assert [(r["cluster"], r["n"]) for r in agreement.observed_clusters(shapes, 0.2).orderBy("cluster").collect()] == [(0, 2), (1, 1)]
     words = spark.createDataFrame([(1, 10.0, 0.0, 20.0, 5.04, "a"), (1, 90.0, 0.0, 95.0, 9.0, "b")], "page int, x0 double, y0 double, x1 double, y1 double, text string")
     assert [r["text"] for r in tables.in_region(tables.words(words), x=(0.0, 50.0)).collect()] == ["a"]
     pages = spark.createDataFrame([(3, "Map to it"), (4, "7.RP.1"), (4, "7.RP.2"), (4, "7.RP.3"), (9, "Map to it")], "page int, text string")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators import compare, drawings, glyphs
+from gradeloom.operators import characters, compare, drawings, glyphs
 from gradeloom.operators.stored import checkpointed
 from gradeloom.plans.registry import query, with_parts
 
@@ -214,3 +214,17 @@ def build_differences(spark: SparkSession, d: str) -> DataFrame:
     new = docs.where(k % 13 != 0).select("k", marks.alias("marks"), F.transform(less, said).alias("lines"), gone.alias("meta"))
     more = old.where(k % 17 == 0).withColumn("k", k + 1_000_000_000)
     return compare.differences(old, new.unionByName(more), "k").select("k", "path", "kind")
+
+
+@query("""WITH cut AS (SELECT page_id, p, unnest(p) AS t, unnest(range(len(p))) AS i FROM (SELECT page_id, regexp_extract_all(url, '[^/]+/?|/') AS p FROM pages)),
+placed AS (SELECT page_id, 6 + page_id % 2 AS a, CAST(i + 1 AS INTEGER) AS word, t, sum(length(t)) OVER w - length(t) AS start, sum(CASE WHEN t LIKE '%/' THEN 1 ELSE 0 END) OVER w - CASE WHEN t LIKE '%/' THEN 1 ELSE 0 END AS gaps FROM cut WINDOW w AS (PARTITION BY page_id ORDER BY i))
+SELECT page_id // 10 AS page, CAST(60 + 14 * (page_id % 10) AS DOUBLE) AS line, word, CAST(72 + a * start + 4 * gaps AS DOUBLE) AS x0, t AS text FROM placed""")
+def words_of_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Every character of every url on its own, ten urls a page in type of two widths; a gap, not a blank, follows each slash."""
+    urls = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.posexplode(F.split("url", "")).alias("i", "c")).where("c <> ''")
+    a = 6 + F.col("page_id") % 2
+    before = F.expr("length(substring(url, 1, i)) - length(replace(substring(url, 1, i), '/', ''))")
+    x0 = (72 + a * F.col("i") + 4 * before).cast("double")
+    y0 = (60 + 14 * (F.col("page_id") % 10) + F.when(F.col("i") % 3 == 2, 0.8).otherwise(0.0)).cast("double")
+    chars = urls.select(F.floor(F.col("page_id") / 10).alias("page"), x0.alias("x0"), (x0 + a - 0.8).alias("x1"), y0.alias("y0"), "c", F.concat(F.lit("Prose-"), a).alias("font"))
+    return characters.words(checkpointed(chars), "page").select("page", "line", "word", "x0", "text")

@@ -188,28 +188,6 @@ def decoded_expressions(glyphs: DataFrame, *keys: str) -> DataFrame:
     return glyphs.groupBy(*keys).applyInPandas(run, schema)
 
 
-def item_parts(words: DataFrame, *keys: str, letters: str = "ABCD") -> DataFrame:
-    """(keys.., stem, choices) of one item's words (x, y, text): a line that starts with the
-    next choice letter opens that choice; what comes before the first is the stem."""
-    schema = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in keys) + ", stem string, choices array<struct<label: string, text: string>>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stem: list[str] = []
-        choices: list[dict] = []
-        for _, line in pdf.sort_values(["y", "x"], kind="stable").groupby("y", sort=True):
-            tokens = line["text"].tolist()
-            nxt = letters[len(choices)] if len(choices) < len(letters) else None
-            if nxt and tokens[0].rstrip(".)") == nxt:
-                choices.append({"label": nxt, "text": " ".join(tokens[1:])})
-            elif choices:
-                choices[-1]["text"] = f"{choices[-1]['text']} {' '.join(tokens)}".strip()
-            else:
-                stem += tokens
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "stem": " ".join(stem), "choices": choices}])
-
-    return words.groupBy(*keys).applyInPandas(run, schema)
-
-
 def grown_region(region: DataFrame, labels: DataFrame, prose: DataFrame, *keys: str, reach: float) -> DataFrame:
     """The regions' boxes, grown over labels within ``reach`` that share no line with prose."""
     free = labels.join(prose.select(*keys, F.col("y0").alias("_p0"), F.col("y1").alias("_p1")), list(keys), "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators import characters, compare, drawings, glyphs
+from gradeloom.operators import characters, compare, drawings, glyphs, items
 from gradeloom.operators.stored import checkpointed
 from gradeloom.plans.registry import query, with_parts
 
@@ -30,11 +30,11 @@ boxes AS (
 KEYS = ("doc", "page")
 
 
-def boxes(spark: SparkSession, d: str) -> DataFrame:
-    """(doc, page, id, parts, kind, x0, y0, x1, y1) of all sentences of all documents."""
+def boxes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """(doc, page, id, parts, kind, x0, y0, x1, y1) of all sentences of all documents; more: ``t``, their texts."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.\n]", -1)).alias("id", "t"))
     n, words = F.length("t"), F.regexp_count("t", F.lit("[^ ]+"))
-    slim = docs.select("doc", "id", n.alias("n"), words.alias("words"))  # texts aren't shuffled
+    slim = docs.select("doc", "id", n.alias("n"), words.alias("words"), *more)  # texts aren't shuffled unless they are asked for
     at = F.sum(F.col("n") + 1).over(Window.partitionBy("doc").orderBy("id")) - F.col("n") - 1
     box = slim.withColumn("at", at).where("n > 0")
     x0, y0 = F.expr(f"72 + at % {ROW}").cast("double"), F.expr(f"60 + 14 * (at div {ROW} % {ROWS}) + n % 11").cast("double")
@@ -42,7 +42,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     high = F.expr("CASE WHEN n % 7 = 0 THEN 1 WHEN n > 800 THEN 120 ELSE 1 + words % 13 END").cast("double")
     return box.select(
         "doc", F.expr(f"at div {ROW * ROWS}").alias("page"), F.col("id").cast("int").alias("id"), F.expr("1 + words % 3").cast("int").alias("parts"),
-        F.expr("n % 3").cast("int").alias("kind"), x0.alias("x0"), (x0 + wide).alias("x1"), y0.alias("y0"), (y0 + high).alias("y1"),
+        F.expr("n % 3").cast("int").alias("kind"), x0.alias("x0"), (x0 + wide).alias("x1"), y0.alias("y0"), (y0 + high).alias("y1"), *more,
     )
 
 
@@ -228,3 +228,17 @@ def words_of_characters(spark: SparkSession, d: str) -> DataFrame:
     y0 = (60 + 14 * (F.col("page_id") % 10) + F.when(F.col("i") % 3 == 2, 0.8).otherwise(0.0)).cast("double")
     chars = urls.select(F.floor(F.col("page_id") / 10).alias("page"), x0.alias("x0"), (x0 + a - 0.8).alias("x1"), y0.alias("y0"), "c", F.concat(F.lit("Prose-"), a).alias("font"))
     return characters.words(checkpointed(chars), "page").select("page", "line", "word", "x0", "text")
+
+
+@query()
+def page_items(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read as items: two sentences in three are prose, the others drawings that read as their first
+    letter, if they have one; four choice letters a page."""
+    all_ = checkpointed(boxes(spark, d, "t"))
+    letter = F.regexp_extract("t", r"([A-Za-z])", 1)
+    drawn = all_.where("kind = 0").select(*KEYS, "id", "x0", "y0", "x1", "y1", "parts", F.nullif(letter, F.lit("")).alias("label"))
+    text = all_.where("kind > 0").select(*KEYS, (F.floor(F.col("y0") / 14) * 14).cast("double").alias("y"), "x0", "x1", F.col("t").alias("text"))
+    pages = all_.select(*KEYS).distinct()
+    letters = pages.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.lit(75.0).alias("x"), F.lit(600.0 + 30 * i).alias("y")) for i, c in enumerate("ABCD")])).alias("l")).select(*KEYS, "l.*")
+    found = items.items(drawn, text, letters, *KEYS)
+    return found["items"].select(*KEYS, F.length("stem").cast("long").alias("stem_length"), F.md5("stem").alias("stem_md5"), "unread")

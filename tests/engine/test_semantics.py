@@ -164,9 +164,6 @@ def test_expressions(spark):
     g = [("1", "glyph", 0.0, 0.0, 5.0, 4.0), ("2", "glyph", 0.0, 6.0, 5.0, 10.0), ("", "bar", -1.0, 4.8, 6.0, 5.2), ("x", "glyph", 8.0, 3.0, 12.0, 8.0)]
     df = spark.createDataFrame([(1, *r) for r in g], "id int, label string, kind string, x0 double, y0 double, x1 double, y1 double")
     assert expressions.decoded_expressions(df, "id").head()["text"] == "(1)/(2)x"
-    words = [(1, 0.0, 0.0, "What"), (1, 5.0, 0.0, "is?"), (1, 0.0, 1.0, "A."), (1, 5.0, 1.0, "one"), (1, 0.0, 2.0, "B."), (1, 5.0, 2.0, "two"), (1, 5.0, 3.0, "more")]
-    got = expressions.item_parts(spark.createDataFrame(words, "item int, x double, y double, text string"), "item").head()
-    assert got["stem"] == "What is?" and [c["text"] for c in got["choices"]] == ["one", "two more"]
     lines = expressions.growing_lines(spark.createDataFrame([(1, 0.0, 5.0), (1, 4.0, 9.0), (1, 8.0, 12.0), (1, 20.0, 22.0)], "id int, y0 double, y1 double"), "id")
     assert sorted(r["line"] for r in lines.collect()) == [0, 0, 0, 1]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators import characters, compare, drawings, glyphs, items
+from gradeloom.operators import characters, compare, drawings, fractions, glyphs, items
 from gradeloom.operators.stored import checkpointed
 from gradeloom.plans.registry import query, with_parts
 
@@ -242,3 +242,16 @@ def page_items(spark: SparkSession, d: str) -> DataFrame:
     letters = pages.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(c).alias("letter"), F.lit(75.0).alias("x"), F.lit(600.0 + 30 * i).alias("y")) for i, c in enumerate("ABCD")])).alias("l")).select(*KEYS, "l.*")
     found = items.items(drawn, text, letters, *KEYS)
     return found["items"].select(*KEYS, F.length("stem").cast("long").alias("stem_length"), F.md5("stem").alias("stem_md5"), "unread")
+
+
+@query(with_parts("said AS (SELECT doc_id AS doc, unnest(p) AS t, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.\\n]') AS p FROM documents))", "n AS (SELECT doc, i, t, length(t) AS n FROM said WHERE length(t) > 0)", "bodies AS (SELECT DISTINCT doc FROM n WHERE n % 4 = 0)") + """SELECT doc, CAST(4 * i AS INTEGER) AS id, CAST(40 * i AS DOUBLE) AS y, t AS text FROM n WHERE n % 4 = 0
+UNION ALL SELECT doc, CAST(4 * i AS INTEGER), 40 * i + 1.5, n || '/' || (n + 1) FROM n JOIN bodies USING (doc) WHERE n % 4 = 1""")
+def folded_fractions(spark: SparkSession, d: str) -> DataFrame:
+    """A line a sentence, of all documents: body type, fractions of the sentence's length, rules that nothing stands above, small type."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.\n]", -1)).alias("i", "t"))
+    n = F.length("t")
+    piece = lambda k, dy, size, text: F.struct((F.col("i") * 4 + k).cast("int").alias("id"), F.lit(10.0).alias("x"), F.lit(30.0).alias("x1"), (F.col("i") * 40.0 + dy).alias("y"), F.lit(size).alias("size"), text.cast("string").alias("text"))
+    rule, above, below = piece(0, 0.0, 9.7, F.lit("___")), piece(1, -6.0, 8.25, n), piece(2, 6.0, 8.25, n + 1)
+    line = F.when(n % 4 == 0, F.array(piece(0, 0.0, 11.0, F.col("t")))).when(n % 4 == 1, F.array(rule, above, below)).when(n % 4 == 2, F.array(rule, below)).otherwise(F.array(above))
+    spans = docs.where(n > 0).select("doc", F.explode(line).alias("s")).select("doc", "s.*")
+    return fractions.folded_fractions(spans, "doc").select("doc", "id", "y", "text")

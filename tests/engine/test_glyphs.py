@@ -91,3 +91,16 @@ def test_calibration(spark):
     df = spark.createDataFrame(ticks, "fig int, axis string, at double, value double").repartition(3)
     got = [tuple(r) for r in G.marked_values(spark.createDataFrame(marks, "fig int, id int, x double, y double"), df, "fig").collect()]
     assert [(f, i, round(x, 9), round(y, 9)) for f, i, x, y in got] == [(1, 7, -2.5, 1.0)]
+
+
+def test_the_query_is_the_loop(spark):
+    import os
+
+    from gradeloom.plans.drawing_queries import observed_shapes
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the driver's tables are not here")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    want = loop([(r["vec_id"], "out", str(r["label"]), [float(x) for x in r["embedding"][:3]]) for r in rows], 0.06)
+    assert {r["place"]: r["cluster"] for r in observed_shapes(spark, d).collect()} == want and len(set(want.values())) < len(want)

@@ -181,3 +181,16 @@ def test_other_keys_and_no_sheets(spark, books, data):
     assert [(r["school"], r["test"]) for r in got["identify"].collect()] == [("x", "t0")]
     none = report.run(cells(spark, {"a": books["a"]}).where("false"), data)
     assert none["status"].count() == 0 and none["items"].count() == 0
+
+
+def test_close_frees_what_a_report_stored(spark, data):
+    import os
+
+    other = report.run(cells(spark, {"b": [["x"]]}), data)
+    made_ = report.run(cells(spark, {"a": [["x"]]}), data)
+    paths = [p.removeprefix("file://") for p in made_.stored]
+    assert len(paths) > 5 and all(map(os.path.isdir, paths))
+    made_.close()
+    assert not any(map(os.path.exists, paths)) and not made_.tables
+    assert [r["usable"] for r in other["status"].collect()] == [False]  # another report's tables stay
+    other.close()

@@ -161,10 +161,6 @@ def plain_markup(x: Column, passes: int = 4) -> Column:
     return F.trim(F.regexp_replace(_entities(x, ENTITIES), r"\s+", " "))
 
 
-def unescaped(x: Column) -> Column:
-    return _entities(x, (*ENTITIES[:-1], *QUOTES, ENTITIES[-1]))
-
-
 def escaped(x: Column) -> Column:
     pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), pairs, x)

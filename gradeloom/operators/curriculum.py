@@ -38,8 +38,11 @@ def prior_grade_items(codes: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def post_test_items(items: DataFrame) -> DataFrame:
-    """Items on standards of an earlier grade, by grade, year and number."""
-    return items.where(F.coalesce("post_test", F.lit(False))).orderBy("grade", "year", "item")
+    """Items on standards of an earlier grade, with that grade (``from_grade``, of the code) and their
+    ``place`` within their own grade by year and number; ties by id. A grade's items are few."""
+    own = items.where(F.coalesce("post_test", F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("grade").orderBy("year", "item", "id"))
+    return own.withColumns({"from_grade": F.regexp_extract("standard", r"^NY-(\d)\.", 1).try_cast("int"), "place": place})
 
 
 def chips(asked: DataFrame, registry: DataFrame, items: DataFrame) -> DataFrame:

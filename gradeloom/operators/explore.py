@@ -72,11 +72,6 @@ def question_keys(mode: str) -> list[Column]:
     return [*first[mode], F.col("year").asc(), F.col("item").asc()]
 
 
-def question_order(df: DataFrame, mode: str) -> DataFrame:
-    """Rows in the order of question_keys."""
-    return df.orderBy(*question_keys(mode))
-
-
 def standard_rollup(registry: DataFrame, items: DataFrame, key: str = "standard") -> DataFrame:
     """Registry rows with their items' figures; those without items stay, with zero counts."""
     agg = items.groupBy(key).agg(

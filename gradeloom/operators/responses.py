@@ -24,11 +24,6 @@ LONGEST_SECTION, LEVELS = 8, (1.0, 4.6)
 PREFIX = "NY-"
 
 
-def one_sheet(cells: DataFrame, path: str = "") -> DataFrame:
-    """The cells (r, c, value) of a single sheet, with its keys."""
-    return cells.withColumns({"path": F.lit(path), "sheet": F.lit(0)})
-
-
 def questions(cells: DataFrame, *keys: str) -> DataFrame:
     """(keys.., head, question, c, code) of the first row with enough different question headers.
 
@@ -136,11 +131,3 @@ def parse(cells: DataFrame, *keys: str) -> Sheets:
     why = F.when(F.col("_head").isNull(), "no row of question headers").when(F.col("_rows").isNull(), "no student rows beneath the question headers")
     status = found.select(*k, why.isNull().alias("usable"), why.alias("why"), F.col("names").isNotNull().alias("identities"))
     return Sheets(tuple(keys), status, asked.select(*k, "question", "code"), students, responses, levels.select(*k))
-
-
-def unpivoted(wide: DataFrame, keys: list[str], pattern: str, name: str = "item", value: str = "value") -> DataFrame:
-    """Columns whose names match ``pattern`` as rows (keys.., item, value)."""
-    import re
-
-    cols = [c for c in wide.columns if re.search(pattern, c)]
-    return wide.select(*keys, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(keys, cols, name, value)

@@ -354,3 +354,12 @@ def item_pages(spark: SparkSession, d: str) -> DataFrame:
     counts = lines.groupBy("doc").agg((F.floor(F.max("i") / 5) + 1).alias("page_count"))
     located = lines.where("n % 10 = 7").select("doc", (F.floor(F.col("i") / 5) + 1).alias("page"))
     return extract.item_pages(located, counts, "doc")
+
+
+@query("""WITH i AS (SELECT p_partkey AS id, 6 + p_partkey % 3 AS grade, 2020 + p_size % 5 AS year, p_size AS item, 5 + p_partkey % 4 AS home FROM part)
+SELECT id, grade, CAST(home AS INTEGER) AS from_grade, CAST(row_number() OVER (PARTITION BY grade ORDER BY year, item, id) AS INTEGER) AS place FROM i WHERE home < grade""")
+def post_test_view(spark: SparkSession, d: str) -> DataFrame:
+    """Items on standards of the grade below, or of an earlier one, in the order that a grade's page lists them."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    items = roles.table(spark, d, "part").select(k.alias("id"), (k % 3 + 6).alias("grade"), (n % 5 + 2020).alias("year"), n.alias("item"), F.concat(F.lit("NY-"), k % 4 + 5, F.lit(".RP."), n).alias("standard"), (k % 4 + 5 < k % 3 + 6).alias("post_test"))
+    return curriculum.post_test_items(items).select("id", "grade", "from_grade", "place")

@@ -58,7 +58,7 @@ def corpus():
 
 
 def brute_quality(rows):
-    """Sketches, quartiles and mixed fences in plain loops."""
+    """Sketches, percentiles and mixed fences in plain loops."""
     def values(r):
         n, chars, symbols, dup, rep = test_quality.brute(r[1])
         bad = n < 50 or rep * 100 > n * 50
@@ -69,9 +69,9 @@ def brute_quality(rows):
         out = {}
         for m in quality.MEASURES:
             xs = sorted(v[m.name] >> (s := max(v[m.name].bit_length() - quality.PRECISION, 0)) << s for v in group)
-            q1, q3 = (next(x for k, x in enumerate(xs, 1) if k * 4 >= len(xs) * q) for q in (1, 3))
-            spread = max(q3 - q1, m.least_spread)
-            out[m.name] = (max(q1 - 3 * spread, 0), q3 + 3 * spread)
+            inner, outer, low = (next(x for k, x in enumerate(xs, 1) if k * 100 >= len(xs) * p) for p in (m.inner, m.outer, 100 - m.outer))
+            reach = m.fence * max(outer - inner, m.resolution)
+            out[m.name] = (max(low - reach, 0), outer + reach)
         return out
 
     measured = [(r, *values(r)) for r in rows]

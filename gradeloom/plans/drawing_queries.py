@@ -38,11 +38,12 @@ def boxes(spark: SparkSession, d: str, *more: str) -> DataFrame:
     at = F.sum(F.col("n") + 1).over(Window.partitionBy("doc").orderBy("id")) - F.col("n") - 1
     box = slim.withColumn("at", at).where("n > 0")
     x0, y0 = F.expr(f"72 + at % {ROW}").cast("double"), F.expr(f"60 + 14 * (at div {ROW} % {ROWS}) + n % 11").cast("double")
-    wide = F.expr(f"CASE WHEN n % 7 = 0 THEN n % 90 ELSE least(n * 0.9D, {ROW} - at % {ROW}) END").cast("double")
+    tenths = F.expr(f"CASE WHEN n % 7 = 0 THEN 10 * (n % 90) ELSE least(9 * n, 10 * ({ROW} - at % {ROW})) END")
+    x1 = (x0 * 10 + tenths) / 10  # rounded once: a sum of rounded parts would miss the boxes that end exactly at a limit
     high = F.expr("CASE WHEN n % 7 = 0 THEN 1 WHEN n > 800 THEN 120 ELSE 1 + words % 13 END").cast("double")
     return box.select(
         "doc", F.expr(f"at div {ROW * ROWS}").alias("page"), F.col("id").cast("int").alias("id"), F.expr("1 + words % 3").cast("int").alias("parts"),
-        F.expr("n % 3").cast("int").alias("kind"), x0.alias("x0"), (x0 + wide).alias("x1"), y0.alias("y0"), (y0 + high).alias("y1"), *more,
+        F.expr("n % 3").cast("int").alias("kind"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), (y0 + high).alias("y1"), *more,
     )
 
 

@@ -182,3 +182,27 @@ def test_no_boxes_and_null_ones(spark):
     odd = spark.createDataFrame([(0, 1, 0.0, 0.0, None, 5.0, 1, True), (0, 2, 5.0, 0.0, 9.0, 5.0, 1, False)], BOX)
     assert D.touching(odd, "page").count() == 0
     assert [r["bar"] for r in D.fraction_bars(odd, "page").collect()] == [False, False]
+
+
+def texts(*docs):
+    """Documents of sentences (characters, words)."""
+    said = lambda n, w: " ".join(["x"] * (w - 1) + ["x" * (n - 2 * (w - 1))])
+    return [(i, ".".join(said(*s) for s in d)) for i, d in enumerate(docs)]
+
+
+def as_sql_has_it(spark, path, name, docs):
+    """A query over documents, and its SQL."""
+    import duckdb
+
+    from gradeloom.plans import registry
+
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    got = registry.queries()[name](spark, str(path))
+    return sorted(tuple(r) for r in got.collect()), sorted(c.sql(registry.oracle_sql()[name]).fetchall())
+
+
+def test_brackets_that_end_at_the_limit(spark, tmp_path):
+    got, want = as_sql_has_it(spark, tmp_path, "bracketed_boxes", texts([(645, 1), (366, 61), (350, 1), (110, 1), (40, 6)]))
+    assert got == want and any(r[-1] for r in got)

@@ -206,3 +206,8 @@ def as_sql_has_it(spark, path, name, docs):
 def test_brackets_that_end_at_the_limit(spark, tmp_path):
     got, want = as_sql_has_it(spark, tmp_path, "bracketed_boxes", texts([(645, 1), (366, 61), (350, 1), (110, 1), (40, 6)]))
     assert got == want and any(r[-1] for r in got)
+
+
+def test_fraction_bars_beside_the_limit(spark, tmp_path):
+    got, want = as_sql_has_it(spark, tmp_path, "fraction_bars", texts([(11053, 1), (218, 36), (319, 48), (64, 14), (412, 1), (138, 21)]))
+    assert got == want and any(r[-1] for r in got)

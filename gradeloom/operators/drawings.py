@@ -211,8 +211,8 @@ def overbars(boxes: DataFrame, *keys: str) -> DataFrame:
     group = [*keys, "id", "x0", "x1", "y1"]
     seen = met.groupBy(*group).agg(F.bool_or("_above").alias("_a"), *[f(F.when(covered, F.col(c))).alias(n) for n, f, c in (("_gap", F.min, "p0"), ("_lo", F.min, "o0"), ("_hi", F.max, "o1"))])
     gap, span = F.col("_gap") - F.col("y1"), F.col("_hi") - F.col("_lo")
-    share = (F.least(x1, F.col("_hi")) - F.greatest(x0, F.col("_lo"))) / F.when(span > 0, span)
-    ok = seen.select(*keys, "id", (~F.col("_a") & (gap >= 0) & (gap < OVERBAR_GAP) & (share > OVERBAR_SHARE)).alias("_ok"))
+    wide = F.least(x1, F.col("_hi")) - F.greatest(x0, F.col("_lo")) > OVERBAR_SHARE * span
+    ok = seen.select(*keys, "id", (~F.col("_a") & (gap >= 0) & (gap < OVERBAR_GAP) & (span > 0) & wide).alias("_ok"))
     return boxes.join(ok, [*keys, "id"], "left").withColumn("overbar", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 

@@ -211,3 +211,16 @@ def test_brackets_that_end_at_the_limit(spark, tmp_path):
 def test_fraction_bars_beside_the_limit(spark, tmp_path):
     got, want = as_sql_has_it(spark, tmp_path, "fraction_bars", texts([(11053, 1), (218, 36), (319, 48), (64, 14), (412, 1), (138, 21)]))
     assert got == want and any(r[-1] for r in got)
+
+
+def test_overbars_at_the_limit(spark, tmp_path):
+    got, want = as_sql_has_it(spark, tmp_path, "overbars", texts([(6618, 1), (153, 27), (286, 1), (255, 47)]))
+    assert got == want
+
+
+def test_an_overbar_of_just_the_share(spark):
+    """Of 87 it covers 52.2, rounded to a bit more than 0.6 * 87 but not to more than the share."""
+    rows = [(0, 1, 72.0, 50.0, 124.2, 51.0, 1, True), (0, 2, 72.0, 53.0, 159.0, 60.0, 1, False), (1, 1, 72.0, 50.0, 125.7, 51.0, 1, True), (1, 2, 72.0, 53.0, 161.5, 60.0, 1, False)]
+    got = {r["page"]: r["overbar"] for r in D.overbars(spark.createDataFrame(rows, BOX), "page").where("id = 1").collect()}
+    assert got == {0: 124.2 - 72 > 0.6 * (159.0 - 72), 1: 125.7 - 72 > 0.6 * (161.5 - 72)}
+    assert got != {0: (124.2 - 72) / (159.0 - 72) > 0.6, 1: (125.7 - 72) / (161.5 - 72) > 0.6}

@@ -93,8 +93,9 @@ LONG_TEXTS = (
 )
 LONGEST_TEXT = 300
 UNCAPPED = ("meta", "blueprint", "curriculum.meta")
-IDENTIFIER = r"\b\d{9}\b"
-SURNAME_FORENAME = r"\b[A-Z]{2,}, ?[A-Z]{2,}\b"
+#: Words end at all but ASCII letters, digits and underscores, whatever a JVM's ``\b`` is: an accented letter hides nothing.
+IDENTIFIER = r"(?<![0-9A-Za-z_])\d{9}(?![0-9A-Za-z_])"
+SURNAME_FORENAME = r"(?<![0-9A-Za-z_])[A-Z]{2,}, ?[A-Z]{2,}(?![0-9A-Za-z_])"
 #: Codes of sections are no longer than this.
 LONGEST_SECTION = 8
 

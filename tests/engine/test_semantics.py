@@ -179,3 +179,16 @@ def test_facets(spark):
     ids = lambda d: sorted(r["id"] for r in d.collect())
     assert ids(explore.faceted(df, units=["3"])) == [1, 4] and ids(explore.faceted(df, units=[None])) == [2, 3]
     assert ids(explore.faceted(df, units=["4", None])) == [2, 3, 4] and ids(explore.faceted(df, units=[])) == [1, 2, 3, 4]
+
+
+def test_privacy_beside_accented_letters(spark):
+    """Words end as in SQL, where only ASCII letters make words."""
+    import duckdb
+
+    texts = ["CIÓNTAJA,HMSAO", "Ó123456789", "123456789é", "DOE, JANEß", "aDOE, JANE", "_DOE, JANE", "DOE, JANE_", "1234567890", "x123456789", "DOE, JANEx", "(123456789)", "٣123456789"]
+    found = {r["kind"]: r["n"] for r in quality.identity_findings(spark.createDataFrame([(t,) for t in texts], "t string")).collect()}
+    c = duckdb.connect()
+    c.execute("create table v(t varchar)")
+    c.executemany("insert into v values (?)", [(t,) for t in texts])
+    n = lambda p: len(c.execute("select t from v where regexp_matches(t, ?)", [p]).fetchall())
+    assert found == {"identifier": n(r"\b\d{9}\b"), "surname-forename": n(r"\b[A-Z]{2,}, ?[A-Z]{2,}\b")} == {"identifier": 4, "surname-forename": 2}

@@ -107,6 +107,7 @@ def header_bands(words: DataFrame, columns: tuple[tuple[str, tuple[str, ...], bo
     headings; borders lie halfway between their centres; ``stats`` is what lies right of them.
 
     columns: (name, accepted headings, required). Words within 200 of the last heading belong to it.
+    Pages are merged: what is made of a small file may be large, and would be sent to the driver.
     """
     group = [*keys, "page"]
     rows = words.where(F.trim("text") != "").withColumns({"y": F.round("y0", 1), "cx": (F.col("x0") + F.col("x1")) / 2})
@@ -116,15 +117,15 @@ def header_bands(words: DataFrame, columns: tuple[tuple[str, tuple[str, ...], bo
     heads = rows.withColumn("name", name).where("name IS NOT NULL").groupBy(*group, "y", "name").agg(F.min_by(F.struct("cx", "x0", "x1"), "x0").alias("h"))
     needed = [n for n, _, required in columns if required]
     full = heads.groupBy(*group, "y").agg(F.count_if(F.col("name").isin(*needed)).alias("_n")).where(F.col("_n") == len(needed)).groupBy(*group).agg(F.min("y").alias("header_y"))
-    at = heads.join(full, group).where(F.col("y") == F.col("header_y"))
+    at = heads.join(full.hint("merge"), group).where(F.col("y") == F.col("header_y"))
     last = at.groupBy(*group, "header_y").agg(F.max_by("h.x0", "h.cx").alias("_last"))
-    right = rows.join(last, group).where((F.col("y") == F.col("header_y")) & (F.col("x0") <= F.col("_last") + 200)).groupBy(*group).agg(F.max("x1").alias("_right"))
+    right = rows.join(last.hint("merge"), group).where((F.col("y") == F.col("header_y")) & (F.col("x0") <= F.col("_last") + 200)).groupBy(*group).agg(F.max("x1").alias("_right"))
     w = _w(*group).orderBy("h.cx")
     cx = F.col("h.cx")
-    bands = at.join(right, group).select(
+    bands = at.join(right.hint("merge"), group).select(
         *group, "header_y", "name", F.coalesce((F.lag("h.cx").over(w) + cx) / 2, F.lit(0.0)).alias("lo"), F.coalesce((F.lead("h.cx").over(w) + cx) / 2, F.col("_right") + 8.0).alias("hi")
     )
-    stats = last.join(right, group).select(*group, "header_y", F.lit("stats").alias("name"), (F.col("_right") + 8.0).alias("lo"), F.lit(10_000.0).alias("hi"))
+    stats = last.join(right.hint("merge"), group).select(*group, "header_y", F.lit("stats").alias("name"), (F.col("_right") + 8.0).alias("lo"), F.lit(10_000.0).alias("hi"))
     return bands.unionByName(stats)
 
 

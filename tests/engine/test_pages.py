@@ -196,3 +196,11 @@ def test_regions_grow_over_labels(spark):
     assert [r["text"] for r in tables.in_region(tables.words(words), x=(0.0, 50.0)).collect()] == ["a"]
     pages = spark.createDataFrame([(3, "Map to it"), (4, "7.RP.1"), (4, "7.RP.2"), (4, "7.RP.3"), (9, "Map to it")], "page int, text string")
     assert sorted(r["page"] for r in tables.table_pages(pages, "Map to it", r"^\d\.RP").collect()) == [3, 4]
+
+
+def test_header_bands_go_past_the_driver(spark):
+    """Words made of a small file may be many: no side of a join is sent whole."""
+    from gradeloom.plans.registry import queries
+
+    df = queries()["header_bands"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -106,7 +106,7 @@ DOT_LEAST, DOT_MOST, ROUND, ON_GRID = 2.5, 8.0, 1.2, 0.12
 
 def _grid(at: DataFrame, step: DataFrame, *keys: str) -> DataFrame:
     """(keys.., first, last): the longest run of lines (at) one step apart; of equal ones the first."""
-    steps = at.join(step, list(keys))
+    steps = at.join(step.hint("merge"), list(keys))
     w = Window.partitionBy(*keys).orderBy("at")
     new = F.when(F.abs(F.col("at") - F.lag("at").over(w) - F.col("step")) < STEADY, 0).otherwise(1)
     runs = steps.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -116,7 +116,7 @@ def _grid(at: DataFrame, step: DataFrame, *keys: str) -> DataFrame:
 
 def _axis(lines: DataFrame, grid: DataFrame, step: DataFrame, *keys: str) -> DataFrame:
     """(keys.., axis): the longest line in the plot's area, if it is clearly longer than the next one."""
-    near = lines.join(grid, list(keys)).join(step, list(keys)).where("at >= first - 2 * step AND at <= last + 2 * step")
+    near = lines.join(grid.hint("merge"), list(keys)).join(step.hint("merge"), list(keys)).where("at >= first - 2 * step AND at <= last + 2 * step")
     whole = near.groupBy(*keys, "at").agg((F.max("hi") - F.min("lo")).alias("long"))
     w = Window.partitionBy(*keys).orderBy(F.desc("long"), "at")
     ranked = whole.withColumns({"_r": F.row_number().over(w), "_next": F.coalesce(F.lead("long").over(w), F.lit(0.0))})
@@ -128,7 +128,8 @@ def plotted_points(drawn: DataFrame, *keys: str) -> DataFrame:
 
     drawn: keys.., x0, y0, x1, y1, filled. A figure without a steady grid, or with an axis that
     doesn't stand out (no negative quadrant), has no points rather than wrong ones. Round marks
-    beside the crossings of the grid are parts of labels.
+    beside the crossings of the grid are parts of labels. Figures are merged: what is made of a
+    small table may be large, and would be sent to the driver.
     """
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     line = lambda c, lo, hi, a, b: (F.round(F.col(a) + (F.col(b) - F.col(a)) / 2, 1).alias(c), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
@@ -140,13 +141,14 @@ def plotted_points(drawn: DataFrame, *keys: str) -> DataFrame:
     count = gaps.groupBy(*keys, "step").agg(F.count("step").alias("_n"), F.min("at").alias("_at"))
     lines = gaps.groupBy(*keys).agg(F.count("*").alias("_lines"))
     common = count.where("step IS NOT NULL").groupBy(*keys).agg(F.max_by("step", F.struct(F.col("_n"), -F.col("_at"))).alias("step"))
-    step = checkpointed(common.join(lines, list(keys)).where((F.col("step") >= GRID_STEP) & (F.col("_lines") >= GRID_LINES)).select(*keys, "step"))
+    step = checkpointed(common.join(lines.hint("merge"), list(keys)).where((F.col("step") >= GRID_STEP) & (F.col("_lines") >= GRID_LINES)).select(*keys, "step"))
     gx, gy = _grid(vx, step, *keys), _grid(hy, step, *keys)
-    frame = step.join(_axis(upright, gx, step, *keys).withColumnRenamed("axis", "_y"), list(keys)).join(_axis(level, gy, step, *keys).withColumnRenamed("axis", "_x"), list(keys))
-    frame = frame.join(gx.toDF(*keys, "_l", "_r"), list(keys)).join(gy.toDF(*keys, "_t", "_b"), list(keys))
+    frame = step
+    for part in (_axis(upright, gx, step, *keys).withColumnRenamed("axis", "_y"), _axis(level, gy, step, *keys).withColumnRenamed("axis", "_x"), gx.toDF(*keys, "_l", "_r"), gy.toDF(*keys, "_t", "_b")):
+        frame = frame.join(part.hint("merge"), list(keys))
     size = lambda c: (c > DOT_LEAST) & (c < DOT_MOST)
     dots = drawn.where(F.col("filled") & size(wide) & size(high) & (F.abs(wide - high) < ROUND)).select(*keys, (F.col("x0") + wide / 2).alias("_dx"), (F.col("y0") + high / 2).alias("_dy"))
-    met = dots.join(frame, list(keys)).where("_dx BETWEEN _l - step AND _r + step AND _dy BETWEEN _t - step AND _b + step")
+    met = dots.join(frame.hint("merge"), list(keys)).where("_dx BETWEEN _l - step AND _r + step AND _dy BETWEEN _t - step AND _b + step")
     met = met.withColumns({"_px": (F.col("_dx") - F.col("_y")) / F.col("step"), "_py": (F.col("_x") - F.col("_dy")) / F.col("step")})
     on = [F.abs(F.col(c) - F.round(c)) < ON_GRID for c in ("_px", "_py")]
     return met.where(on[0] & on[1]).select(*keys, F.round("_px").cast("int").alias("px"), F.round("_py").cast("int").alias("py")).distinct()

@@ -104,3 +104,9 @@ def test_the_query_is_the_loop(spark):
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
     want = loop([(r["vec_id"], "out", str(r["label"]), [float(x) for x in r["embedding"][:3]]) for r in rows], 0.06)
     assert {r["place"]: r["cluster"] for r in observed_shapes(spark, d).collect()} == want and len(set(want.values())) < len(want)
+
+
+def test_plotted_points_go_past_the_driver(spark):
+    """Figures made of a small table may be many: no side of a join is sent whole."""
+    df = G.plotted_points(spark.createDataFrame([(1, 0.0, 0.0, 0.4, 40.0, False)], DRAWN), "fig")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -180,10 +180,11 @@ def _beside(rules: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
 
 def fraction_bars(boxes: DataFrame, *keys: str) -> DataFrame:
     """boxes with ``bar``: flat ones with something above and something below them; decimal points, minus
-    signs and answer blanks have one side at most."""
+    signs and answer blanks have one side at most. Boxes that share their keys and id are judged each by its own sides."""
+    own = [*keys, "id", "x0", "y0", "x1", "y1"]
     flat = (_height() < RULE_H) & (_width() > BAR_W) & (_width() < RULE_W)
-    sides = _beside(boxes.where(flat), boxes, *keys).groupBy(*keys, "id").agg((F.bool_or("_above") & F.bool_or("_below")).alias("_bar"))
-    return boxes.join(sides, [*keys, "id"], "left").withColumn("bar", F.coalesce("_bar", F.lit(False))).drop("_bar")
+    sides = _beside(boxes.where(flat), boxes, *keys).groupBy(*own).agg((F.bool_or("_above") & F.bool_or("_below")).alias("_bar"))
+    return boxes.join(sides, own, "left").withColumn("bar", F.coalesce("_bar", F.lit(False))).drop("_bar")
 
 
 def bar_pieces(boxes: DataFrame, bars: DataFrame, *keys: str) -> DataFrame:

@@ -213,6 +213,15 @@ def test_fraction_bars_beside_the_limit(spark, tmp_path):
     assert got == want and any(r[-1] for r in got)
 
 
+def test_fraction_bars_of_repeated_ids(spark):
+    """Boxes of one page and id: neither takes part in the other's verdict."""
+    at = [(0, 100.0, 50.0, 120.0, 51.0), (1, 105.0, 40.0, 112.0, 48.0), (2, 105.0, 53.0, 112.0, 61.0)]  # a bar, above, below
+    apart = [(0, 300.0, 50.0, 320.0, 51.0), (0, 300.0, 80.0, 320.0, 110.0), (3, 305.0, 40.0, 312.0, 48.0)]  # the same id: one side, not flat
+    boxes = spark.createDataFrame([(1, *b) for b in at + apart], "page long, id int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r["id"], r["x0"], r["y0"]) for r in D.fraction_bars(boxes, "page").where("bar").collect())
+    assert got == [(0, 100.0, 50.0)]
+
+
 def test_overbars_at_the_limit(spark, tmp_path):
     got, want = as_sql_has_it(spark, tmp_path, "overbars", texts([(6618, 1), (153, 27), (286, 1), (255, 47)]))
     assert got == want

@@ -7,8 +7,8 @@ on together. Small buckets are compared by brute force over the tokens. A pair a
 threshold survives a run with a known probability, so RUNS runs reach the target
 recall; a bucket that doesn't fall apart is compared in blocks, never cut.
 
-The candidate pairs only serve to find components: every bucket yields a forest, not
-its pairs. All pairs within a component are then verified on the whole shingle sets, in
+The candidate pairs only serve to find components: what a task finds leaves it as stars
+of the components within the task, not as pairs. All pairs within a component are then verified on the whole shingle sets, in
 blocks, and every text gets its exact number of links. Copies are counted, never
 expanded.
 """
@@ -222,25 +222,44 @@ def _edges(a: list, b: list, levels: list | None = None) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "levels": pd.Series(levels or [0] * len(a), dtype="int32")})
 
 
+def _star_edges(found: list[tuple]) -> pd.DataFrame:
+    edges = stars(found)
+    return _edges([a for a, _ in edges], [b for _, b in edges])
+
+
+def stars(edges: list[tuple]) -> list[tuple]:
+    """Edges of the same components, each from the least member to another one."""
+    up: dict = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for x, y in edges:
+        x, y = sorted((root(x), root(y)))
+        up[y] = x
+    return [(r, x) for x in up if (r := root(x)) != x]
+
+
 def bucket_edges(buckets: DataFrame, least: int, levels: int) -> DataFrame:
-    """Candidate edges of buckets (path, text_id, sig) of at most LOCAL texts, after ``levels`` splits."""
+    """Candidate edges of buckets (path, text_id, sig) of at most LOCAL texts, after ``levels`` splits, as stars."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = [], []
+        found: list[tuple] = []
         for group in _runs(parts, ["path"]):
             sig = _sigs(group["sig"])
             ids = group["text_id"].tolist()
             reached = np.zeros(len(ids), dtype=np.int32)
             for i, j in split(int(group["path"].iloc[0]) & (1 << 64) - 1, sig, least, 0, reached, np.arange(len(ids))):
-                a.append(ids[i])
-                b.append(ids[j])
+                found.append((ids[i], ids[j]))
             deep = np.flatnonzero(reached + levels > SHALLOW) if len(ids) > 1 else []
             if len(deep):
                 yield _edges([ids[i] for i in deep], [None] * len(deep), (reached[deep] + levels).tolist())
-            if len(a) > 50_000:
-                yield _edges(a, b)
-                a, b = [], []
-        yield _edges(a, b)
+            if len(found) > 50_000:
+                yield _star_edges(found)
+                found = []
+        yield _star_edges(found)
 
     return _grouped(buckets, ["path"], work, EDGES)
 
@@ -255,8 +274,7 @@ def block_edges(buckets: DataFrame, least: int) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs(parts, ["path", "x", "y"]):
             ids = group["text_id"].tolist()
-            edges = forest(_sigs(group["sig"]), least)
-            yield _edges([ids[i] for i, _ in edges], [ids[j] for _, j in edges])
+            yield _star_edges([(ids[i], ids[j]) for i, j in forest(_sigs(group["sig"]), least)])
 
     return _grouped(pairs, ["path", "x", "y"], work, EDGES)
 
@@ -319,12 +337,12 @@ def run_edges(sigs: DataFrame, join: Join, done: int, runs: int) -> list[DataFra
         sizes = saved(paths.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "buckets")
         alive = paths.join(sizes, F.col("path") == F.col("_p")).select("path", "text_id", "_n")
         with_sig = lambda rows: rows.join(sigs, "text_id").select("path", "text_id", "sig")
-        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL)), least, level + 1).distinct(), "candidates"))
+        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL)), least, level + 1), "candidates"))
         large = alive.where(F.col("_n") > LOCAL)
         if sizes.where(F.col("_n") > LOCAL).isEmpty():
             break
         if level == LEVELS - 1:
-            found.append(saved(block_edges(with_sig(large), least).distinct(), "candidates"))
+            found.append(saved(block_edges(with_sig(large), least), "candidates"))
             if LEVELS > SHALLOW:
                 found.append(saved(large.select(F.col("text_id").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(LEVELS).alias("levels")).distinct(), "candidates"))
         else:
@@ -393,8 +411,8 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links, texts) from stored rows (comp, text_id, copies, n, text).
 
     A row with b null counts linked documents (links, by their copies) and texts of a; the
-    counts of a text's rows add up. A row with b is an edge of a spanning forest. Texts are
-    compared whole; a similarity that ties with the threshold is a link; a text that comes
+    counts of a text's rows add up. The rows with b are stars of the components that the links of
+    a task form. Texts are compared whole; a similarity that ties with the threshold is a link; a text that comes
     twice counts once; no members give no rows.
     """
     sizes = members.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("_t"), F.sum("n").alias("_s"))
@@ -406,6 +424,14 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         out: list[tuple] = []
+        edges: list[tuple] = []
+
+        def taken() -> pd.DataFrame:
+            rows = out + [(a, b, 0, 0) for a, b in stars(edges)]
+            out.clear()
+            edges.clear()
+            return pd.DataFrame(rows, columns=["a", "b", "links", "texts"])
+
         for group in _runs(parts, ["comp", "x", "y"]):
             group = group.drop_duplicates("text_id")
             sets = [hasher(t) for t in group["text"]]
@@ -417,11 +443,10 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             ids = group["text_id"].tolist()
             links = match @ group["copies"].to_numpy().astype(np.int64)
             out += [(i, None, int(n), int(t)) for i, n, t in zip(ids, links, match.sum(axis=1), strict=True) if t]
-            out += [(ids[i], ids[j], 0, 0) for i, j in _spanning(match)]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b", "links", "texts"])
-                out = []
-        yield pd.DataFrame(out, columns=["a", "b", "links", "texts"])
+            edges += [(ids[i], ids[j]) for i, j in _spanning(match)]
+            if len(out) + len(edges) > 50_000:
+                yield taken()
+        yield taken()
 
     return _grouped(pairs, ["comp", "x", "y"], work, "a binary, b binary, links long, texts long")
 

@@ -177,3 +177,23 @@ def test_the_sieve_lets_all_members_pass(spark, monkeypatch):
     some = J.sieved(rows, rows.where("id % 50 = 0").select("text_id"))
     ids = {r["id"] for r in some.collect()}
     assert {i for i in range(0, 5000, 50)} <= ids and len(ids) < 1200 and some.columns == rows.columns
+
+
+def test_stars_keep_components():
+    rng = random.Random(11)
+    edges = [(b"%03d" % rng.randrange(300), b"%03d" % rng.randrange(300)) for _ in range(220)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sorted(J.stars(edges)) == sorted((r, x) for x, r in label.items() if r != x)
+    assert J.stars([]) == []
+
+
+def test_stars_are_told_without_another_round(spark, monkeypatch):
+    stored, saved = [], C.saved
+    monkeypatch.setattr(C, "saved", lambda df, name: stored.append(name) or saved(df, name))
+    star = [(1, i) for i in range(2, 40)] + [(50, 51)]
+    got = {r["id"]: r["root"] for r in C.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {1: 1, 50: 50} | {b: a for a, b in star}
+    assert stored == ["edges", "least"]

@@ -197,3 +197,15 @@ def test_stars_are_told_without_another_round(spark, monkeypatch):
     got = {r["id"]: r["root"] for r in C.components(spark.createDataFrame(star, "a long, b long")).collect()}
     assert got == {1: 1, 50: 50} | {b: a for a, b in star}
     assert stored == ["edges", "least"]
+
+
+def test_texts_without_a_verdict_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(17)
+    words = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(400)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(words)] + [(1000 + i, words[i]) for i in range(9)] + [(4, words[4])] * 2 + [(None, words[5]), (None, "alone here"), (7, None)]
+    seen, sifted = [], J.sifted
+    monkeypatch.setattr(J, "sifted", lambda *a: seen.append(sifted(*a)) or seen[-1])
+    kept = J.one_per_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(i, t) for i, t in enumerate(words)] + [(None, "alone here"), (7, None)]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+    assert 10 <= seen[-1].where("_maybe").count() < 30 and seen[-1].count() == len(rows)

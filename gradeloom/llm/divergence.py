@@ -149,15 +149,25 @@ def _add(tries: dict[str, Trie], batch: pa.RecordBatch) -> None:
     lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
     langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
     n = max(len(words), 1)
-    once = np.unique(text * n + word)  # a document's terms, each once
+    once = np.sort(text * n + word)
+    once = once[np.diff(once, prepend=-1) > 0]  # a document's terms, each once
     found, documents = np.unique(lang.indices.to_numpy().astype(np.int64)[once // n] * n + once % n, return_counts=True)
-    spelt = pc.cast(words, pa.binary()).to_pylist()
-    order = sorted(range(len(found)), key=lambda i: spelt[found[i] % n])  # neighbours in a trie after each other
+    spelt = pc.cast(words, pa.binary())
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[pc.sort_indices(spelt).to_numpy()] = np.arange(len(words))
+    spelt = spelt.to_pylist()
     leaves: list[Leaf] = [None] * len(found)  # type: ignore[list-item]
-    numbers, places = documents.tolist(), found.tolist()
-    for i in order:
-        leaf = leaves[i] = tries.setdefault(langs[places[i] // n], Trie()).leaf(spelt[places[i] % n])
-        leaf.documents += numbers[i]
+    for k, name in enumerate(langs):
+        lo, hi = np.searchsorted(found, (k * n, k * n + n)).tolist()
+        if lo == hi:
+            continue
+        trie = tries.setdefault(name, Trie())
+        known, made = trie.leaves.get, trie.leaf
+        own = found[lo:hi] - k * n
+        order = np.argsort(rank[own])  # neighbours in a trie after each other
+        for i, w, number in zip((order + lo).tolist(), own[order].tolist(), documents[lo:hi][order].tolist(), strict=True):
+            leaf = leaves[i] = known(spelt[w]) or made(spelt[w])
+            leaf.documents += number
     group = lang.indices.to_numpy().astype(np.int64) * len(sources) + source.indices.to_numpy()
     cells, counts = np.unique(group[text] * n + word, return_counts=True)
     group, word = cells // n, cells % n

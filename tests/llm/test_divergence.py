@@ -102,3 +102,17 @@ def test_shares_are_exact_beyond_longs():
 
     big = np.array([[5 * 10**11, 3]])
     assert D.shares(big, 10**12).tolist() == [[1 + (5 * 10**11 + 2) * 10**9 // 10**12, 1 + 5 * 10**9 // 10**12]]
+
+
+def test_terms_are_found_without_sorting_by_a_key(monkeypatch):
+    """Terms are put in order as arrays: no comparison of theirs runs in Python."""
+    import builtins
+
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"lang": ["de", "en", "de"], "source": ["a", "b", "b"], "text": ["Zwei eins zwei", "one two", "éins zwei"]})
+    monkeypatch.setattr(D, "sorted", lambda x, key=None, **more: pytest.fail("a key") if key else builtins.sorted(x, **more), raising=False)
+    tries = {}
+    D._add(tries, rows)
+    got = {k: [(t.decode(), leaf.documents, leaf.sources) for t, leaf in trie.walk()] for k, trie in tries.items()}
+    assert got == {"de": [("eins", 1, {"a": 1}), ("zwei", 2, {"a": 2, "b": 1}), ("éins", 1, {"b": 1})], "en": [("one", 1, {"b": 1}), ("two", 1, {"b": 1})]}

@@ -40,7 +40,7 @@ SHALLOW = 3
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 #: Bytes of words and their hashes that a task remembers.
 MEMORY = 48 << 20
-#: Bits of the filter that spares texts of no component the shuffle: 64 bits a row, it is the
+#: Bits of the filter that spares rows without a partner the shuffle: 64 bits a row, it is the
 #: bound of what is broadcast. With more members than bits it lets more texts pass, never fewer.
 FILTER_BITS = 1 << 25
 
@@ -197,8 +197,14 @@ def _runs(parts: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _sigs(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, TOKENS)
+def _sigs(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, TOKENS)
+
+
+def halved(sig: str) -> F.Column:
+    """The lower 16 bits of every token, as bytes: what is compared within a bucket. Equal tokens
+    stay equal, so no pair is lost; different ones become equal once in 65,536 times."""
+    return F.unhex(F.regexp_replace(F.hex(sig), "(.{4}).{4}", "$1"))
 
 
 def _mapped(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
@@ -243,12 +249,12 @@ def stars(edges: list[tuple]) -> list[tuple]:
 
 
 def bucket_edges(buckets: DataFrame, least: int, levels: int) -> DataFrame:
-    """Candidate edges of buckets (path, text_id, sig) of at most LOCAL texts, after ``levels`` splits, as stars."""
+    """Candidate edges of buckets (path, text_id, halved sig) of at most LOCAL texts, after ``levels`` splits, as stars."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
         for group in _runs(parts, ["path"]):
-            sig = _sigs(group["sig"])
+            sig = _sigs(group["sig"], np.uint16)
             ids = group["text_id"].tolist()
             reached = np.zeros(len(ids), dtype=np.int32)
             for i, j in split(int(group["path"].iloc[0]) & (1 << 64) - 1, sig, least, 0, reached, np.arange(len(ids))):
@@ -274,7 +280,7 @@ def block_edges(buckets: DataFrame, least: int) -> DataFrame:
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs(parts, ["path", "x", "y"]):
             ids = group["text_id"].tolist()
-            yield _star_edges([(ids[i], ids[j]) for i, j in forest(_sigs(group["sig"]), least)])
+            yield _star_edges([(ids[i], ids[j]) for i, j in forest(_sigs(group["sig"], np.uint16), least)])
 
     return _grouped(pairs, ["path", "x", "y"], work, EDGES)
 
@@ -298,7 +304,8 @@ def candidate_edges(sigs: DataFrame, join: Join) -> DataFrame:
             break
         levels = max(levels, most or 0)
         if done == 0:
-            texts = saved(deep.select(F.col("a").alias("text_id")).distinct().join(sigs, "text_id"), "deep")
+            ids = saved(deep.select(F.col("a").alias("text_id")).distinct(), "deep")
+            texts = saved(ids.join(sieved(sigs, ids), "text_id"), "deep")
         done, runs = runs, join.runs_at(levels)
     out = found[0]
     for x in found[1:]:
@@ -331,22 +338,26 @@ def run_edges(sigs: DataFrame, join: Join, done: int, runs: int) -> list[DataFra
             if out_path:
                 yield pd.DataFrame({"path": np.concatenate(out_path), "text_id": df["text_id"].to_numpy()[np.concatenate(out_row)]})
 
+    def with_sig(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+        return rows.join(sieved(sigs, rows), "text_id").select("path", "text_id", "sig")
+
     found = []
+    halves = sigs.select("text_id", halved("sig").alias("sig"))
     paths = saved(_mapped(sigs, first, "path long, text_id binary"), "paths")
     for level in range(LEVELS):
         sizes = saved(paths.groupBy(F.col("path").alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "buckets")
-        alive = paths.join(sizes, F.col("path") == F.col("_p")).select("path", "text_id", "_n")
-        with_sig = lambda rows: rows.join(sigs, "text_id").select("path", "text_id", "sig")
-        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL)), least, level + 1), "candidates"))
+        shared = sieved(paths, sizes.select(F.col("_p").alias("path")), "path")
+        alive = saved(shared.join(sizes, F.col("path") == F.col("_p")).select("path", "text_id", "_n"), "alive")
+        found.append(saved(bucket_edges(with_sig(alive.where(F.col("_n") <= LOCAL), halves), least, level + 1), "candidates"))
         large = alive.where(F.col("_n") > LOCAL)
         if sizes.where(F.col("_n") > LOCAL).isEmpty():
             break
         if level == LEVELS - 1:
-            found.append(saved(block_edges(with_sig(large), least), "candidates"))
+            found.append(saved(block_edges(with_sig(large, halves), least), "candidates"))
             if LEVELS > SHALLOW:
                 found.append(saved(large.select(F.col("text_id").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(LEVELS).alias("levels")).distinct(), "candidates"))
         else:
-            paths = saved(_mapped(with_sig(large), deeper, "path long, text_id binary"), "paths")
+            paths = saved(_mapped(with_sig(large, sigs), deeper, "path long, text_id binary"), "paths")
     return found
 
 
@@ -407,18 +418,23 @@ def _spanning(match: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """``members`` (comp, n, and the text's id ``_id``) with the number of blocks of their component and their own."""
+    sizes = members.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("_t"), F.sum("n").alias("_s"))
+    blocks = F.greatest(F.ceil(F.col("_t") / BLOCK_TEXTS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
+    sized = members.join(sizes, F.col("comp") == F.col("_c")).withColumn("_blocks", blocks)
+    return sized.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).drop("_c", "_t", "_s")
+
+
 def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links, texts) from stored rows (comp, text_id, copies, n, text).
+    """(a, b, links, texts) from rows (comp, _blocks, block, text_id, copies, text).
 
     A row with b null counts linked documents (links, by their copies) and texts of a; the
     counts of a text's rows add up. The rows with b are stars of the components that the links of
     a task form. Texts are compared whole; a similarity that ties with the threshold is a link; a text that comes
     twice counts once; no members give no rows.
     """
-    sizes = members.groupBy(F.col("comp").alias("_c")).agg(F.count("*").alias("_t"), F.sum("n").alias("_s"))
-    blocks = F.greatest(F.ceil(F.col("_t") / BLOCK_TEXTS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(sizes, F.col("comp") == F.col("_c")).withColumn("_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("_blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     pairs = met.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "text_id", "copies", "text")
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -489,9 +505,9 @@ def sifted(rows: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
     return met.select(*rows.columns, has.alias("_maybe"))
 
 
-def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` that may have a text_id of ``ids``: all that have one, and few others."""
-    return sifted(rows, ids, "text_id").where("_maybe").drop("_maybe")
+def sieved(rows: DataFrame, ids: DataFrame, key: str = "text_id") -> DataFrame:
+    """``rows`` that may have a ``key`` of ``ids``: all that have one, and few others."""
+    return sifted(rows, ids, key).where("_maybe").drop("_maybe")
 
 
 def text_classes(docs: DataFrame, join: Join) -> DataFrame:
@@ -509,10 +525,12 @@ def text_classes(docs: DataFrame, join: Join) -> DataFrame:
     # members grow with the corpus, so they are never broadcast
     wanted = comps.select(F.col("id").alias("text_id"), F.col("root").alias("comp")).join(texts, "text_id").join(sigs.select("text_id", "n"), "text_id")
     wanted = saved(wanted.select(F.col("text_id").alias("_id"), "comp", "first", "copies", "n"), "wanted")
+    # blocks are dealt before the texts come, so that these are shuffled only by id and by block
+    wanted = saved(dealt(wanted), "wanted")
     whole = sieved(docs.select("doc_id", "text", _text_id().alias("text_id")), wanted.select(F.col("_id").alias("text_id")))
     members = whole.join(wanted.hint("merge"), (F.col("text_id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("first")))
     # repeated rows (equal id and text) would bring a text twice
-    members = members.select("comp", "text_id", "copies", "n", "text")
+    members = members.select("comp", "_blocks", "block", "text_id", "copies", "text")
     checked = saved(verified(members, join.threshold), "verified")
     counts = checked.where(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     groups = saved(components(checked.where(F.col("b").isNotNull()).select("a", "b")), "groups")

@@ -209,3 +209,18 @@ def test_texts_without_a_verdict_are_not_shuffled(spark, monkeypatch):
     want = [(i, t) for i, t in enumerate(words)] + [(None, "alone here"), (7, None)]
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
     assert 10 <= seen[-1].where("_maybe").count() < 30 and seen[-1].count() == len(rows)
+
+
+def test_signatures_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    """Only paths and signatures that may meet others go on, the latter by half; no pair is lost."""
+    rng = np.random.default_rng(7)
+    sigs = rng.integers(0, 1 << 32, (3000, J.TOKENS), dtype=np.uint32)
+    sigs[1000:1010] = sigs[:10]
+    rows = spark.createDataFrame([(b"%04d" % i, x.tobytes()) for i, x in enumerate(sigs)], "text_id binary, sig binary").cache()
+    low = {bytes(r["text_id"]): np.frombuffer(r["low"], dtype=np.uint16) for r in rows.select("text_id", J.halved("sig").alias("low")).collect()}
+    assert all((low[b"%04d" % i] == (x & 0xFFFF)).all() for i, x in enumerate(sigs))
+    passed, sieved = {}, J.sieved
+    monkeypatch.setattr(J, "sieved", lambda rows, ids, key="text_id": passed.setdefault(tuple(rows.columns), sieved(rows, ids, key)))
+    edges = J.candidate_edges(rows, J.Join()).distinct().collect()
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in edges} == {(b"%04d" % i, b"%04d" % (1000 + i)) for i in range(10)}
+    assert passed["text_id", "sig"].count() < 60 and passed["path", "text_id"].count() < 600

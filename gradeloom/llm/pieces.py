@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 The encoder is an agenda: adjacent symbol pairs whose concatenation is a piece, taken
-by score (best first, then leftmost), until none is left. A text falls apart where no
+by score (best first, then leftmost), until none is left; a list for short chunks, a
+heap for long ones. A text falls apart where no
 piece can reach across, so each distinct chunk is encoded once per worker and checked
 against the sentencepiece library in the batch in which it first appears.
 """
@@ -13,7 +14,9 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from math import inf
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bytes of chunks that a worker remembers; characters that it encodes at once.
 MEMORY, CHARS = 160 << 20, 1_000_000
+#: Characters of a chunk up to which looking through all pairs is quicker than a heap of them.
+SHORT = 64
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -111,6 +116,8 @@ class Vocabulary:
         newline = [p for p in self.rank if "\n" in p]
         if inner or newline:
             raise ValueError("a piece reaches across chunks")
+        self.ids = {p: i for p, (_, i) in self.rank.items()}
+        self.score = {p: s for p, (s, _) in self.rank.items()}
         #: what an id stands for in a decoded text, by the id's decimal digits
         self.spelled = {}
         for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)):
@@ -125,6 +132,33 @@ def vocabulary(path: str) -> Vocabulary:
 
 def merge(chunk: str, v: Vocabulary) -> list[int]:
     """Ids of a chunk in which blanks are already escaped."""
+    ids: list[int] = []
+    for s in (by_list if len(chunk) <= SHORT else by_heap)(chunk, v):
+        if (i := v.ids.get(s)) is not None:
+            ids.append(i)
+        else:
+            ids += [v.bytes[b] for b in s.encode()]
+    return ids
+
+
+def by_list(chunk: str, v: Vocabulary) -> list[str]:
+    """The symbols that are left, with the agenda as a list of the pairs' scores from left to right."""
+    get = v.score.get
+    sym = list(chunk)
+    agenda = list(map(get, map(add, sym, sym[1:]), repeat(inf)))
+    while agenda and (best := min(agenda)) < inf:
+        i = agenda.index(best)
+        del agenda[i]
+        whole = sym[i] = sym[i] + sym.pop(i + 1)
+        if i < len(agenda):
+            agenda[i] = get(whole + sym[i + 1], inf)
+        if i:
+            agenda[i - 1] = get(sym[i - 1] + whole, inf)
+    return sym
+
+
+def by_heap(chunk: str, v: Vocabulary) -> list[str]:
+    """The same with a heap, which takes a long chunk's n symbols n log n steps."""
     rank = v.rank
     sym = list(chunk)
     n = len(sym)
@@ -148,15 +182,7 @@ def merge(chunk: str, v: Vocabulary) -> list[int]:
         h = before[i]
         if h >= 0 and (r := rank.get(sym[h] + whole)):
             heapq.heappush(agenda, (r[0], h, sym[h] + whole, i))
-    ids = []
-    for s in sym:
-        if s is None:
-            continue
-        if r := rank.get(s):
-            ids.append(r[1])
-        else:
-            ids += [v.bytes[b] for b in s.encode()]
-    return ids
+    return [s for s in sym if s is not None]
 
 
 #: A newline alone; blanks with what follows them; the rest up to a blank or newline.
@@ -180,7 +206,7 @@ class Encoder:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
             self.newline = self.library.encode("\n")
 
-    def _check(self, chunks: list[str], got: list[list[int]]) -> None:
+    def _check(self, chunks: list[str], got: list[list[int]], joined: list[str]) -> None:
         """The library puts one blank before every text: a chunk that starts with one is
         encoded without it; any other one behind a newline, whose ids come first."""
         ahead = [c[0] in " ▁" and len(c) > 1 for c in chunks]
@@ -188,8 +214,7 @@ class Encoder:
         for c, a, g, want in zip(chunks, ahead, got, self.library.encode(asked, num_threads=1), strict=True):
             if (g if a else self.newline + g) != want:
                 raise AssertionError(f"the library encodes {c!r} as {want}, the agenda as {g}")
-        spelled = [self.decode(",".join(map(str, g))) for g in got]
-        for c, mine, want in zip(chunks, spelled, self.library.decode(got, num_threads=1), strict=True):
+        for c, mine, want in zip(chunks, map(self.decode, joined), self.library.decode(got, num_threads=1), strict=True):
             if mine != want:
                 raise AssertionError(f"the library decodes the ids of {c!r} as {want!r}, not as {mine!r}")
 
@@ -199,9 +224,10 @@ class Encoder:
         memory = self.memory
         missing = memory.missing(chain.from_iterable(parts))
         got = [merge(c.replace(" ", SPACE), self.v) for c in missing]
+        joined = [",".join(map(str, g)) for g in got]
         if self.library is not None and missing:
-            self._check(missing, got)
-        memory.add({c: ",".join(map(str, g)) for c, g in zip(missing, got, strict=True)})
+            self._check(missing, got, joined)
+        memory.add(dict(zip(missing, joined, strict=True)))
         get = memory.new.__getitem__
         out = [",".join(map(get, p)) for p in parts]
         memory.turn()

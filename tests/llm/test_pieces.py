@@ -54,3 +54,18 @@ def test_query_columns(spark, odd_docs, odd_rows, clashing, no_docs):
     assert P.token_digests(no_docs, MODEL).count() == 0
     full = P.tokens(odd_docs, MODEL).where("doc_id = 9").head()
     assert full["ids"] == sp.encode("one two") and full["decoded"] == "one two"
+
+
+def test_short_chunks_are_merged_as_long_ones():
+    v = P.vocabulary(MODEL)
+    chunks = {c.replace(" ", P.SPACE) for t in texts() + ["aaaa" * 9, " the the", " internationalization"] for c in P.CHUNK.findall(" " + t)}
+    assert all(P.by_list(c, v) == P.by_heap(c, v) for c in chunks)
+    edge = "ab" * (P.SHORT // 2)
+    assert [P.by_list(c, v) for c in (edge, edge + "c")] == [P.by_heap(c, v) for c in (edge, edge + "c")]
+
+
+def test_short_chunks_need_no_heap(monkeypatch):
+    monkeypatch.setattr(P.heapq, "heapify", lambda agenda: 1 / 0)
+    P.Encoder(MODEL).encode(["some short words"])
+    with pytest.raises(ZeroDivisionError):
+        P.Encoder(MODEL).encode(["a" * (P.SHORT + 1)])

@@ -19,15 +19,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import saved, table, text_or_empty
-from gradeloom.llm.worker import Memory, kept, slices, task
+from gradeloom.llm.worker import Memory, kept, runs_of, task
 
 CAPACITY = 2048
-#: Bytes of words that a tokenizing worker remembers; characters and words that it encodes at once.
-MEMORY, CHARS, WORDS = 256 << 20, 2_000_000, 4_000
+#: Bytes of words that a tokenizing worker remembers; bytes of text and words that it encodes at once.
+MEMORY, BYTES, WORDS = 256 << 20, 4_000_000, 4_000
+#: Words whose ids are put in order at once.
+RUN = 1 << 17
 #: Rows of one length that are numbered in one task.
 BLOCK_ROWS = 50_000
 
@@ -40,16 +43,19 @@ PLAIN = re.compile(r"[\x21-\x3B\x3D-\x7E\xA1-\u012F\u0131-\u024F]*")
 #: The tokenizer file's own split, over those characters without blanks and ``<``.
 OWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+#: The character that stands for a byte in a byte-level model: its own if it is visible.
+HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(HIDDEN)}
 
 
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer's own split drops blanks and newlines, they always separate tokens,
-    so a text is encoded word by word; words are remembered. A new word of plain characters
-    falls into the parts of that split, which are words of their own, known or encoded once
-    each; other words go to the library whole. With any other tokenizer, the library encodes
-    whole texts.
+    so a text is encoded word by word: each distinct word of some texts is looked up once, and
+    words are remembered. A new word of plain characters falls into the parts of that split,
+    which are words of their own, known or encoded once each by the library's model; other
+    words go to the library whole. With any other tokenizer, the library encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -64,7 +70,10 @@ class WordIds:
         steps = kind["pre_tokenizer"]["pretokenizers"] if kind["pre_tokenizer"] and kind["pre_tokenizer"]["type"] == "Sequence" else []
         own = steps[0]["pattern"].get("Regex", "") if steps and steps[0]["type"] == "Split" else ""
         names = [n["type"] for n in (kind["normalizer"] or {}).get("normalizers", [])]
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.split = own == OWN_SPLIT and names == ["NFC", "Replace", "Lowercase"]
+        # parts go to the model as they are, in its characters for bytes
+        self.split = self.split and len(steps) == 2 and level.items() <= steps[1].items() and kind["model"]["type"] == "BPE"
         # a special token inside a word comes first
         self.split = self.split and all("<" in t["content"] for t in kind.get("added_tokens", []))
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,43 +86,58 @@ class WordIds:
             for t, e in zip(texts[at : at + WORDS], self.tokenizer.encode_batch_fast(texts[at : at + WORDS], add_special_tokens=False), strict=True)
         }
 
-    def _joined(self, parts: list[str]) -> dict[str, bytes]:
-        """The same for parts of the split, many in one text: its tokens tell their part."""
-        out = {}
-        for at in range(0, len(parts), WORDS):
-            some = parts[at : at + WORDS]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            of = np.asarray(e.word_ids, dtype=np.int64)
-            if not len(of) or of[-1] + 1 != len(some):
-                out |= self._library(some)
-                continue
-            raw = np.asarray(e.ids, dtype="<u4").tobytes()
-            ends = (np.searchsorted(of, np.arange(len(some)), side="right") * 4).tolist()
-            out |= {p: raw[a:b] for p, a, b in zip(some, [0, *ends], ends, strict=False)}
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.split:
-            known = self._library(texts)
-            return [known[t] for t in texts]
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+    def _model(self, parts: list[str]) -> dict[str, bytes]:
+        """The same for parts of the split, which need neither normalisation nor a split."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for p in parts:
+            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS))]
+            ends.append(4 * len(ids))
+        raw = np.asarray(ids, dtype="<u4").tobytes()
+        return {p: raw[a:b] for p, a, b in zip(parts, [0, *ends], ends, strict=False)}
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         memory = self.memory
         single, whole, parts = set(), [], {}
-        for w in memory.missing(chain.from_iterable(words)):
+        for w in memory.missing(words):
             if w.isascii() and w.isalpha() and w.islower():
                 single.add(w)
             elif PLAIN.fullmatch(w):
                 parts[w] = SPLIT.findall(w.lower())
             else:
                 whole.append(w)
-        memory.add(self._joined(sorted(single.union(memory.missing(chain.from_iterable(parts.values()))))))
+        memory.add(self._model(list(single.union(memory.missing(chain.from_iterable(parts.values()))))))
         memory.add(self._library(whole))
         known = memory.new
         memory.add({w: b"".join(map(known.__getitem__, p)) for w, p in parts.items()})
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        out = [known[w] for w in words]
         memory.turn()
         return out
 
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if not self.split:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+            known = self._library(texts)
+            return [known[t] for t in texts]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        found = self._words(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        first = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        word = words.indices.to_numpy()
+        runs = []
+        for at in range(0, len(word), RUN):
+            some = word[at : at + RUN]
+            n = length[some]
+            ends = np.cumsum(n)
+            runs.append(ids[np.repeat(first[some] - ends + n, n) + np.arange(n.sum())].tobytes())
+        raw = b"".join(runs)
+        before = np.concatenate([[0], np.cumsum(length[word])]) * 4
+        bounds = before[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])].tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
 
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -130,11 +154,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def coded(coder: WordIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
         for whole in batches:
-            texts = whole.column(1).to_pylist()
-            for at, to in slices(texts, CHARS):
+            for at, to in runs_of(pc.binary_length(whole.column(1)).to_pylist(), BYTES):
                 batch = whole.slice(at, to - at)
                 row, cols = [], [[] for _ in kinds]
-                for i, ids in enumerate(coder.encode(texts[at:to])):
+                for i, ids in enumerate(coder.encode(batch.column(1))):
                     ids += end
                     for k, p in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[p : p + 4 * capacity]

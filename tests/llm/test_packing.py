@@ -27,6 +27,18 @@ def test_words_are_the_library():
     assert got == [e.ids for e in library().encode_batch(xs, add_special_tokens=False)]
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    """Each distinct word of some texts is looked up once, and plain ones need no normalisation or split."""
+    xs = ["The cat, the dog. É2 été\n" * 500, "the cat " * 700]
+    coder, asked = P.WordIds(FILE), []
+    missing = coder.memory.missing
+    monkeypatch.setattr(coder.memory, "missing", lambda words: missing(asked.extend(words := list(words)) or words))
+    coder.tokenizer = type("Model", (), {"model": coder.tokenizer.model})()  # without encode
+    got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(xs)]
+    assert got == [e.ids for e in library().encode_batch(xs, add_special_tokens=False)]
+    assert len(asked) < 30
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 300, 5000])
 def test_patterns_cover_every_piece_once(n):
     rng = np.random.default_rng(n)

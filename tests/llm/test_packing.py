@@ -39,6 +39,12 @@ def test_words_are_looked_up_once(monkeypatch):
     assert len(asked) < 30
 
 
+def test_letters_whose_lower_case_lies_further():
+    xs = [f"a{chr(c)}\xa2{chr(c)}1{chr(c)}." for c in range(0xA1, 0x250)] + ["ƆKƐ Əli ¢Ɔ Ⱥ¢Ⱦ"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in P.WordIds(FILE).encode(xs)]
+    assert got == [e.ids for e in library().encode_batch(xs, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 300, 5000])
 def test_patterns_cover_every_piece_once(n):
     rng = np.random.default_rng(n)

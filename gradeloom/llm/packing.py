@@ -45,6 +45,9 @@ PLAIN = re.compile(r"[\x21-\x3B\x3D-\x7E\xA1-\u012F\u0131-\u024F]*")
 #: The tokenizer file's own split, over those characters without blanks and ``<``.
 OWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}{LOWERED}]+|[{NUMBERS}]|[^{LETTERS}{LOWERED}{NUMBERS}]+")
+#: Marks between a letter or digit and a blank are a part of that split, as no apostrophe is among them.
+MARKS = "!#$%&*,.:;?"
+MARKED = "([0-9" + LETTERS.encode().decode("unicode_escape") + f"])([{MARKS}]+)(?: |$)"
 #: The character that stands for a byte in a byte-level model: its own if it is visible.
 HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(HIDDEN)}
@@ -54,8 +57,8 @@ class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer's own split drops blanks and newlines, they always separate tokens,
-    so a text is encoded word by word: each distinct word of some texts is looked up once, and
-    words are remembered. A new word of plain characters falls into the parts of that split,
+    so a text is encoded word by word, marks after a word apart: each distinct word of some texts
+    is looked up once, and words are remembered. A new word of plain characters falls into the parts of that split,
     which are words of their own, known or encoded once each by the library's model; other
     words go to the library whole. With any other tokenizer, the library encodes whole texts.
     """
@@ -77,7 +80,7 @@ class WordIds:
         # parts go to the model as they are, in its characters for bytes
         self.split = self.split and len(steps) == 2 and level.items() <= steps[1].items() and kind["model"]["type"] == "BPE"
         # a special token inside a word comes first
-        self.split = self.split and all("<" in t["content"] for t in kind.get("added_tokens", []))
+        self.split = self.split and all("<" in t["content"] and not set(MARKS) & set(t["content"]) for t in kind.get("added_tokens", []))
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = Memory(MEMORY)
 
@@ -122,7 +125,8 @@ class WordIds:
             known = self._library(texts)
             return [known[t] for t in texts]
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), MARKED, r"\1 \2 ")
+        split = pc.split_pattern(apart, " ")
         words = split.flatten().dictionary_encode()
         found = self._words(words.dictionary.to_pylist())
         length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4

@@ -39,6 +39,14 @@ def test_words_are_looked_up_once(monkeypatch):
     assert len(asked) < 30
 
 
+def test_marks_after_words_are_words_of_their_own():
+    xs = ["ab. ab, ab! été.\nété; été### 12. 12", "it's. 's.'s !'s. a<. <|endoftext|>. a|. e\u0301. a.\u0301 a.\tb. . a.b"]
+    coder = P.WordIds(FILE)
+    got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(xs)]
+    assert got == [e.ids for e in library().encode_batch(xs, add_special_tokens=False)]
+    assert not {"ab.", "ab,", "été.", "été###", "12."} & set(coder.memory.new)
+
+
 def test_letters_whose_lower_case_lies_further():
     xs = [f"a{chr(c)}\xa2{chr(c)}1{chr(c)}." for c in range(0xA1, 0x250)] + ["ƆKƐ Əli ¢Ɔ Ⱥ¢Ⱦ"]
     got = [np.frombuffer(x, "<u4").tolist() for x in P.WordIds(FILE).encode(xs)]
